@@ -76,13 +76,18 @@ def episodes(events: DataFrame) -> DataFrame:
     )
 
 
+_LATENT_FACTORS = {"S": 37, "B": 53, "F": 71, "U": 89}
+
+
+def latent(name: str) -> Column:
+    """Latent stand-in of a child, from child_id alone."""
+    return (((F.col("child_id") - 1) * _LATENT_FACTORS[name]) % 101 - 50) / F.lit(25.0)
+
+
 def with_profile(df: DataFrame) -> DataFrame:
     """Profile columns of a child, from child_id alone."""
     uid = F.col("child_id") - 1
 
-    def stand_in(k: int) -> Column:
-        return ((uid * k) % 101 - 50) / F.lit(25.0)
-
     mode = (
         F.when(uid % 3 == 0, "morning").when(uid % 3 == 1, "afternoon").otherwise("full_day")
     )
@@ -95,10 +100,10 @@ def with_profile(df: DataFrame) -> DataFrame:
         {
             "age": (6 + uid % 7).cast("int"),
             "age_scaled": numeric.scale_age(6 + uid % 7),
-            "S": stand_in(37),
-            "B": stand_in(53),
-            "F": stand_in(71),
-            "U": stand_in(89),
+            "S": latent("S"),
+            "B": latent("B"),
+            "F": latent("F"),
+            "U": latent("U"),
             "school_mode": mode,
             "school_start_minute": (_choose(mode, opens) + shift).cast("int"),
             "school_end_minute": (_choose(mode, closes) + shift).cast("int"),
@@ -226,3 +231,40 @@ def target_rows(features: DataFrame) -> DataFrame:
         .withColumn(TARGET, numeric.logistic_range(F.col("y_star"), 1.0, 5.0))
         .select("child_id", "week_index", "y_star", "target_noise", TARGET)
     )
+
+
+# --- derived views used by the diagnostics ----------------------------------
+
+def session_start_windows(events: DataFrame) -> DataFrame:
+    """Sessions with the label of the window they start in."""
+    bare = sessions.session_table(numbered_starts(events))
+    return with_context(bare).select(
+        "child_id",
+        "day_index",
+        "session_index",
+        "session_duration_minutes",
+        intervals.segment_label(F.col("session_start_minute")).alias("session_start_window"),
+    )
+
+
+def daily_ratios(events: DataFrame) -> DataFrame:
+    """Child-days with their context minutes over their use."""
+    return (
+        session_rows(events)
+        .groupBy("child_id", "day_index")
+        .agg(
+            F.sum("session_duration_minutes").alias("daily_use_minutes"),
+            F.sum("school_use_minutes").alias("school_use_minutes"),
+            F.sum("post_bedtime_use_minutes").alias("post_bedtime_use_minutes"),
+        )
+        .withColumns(
+            {
+                "school_use_ratio": numeric.ratio(
+                    F.col("school_use_minutes"), F.col("daily_use_minutes")
+                ),
+                "post_bedtime_use_ratio": numeric.ratio(
+                    F.col("post_bedtime_use_minutes"), F.col("daily_use_minutes")
+                ),
+            }
+        )
+    )
