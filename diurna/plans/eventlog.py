@@ -213,15 +213,14 @@ def tagged_episodes(events: DataFrame) -> DataFrame:
     return episodes(events).join(starts, ["child_id", "day_index", "episode_start_minute"])
 
 
-def target_rows(features: DataFrame) -> DataFrame:
-    """Synthetic target per feature row, with a hashed noise term."""
+def with_target(features: DataFrame) -> DataFrame:
+    """Add the synthetic target to feature rows, with a hashed noise term."""
     noise = (
         hashing.unit_interval(hashing.hash_key("target", F.col("child_id"), F.col("week_index")))
         - 0.5
     ) * F.lit(0.5)
     return (
-        features.select("child_id", "week_index", "mean_daily_use_minutes", "age_scaled")
-        .withColumn("target_noise", noise)
+        features.withColumn("target_noise", noise)
         .withColumn(
             "y_star",
             F.lit(0.02) * (F.col("mean_daily_use_minutes") - 120.0)
@@ -229,10 +228,13 @@ def target_rows(features: DataFrame) -> DataFrame:
             + F.col("target_noise"),
         )
         .withColumn(TARGET, numeric.logistic_range(F.col("y_star"), 1.0, 5.0))
-        .select("child_id", "week_index", "y_star", "target_noise", TARGET)
     )
 
 
+def target_rows(features: DataFrame) -> DataFrame:
+    return with_target(features).select("child_id", "week_index", "y_star", "target_noise", TARGET)
+
+
 # --- derived views used by the diagnostics ----------------------------------
 
 def session_start_windows(events: DataFrame) -> DataFrame:
