@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 def hash_key(seed: int | str, *parts: Column) -> Column:
     """32 hex digits of md5('seed:part:...')."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    return hash_text(F.lit(str(seed)), *[p.cast("string") for p in parts])
+
+
+def hash_text(*parts: Column) -> Column:
+    """32 hex digits of md5('part:part:...')."""
+    return F.md5(F.concat_ws(":", *parts))
 
 
 def hex_prefix(key: Column, digits: int) -> Column:

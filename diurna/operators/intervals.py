@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from diurna.functions import arrays
 from diurna.schemas import (
     MINUTES_PER_DAY,
     NIGHT_SEVERITY_SLOPE,
@@ -86,18 +87,21 @@ def _boundaries() -> Column:
 
 def day_segments() -> Column:
     """Array of labelled segments of a day row; equal neighbours not merged."""
-    edges = _boundaries()
 
-    def segment(start: Column, i: Column) -> Column:
-        end = F.element_at(edges, i + 2)
+    def segment(start: Column, end: Column) -> Column:
         return F.struct(
             segment_label((start + end) / 2.0).alias("name"),
             start.alias("start_minute"),
             end.alias("end_minute"),
         )
 
-    starts = F.slice(edges, F.lit(1), F.size(edges) - 1)
-    return F.transform(starts, segment)
+    def between(edges: Column) -> Column:
+        count = F.size(edges) - 1
+        return F.zip_with(
+            F.slice(edges, F.lit(1), count), F.slice(edges, F.lit(2), count), segment
+        )
+
+    return arrays.let(_boundaries(), between)
 
 
 def merged_segments(segments: Column) -> Column:
