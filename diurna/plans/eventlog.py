@@ -45,6 +45,10 @@ def _choose(key: Column, values: dict) -> Column:
     return chosen
 
 
+def event_category(event_type: Column) -> Column:
+    return _choose(event_type, EVENT_CATEGORY)
+
+
 def day_of(ts: Column) -> Column:
     return F.datediff(ts.cast("date"), F.lit(EPOCH_DAY).cast("date"))
 
@@ -67,7 +71,7 @@ def episodes(events: DataFrame) -> DataFrame:
             day_of(F.col("ts")).alias("day_index"),
             start.alias("episode_start_minute"),
             end.alias("episode_end_minute"),
-            _choose(F.col("event_type"), EVENT_CATEGORY).alias("app_category"),
+            event_category(F.col("event_type")).alias("app_category"),
         )
         .withColumn(
             "episode_duration_minutes",

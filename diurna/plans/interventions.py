@@ -203,7 +203,7 @@ def iso_timestamp(ts: Column) -> Column:
     )
 
 
-def build_records(responses: DataFrame) -> DataFrame:
+def build_records(responses: DataFrame, keep_time: bool = False) -> DataFrame:
     """Valid response rows -> history records; ``event_time`` is a timestamp.
 
     The id is a digest of the record's own fields, so replaying a batch gives
@@ -234,6 +234,7 @@ def build_records(responses: DataFrame) -> DataFrame:
         "activities_offered",
         "response",
         "selected_activity_id",
+        *(["event_time"] if keep_time else []),
     )
 
 

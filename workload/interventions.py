@@ -76,7 +76,11 @@ INTERESTS = {
 
 def requests(spark, sf_dir):
     """A recommendation request per event."""
-    log = events(spark, sf_dir).where("user_id IS NOT NULL")
+    return request_rows(events(spark, sf_dir))
+
+
+def request_rows(log):
+    log = log.where("user_id IS NOT NULL")
     interests = F.lit(None).cast("array<string>")
     for kind, terms in INTERESTS.items():
         interests = F.when(
@@ -223,11 +227,21 @@ bre AS (
 def bedtime_events(spark, sf_dir, with_last=True):
     """An event row per log entry with tonight's bedtime of its child."""
     asked = requests(spark, sf_dir)
+    rows = bedtime_rows(asked)
+    if not with_last:
+        return rows
+    history = asked.where("event_type = 'signup'").select("child_id", F.col("ts").alias("shown_at"))
+    return joins.as_of(
+        rows, history, ["child_id"], "current_time", "shown_at", "last_bedtime_intervention"
+    )
+
+
+def bedtime_rows(asked):
     placed = eventlog.with_context(
         asked.drop("context", "n").withColumn("day_index", eventlog.day_of(F.col("ts")))
     )
     bed = F.col("bedtime_minute") % 1440
-    rows = placed.select(
+    return placed.select(
         "request_id",
         F.col("request_id").alias("event_id"),
         "child_id",
@@ -240,12 +254,6 @@ def bedtime_events(spark, sf_dir, with_last=True):
         "recently_shown_ids",
         "random_seed",
     )
-    if not with_last:
-        return rows
-    history = asked.where("event_type = 'signup'").select("child_id", F.col("ts").alias("shown_at"))
-    return joins.as_of(
-        rows, history, ["child_id"], "current_time", "shown_at", "last_bedtime_intervention"
-    )
 
 
 @query(
@@ -279,6 +287,33 @@ def bedtime_decisions(spark, sf_dir):
     )
 
 
+FIRE_CTES = [
+    """
+    open_events AS (
+      SELECT request_id, child_id, ts,
+             CASE WHEN NOT device THEN 'device_not_in_use'
+                  WHEN left_us > 3600000000 THEN 'outside_bedtime_window'
+                  ELSE 'bedtime_transition' END AS reason
+      FROM ble
+    ),
+    cnd AS (
+      SELECT child_id, ts, request_id AS eid FROM open_events
+      WHERE reason = 'bedtime_transition'
+    ),
+    fire AS (
+      SELECT child_id, arg_min(ts, (ts, eid)) AS ts, arg_min(eid, (ts, eid)) AS eid
+      FROM cnd GROUP BY child_id
+      UNION ALL
+      SELECT f.child_id, n.ts, n.eid
+      FROM fire f, LATERAL (
+        SELECT c.ts, c.eid FROM cnd c
+        WHERE c.child_id = f.child_id AND c.ts >= f.ts + INTERVAL 60 MINUTE
+        ORDER BY c.ts, c.eid LIMIT 1) n
+    )
+    """,
+]
+
+
 @query(
     "bedtime_replay",
     with_tables(
@@ -290,29 +325,7 @@ def bedtime_decisions(spark, sf_dir):
         """,
         REQUEST_SQL,
         BEDTIME_SQL,
-        """
-        open_events AS (
-          SELECT request_id, child_id, ts,
-                 CASE WHEN NOT device THEN 'device_not_in_use'
-                      WHEN left_us > 3600000000 THEN 'outside_bedtime_window'
-                      ELSE 'bedtime_transition' END AS reason
-          FROM ble
-        ),
-        cnd AS (
-          SELECT child_id, ts, request_id AS eid FROM open_events
-          WHERE reason = 'bedtime_transition'
-        ),
-        fire AS (
-          SELECT child_id, arg_min(ts, (ts, eid)) AS ts, arg_min(eid, (ts, eid)) AS eid
-          FROM cnd GROUP BY child_id
-          UNION ALL
-          SELECT f.child_id, n.ts, n.eid
-          FROM fire f, LATERAL (
-            SELECT c.ts, c.eid FROM cnd c
-            WHERE c.child_id = f.child_id AND c.ts >= f.ts + INTERVAL 60 MINUTE
-            ORDER BY c.ts, c.eid LIMIT 1) n
-        )
-        """,
+        *FIRE_CTES,
         recursive=True,
     ),
 )
@@ -362,6 +375,10 @@ FIRST_RULE_SQL = (
 
 def responses(spark, sf_dir):
     """Response rows in all shapes, one per order."""
+    return response_rows(table(spark, sf_dir, "orders"))
+
+
+def response_rows(orders):
     k = F.col("o_orderkey")
     ids = known_ids()
 
@@ -383,7 +400,7 @@ def responses(spark, sf_dir):
         .when(k % 31 == 0, activity(k))
         .otherwise(F.lit(None))
     )
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         k.alias("order_id"),
         (F.col("o_custkey") - 5).alias("child_id"),
         F.when(F.col("o_orderstatus").isin("F", "P"), "child_initiated")
