@@ -82,7 +82,7 @@ def _boundaries() -> Column:
         F.when(F.col("has_school_today"), F.col("school_end_minute")),
     ]
     doubles = F.array(*[e.cast("double") for e in edges])
-    return F.array_sort(F.array_distinct(F.array_compact(doubles)))
+    return F.sort_array(F.array_distinct(F.array_compact(doubles)))
 
 
 def day_segments() -> Column:
@@ -135,9 +135,13 @@ def window_weight(name: Column, severity: Column) -> Column:
 
 
 def day_windows(days: DataFrame, keys: Sequence[str] = ("child_id", "day_index")) -> DataFrame:
-    """One row per labelled window: 1-based index, bounds, weight."""
+    """One row per labelled window: 1-based index, bounds, weight.
+
+    A day always has windows, so the outer explode loses nothing; it keeps the
+    planner from evaluating the windows once more as a filter.
+    """
     listed = days.select(
-        *keys, "S", F.posexplode(merged_segments(day_segments())).alias("pos", "w")
+        *keys, "S", F.posexplode_outer(merged_segments(day_segments())).alias("pos", "w")
     )
     return listed.select(
         *keys,
@@ -172,20 +176,47 @@ CONTEXT_COLUMNS = [
 ]
 
 
+def label_bounds(label: str) -> list[tuple[Column, Column]]:
+    """The stretches of a day with a label, as (start, end) expressions.
+
+    Same rules as segment_label, solved for the two labels that sessions are
+    measured against; an end at or before its start means an empty stretch.
+    """
+    bedtime = F.col("bedtime_minute").cast("double")
+    rollover = F.greatest(F.col("previous_bedtime_minute") - F.lit(DAY), F.lit(0.0))
+    awake = F.greatest(F.col("day_start_minute").cast("double"), rollover)
+    if label == "post_bedtime_overnight":
+        return [
+            (rollover, F.col("day_start_minute").cast("double")),
+            (F.greatest(bedtime, awake), F.lit(DAY)),
+        ]
+    if label == "school":
+        start = F.greatest(F.col("school_start_minute").cast("double"), awake)
+        end = F.least(F.col("school_end_minute").cast("double"), bedtime - PRE_BEDTIME_MINUTES)
+        empty = F.lit(0.0)
+        today = F.col("has_school_today")
+        return [(F.when(today, start).otherwise(empty), F.when(today, end).otherwise(empty))]
+    raise ValueError(f"no closed form for {label}")
+
+
 def with_overlaps(sessions_in_context: DataFrame) -> DataFrame:
-    """Add school and post-bedtime minutes to rows that carry their context."""
+    """Add school and post-bedtime minutes to rows that carry their context.
+
+    Plain arithmetic on the row: no window rows, no arrays.
+    """
     start, end = F.col("session_start_minute"), F.col("session_end_minute")
-    return (
-        sessions_in_context.withColumn("__segments", day_segments())
-        .withColumns(
-            {
-                "school_use_minutes": label_overlap(F.col("__segments"), "school", start, end),
-                "post_bedtime_use_minutes": label_overlap(
-                    F.col("__segments"), "post_bedtime_overnight", start, end
-                ),
-            }
-        )
-        .drop("__segments")
+
+    def minutes(label: str) -> Column:
+        parts = [
+            overlap_minutes(start, end, a, F.greatest(a, b)) for a, b in label_bounds(label)
+        ]
+        return sum(parts[1:], parts[0])
+
+    return sessions_in_context.withColumns(
+        {
+            "school_use_minutes": minutes("school"),
+            "post_bedtime_use_minutes": minutes("post_bedtime_overnight"),
+        }
     )
 
 

@@ -26,8 +26,8 @@ def melted(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Dat
     pairs = F.array(
         *[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]
     )
-    kept = F.filter(pairs, lambda p: p["value"].isNotNull() & ~F.isnan(p["value"]))
-    return df.select(*by, F.explode(kept).alias("p")).select(*by, "p.metric", "p.value")
+    rows = df.select(*by, F.explode(pairs).alias("p")).select(*by, "p.metric", "p.value")
+    return rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def _ranks_in(low: str, high: str):

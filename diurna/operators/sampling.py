@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from diurna.operators.scans import hashed_rank
+from diurna.operators.scans import first_by_hash, hashed_rank
 
 
 def stratum_sizes(df: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -38,20 +38,16 @@ def stratified_split(
     """
     if (test_rows is None) == (test_fraction is None):
         raise ValueError("give either test_rows or test_fraction")
-    sizes = stratum_sizes(df, strata).withColumn("stratum_size", _checked_size(expected_size))
+    size = _checked_size(expected_size)
     quota = (
-        F.lit(test_rows)
+        F.when(size >= 0, F.lit(test_rows))
         if test_rows is not None
-        else F.floor(F.col("stratum_size") * F.lit(float(test_fraction)))
-    )
-    ranked = hashed_rank(df, strata, ids, seed, "__rank")
-    return (
-        ranked.join(sizes.select(*strata, quota.alias("__quota")), list(strata))
-        .withColumn(
-            "split", F.when(F.col("__rank") <= F.col("__quota"), "test").otherwise("development")
-        )
-        .drop("__rank", "__quota")
+        else F.floor(size * F.lit(float(test_fraction)))
     )
+    chosen = first_by_hash(df, strata, ids, seed, quota, "__test")
+    return chosen.withColumn(
+        "split", F.when(F.col("__test"), "test").otherwise("development")
+    ).drop("__test")
 
 
 def stratified_folds(
@@ -95,9 +91,6 @@ def fraction_subsamples(
         "fold",
         F.explode(F.sequence(F.lit(1), F.lit(k))).alias("validation_fold"),
     ).where("fold <> validation_fold")
-    group = ["validation_fold", *strata]
-    sizes = copies.groupBy(*group).agg(F.count(F.lit(1)).alias("__size"))
-
     whole = [f for f in fractions if f >= 1.0]
     drawn = [f for f in fractions if f < 1.0]
     keep = [*strata, *ids, "validation_fold", "train_fraction"]
@@ -107,19 +100,16 @@ def fraction_subsamples(
             "train_fraction", F.explode(F.array(*[F.lit(float(f)) for f in drawn]))
         )
         percent = F.round(F.col("train_fraction") * 100).cast("int")
-        ranked = hashed_rank(
+        chosen = first_by_hash(
             tagged,
-            [*group, "train_fraction"],
+            ["validation_fold", *strata, "train_fraction"],
             ids,
             seed,
-            "__rank",
+            F.floor(F.col("stratum_size") * F.col("train_fraction")),
+            "__chosen",
             salt=[F.col("validation_fold"), percent],
         )
-        parts.append(
-            ranked.join(sizes, group)
-            .where(F.col("__rank") <= F.floor(F.col("__size") * F.col("train_fraction")))
-            .select(*keep)
-        )
+        parts.append(chosen.where("__chosen").select(*keep))
     parts += [copies.withColumn("train_fraction", F.lit(float(f))).select(*keep) for f in whole]
     result = parts[0]
     for part in parts[1:]:

@@ -123,7 +123,7 @@ def hashed_rank(
     seed: int | str,
     out: str = "stratum_rank",
     salt: Sequence[Column] = (),
-    prefix_digits: int = 4,
+    prefix_digits: int = 3,
 ) -> DataFrame:
     """Exact 1-based shuffle rank of every row within its stratum.
 
@@ -137,3 +137,53 @@ def hashed_rank(
     return running_index(
         keyed, strata, hashing.hex_prefix(F.col("__key"), prefix_digits), ["__key", *ids], out
     ).drop("__key")
+
+
+def first_by_hash(
+    df: DataFrame,
+    strata: Sequence[str],
+    ids: Sequence[str],
+    seed: int | str,
+    quota: Column,
+    out: str,
+    salt: Sequence[Column] = (),
+    prefix_digits: int = 3,
+) -> DataFrame:
+    """Add ``out``: is the row among the first ``quota`` of its shuffled stratum?
+
+    ``quota`` is an expression over ``stratum_size``. Selecting needs no full
+    ranking: a histogram of hash prefixes (combined map-side) tells in which
+    slice the quota is reached. Rows of the other slices are decided where
+    they are; only that one slice of a stratum is ranked.
+    """
+    keyed = df.withColumn("__key", hashing.hash_key(seed, *salt, *[F.col(c) for c in ids]))
+    keyed = keyed.withColumn("__slice", hashing.hex_prefix(F.col("__key"), prefix_digits))
+    slices = keyed.groupBy(*strata, "__slice").agg(F.count(F.lit(1)).alias("__rows"))
+    stratum = Window.partitionBy(*strata)
+    upto = stratum.orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = (
+        slices.withColumns(
+            {
+                "stratum_size": F.sum("__rows").over(stratum),
+                "__upto": F.sum("__rows").over(upto),
+            }
+        )
+        .withColumn("__quota", F.least(quota, F.col("stratum_size")))
+        .where(
+            (F.col("__upto") >= F.col("__quota"))
+            & (F.col("__upto") - F.col("__rows") < F.col("__quota"))
+        )
+        .select(
+            *strata,
+            F.col("__slice").alias("__cut"),
+            (F.col("__quota") - F.col("__upto") + F.col("__rows")).alias("__need"),
+        )
+    )
+    placed = keyed.join(cuts, list(strata), "left")
+    at_cut = F.coalesce(F.col("__slice") == F.col("__cut"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("__key", *ids))
+    decided = placed.where(~at_cut).withColumn(
+        out, F.coalesce(F.col("__slice") < F.col("__cut"), F.lit(False))
+    )
+    ranked = placed.where(at_cut).withColumn(out, rank <= F.col("__need"))
+    return decided.unionByName(ranked).drop("__key", "__slice", "__cut", "__need")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.ml import Estimator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diurna.operators import aggregates, sampling
@@ -117,12 +117,14 @@ def _additive(columns: Sequence[str]) -> list[str]:
 
 
 def complement(grams: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Training statistics of each fold: the total minus the fold."""
-    added = _additive(columns)
-    total = grams.agg(*[F.sum(c).alias(f"t_{c}") for c in added])
+    """Training statistics of each fold: the total minus the fold.
+
+    ``grams`` has one row per fold, so the unpartitioned window holds k rows.
+    """
+    everything = Window.partitionBy()
     means = [f"m_{i}" for i in range(len(columns) + 1)]
-    return grams.crossJoin(F.broadcast(total)).select(  # exactly one row
-        *by, *means, *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in added]
+    return grams.select(
+        *by, *means, *[(F.sum(c).over(everything) - F.col(c)).alias(c) for c in _additive(columns)]
     )
 
 

@@ -14,72 +14,47 @@ REPEAT_PENALTY = 2.0
 JITTER = 0.25
 
 
+def allowed(activity: tuple) -> list[str]:
+    """Contexts an activity may be offered in; bedtime takes calm, suitable ones."""
+    _, _, _, _, _, contexts, level, suitable, *_ = activity
+    return [c for c in contexts if c != "bedtime" or (suitable and level == "calm")]
+
+
 def eligible(context: Column, activities: list[tuple] = catalog.ACTIVITIES) -> Column:
-    """Activities allowed in a context; bedtime takes calm, suitable ones.
+    """Array of the activities allowed in a context (NULL for an unknown one).
 
     The catalogue and the contexts are fixed, so each context's list is a
     constant and a request row only picks one.
     """
     chosen = F.lit(None)
     for name in CONTEXTS:
-        allowed = [
-            (i, a)
-            for i, a in enumerate(activities)
-            if name in a[5] and (name != "bedtime" or (a[7] and a[6] == "calm"))
-        ]
-        chosen = F.when(context == name, catalog.activity_array(allowed)).otherwise(chosen)
+        entries = [(i, a) for i, a in enumerate(activities) if name in allowed(a)]
+        chosen = F.when(context == name, catalog.activity_array(entries)).otherwise(chosen)
     return chosen
 
 
-def ranked(
-    candidates: Column, interests: Column, shown: Column, seed: Column, request: Column
-) -> Column:
-    """Candidates in selection order: best of each category first, by score.
-
-    Taking the best of every category in score order and then filling up by
-    score is the same list as sorting by (is the best of its category, score).
-    """
-
-    def scored(wanted: Column) -> Column:
-        def one(a: Column) -> Column:
-            jitter = hashing.unit_interval(
-                hashing.hash_text(seed.cast("string"), request.cast("string"), a["activity_id"])
-            )
-            matches = arrays.intersects(wanted, a["tags"])
-            repeated = F.coalesce(F.array_contains(shown, a["activity_id"]), F.lit(False))
-            score = (
-                F.when(matches, F.lit(MATCH_BONUS)).otherwise(F.lit(0.0))
-                - F.when(repeated, F.lit(REPEAT_PENALTY)).otherwise(F.lit(0.0))
-                + jitter * F.lit(JITTER)
-            )
-            return F.struct(
-                (-score).alias("neg_score"),
-                a["position"].alias("position"),
-                a["activity_id"].alias("activity_id"),
-                a["category"].alias("category"),
-            )
-
-        return F.array_sort(F.transform(candidates, one))
-
-    def diverse(by_score: Column) -> Column:
-        def placed(categories: Column) -> Column:
-            return F.array_sort(
-                F.transform(
-                    by_score,
-                    lambda a, i: F.struct(
-                        (F.array_position(categories, a["category"]) != i + 1).alias("repeats"),
-                        i.alias("place"),
-                        a["activity_id"].alias("activity_id"),
-                        a["category"].alias("category"),
-                        (-a["neg_score"]).alias("score"),
-                    ),
-                )
-            )
-
-        return arrays.let(F.transform(by_score, lambda a: a["category"]), placed)
-
-    return arrays.let(
-        arrays.normalise_terms(interests), lambda wanted: arrays.let(scored(wanted), diverse)
+def _eligible_count(context: Column, activities: list[tuple]) -> Column:
+    count = F.lit(0)
+    for name in CONTEXTS:
+        count = F.when(
+            context == name, F.lit(sum(name in allowed(a) for a in activities))
+        ).otherwise(count)
+    return count
+
+
+def _score(activity: tuple) -> Column:
+    activity_id, tags = activity[0], [t.lower() for t in activity[4]]
+    matches = F.arrays_overlap("__wanted", F.array(*[F.lit(t) for t in tags]))
+    shown = F.coalesce(F.array_contains("recently_shown_ids", activity_id), F.lit(False))
+    jitter = hashing.unit_interval(
+        hashing.hash_text(
+            F.col("random_seed").cast("string"), F.col("request_id").cast("string"), F.lit(activity_id)
+        )
+    )
+    return (
+        F.when(matches, F.lit(MATCH_BONUS)).otherwise(F.lit(0.0))
+        - F.when(shown, F.lit(REPEAT_PENALTY)).otherwise(F.lit(0.0))
+        + jitter * F.lit(JITTER)
     )
 
 
@@ -89,38 +64,73 @@ def recommend(requests: DataFrame, activities: list[tuple] = catalog.ACTIVITIES)
     Requests hold request_id, context, interests, recently_shown_ids, n
     (NULL = 3) and random_seed. ``offer`` is an ordered array of
     (activity_id, category, score); NULL for rejected requests.
+
+    Best of every category in score order, then the rest by score: the same
+    list as sorting by (not the best of its category, score). The catalogue is
+    a short fixed list, so its entries are spelled out as columns of the
+    request row: no join, no shuffle, all generated code but the final sort.
     """
     n = F.coalesce(F.col("n"), F.lit(OFFER_SIZE))
-    listed = requests.withColumn("__candidates", eligible(F.col("context"), activities))
     reason = (
         F.when(n <= 0, "n_not_positive")
         .when(~F.coalesce(F.col("context").isin(CONTEXTS), F.lit(False)), "unknown_context")
-        .when(F.size("__candidates") < n, "too_few_candidates")
+        .when(_eligible_count(F.col("context"), activities) < n, "too_few_candidates")
     )
-    order = ranked(
-        F.col("__candidates"),
-        F.col("interests"),
-        F.col("recently_shown_ids"),
-        F.col("random_seed"),
-        F.col("request_id"),
+    marks = [f"__s{i}" for i in range(len(activities))]
+    scored = requests.withColumns(
+        {"reject_reason": reason, "__wanted": arrays.normalise_terms(F.col("interests"))}
+    ).withColumns(
+        {
+            mark: F.when(
+                F.col("reject_reason").isNull() & F.col("context").isin(allowed(a)),
+                F.struct(_score(a).alias("score"), F.lit(-i).alias("order")),
+            )
+            for i, (mark, a) in enumerate(zip(marks, activities, strict=True))
+        }
     )
+    categories = sorted({a[3] for a in activities})
+    tops = {
+        f"__top_{c}": F.array_max(
+            F.array(*[F.col(m) for m, a in zip(marks, activities, strict=True) if a[3] == c])
+        )
+        for c in categories
+    }
+    entries = [
+        F.when(
+            F.col(mark).isNotNull(),
+            F.struct(
+                (F.col(mark) < F.col(f"__top_{a[3]}")).alias("repeats"),
+                (-F.col(mark)["score"]).alias("neg_score"),
+                F.lit(i).alias("position"),
+                F.lit(a[0]).alias("activity_id"),
+                F.lit(a[3]).alias("category"),
+            ),
+        )
+        for i, (mark, a) in enumerate(zip(marks, activities, strict=True))
+    ]
+    order = F.sort_array(F.array_compact(F.array(*entries)))
     offer = F.transform(
-        F.slice(order, F.lit(1), n), lambda a: F.struct(a["activity_id"], a["category"], a["score"])
+        F.slice(order, F.lit(1), n),
+        lambda a: F.struct(
+            a["activity_id"], a["category"], (-a["neg_score"]).alias("score")
+        ),
     )
     return (
-        listed.withColumn("reject_reason", reason)
+        scored.withColumns(tops)
         .withColumn("offer", F.when(F.col("reject_reason").isNull(), offer))
-        .drop("__candidates")
+        .drop("__wanted", *marks, *tops)
     )
 
 
 def offered_rows(recommended: DataFrame) -> DataFrame:
-    """One row per offered activity with its 1-based place."""
-    return recommended.where("offer IS NOT NULL").select(
-        "request_id",
-        "context",
-        F.posexplode("offer").alias("pos", "a"),
-    ).select(
+    """One row per offered activity with its 1-based place.
+
+    The outer form keeps the planner from deriving a pre-filter on the offer,
+    which would compute every offer a second time.
+    """
+    return recommended.select(
+        "request_id", "context", F.posexplode_outer("offer").alias("pos", "a")
+    ).where("pos IS NOT NULL").select(
         "request_id",
         "context",
         (F.col("pos") + 1).alias("place"),

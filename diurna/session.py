@@ -16,6 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+# Runtime settings the plans are written for. The JVM never compiles methods
+# above 8,000 bytes of bytecode; beyond that, projections split into small
+# methods run faster than one whole stage that stays interpreted.
+RUNTIME_SETTINGS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session made elsewhere."""
+    for key, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
 
 def build_session(master: str | None = None, app_name: str = "diurna", **conf: str) -> SparkSession:
     """SparkSession with the settings the operators are written for."""
@@ -25,9 +42,7 @@ def build_session(master: str | None = None, app_name: str = "diurna", **conf: s
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
+        **RUNTIME_SETTINGS,
         **conf,
     }
     for key, value in settings.items():

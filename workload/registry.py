@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diurna.functions.numeric import r6
+from diurna.session import tune
 from diurna.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +24,12 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(tune(spark), sf_dir)
+
+        QUERIES[name] = tuned
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
