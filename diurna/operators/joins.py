@@ -132,10 +132,7 @@ def as_of(
         keys,
         F.date_trunc(chunk, F.col("__t")),
         ["__t"],
-        F.col("__entry"),
-        "__last",
-        how="max",
-        inclusive=True,
+        {"__last": ("max", F.col("__entry"))},
         peers=True,
     )
     return scanned.where(F.col("__probe").isNotNull()).select(

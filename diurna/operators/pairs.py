@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from diurna.session import written_table
+
 CELLS_PER_WIDTH = 16
 
 
@@ -48,9 +50,14 @@ def best_contrast_pair(
         F.floor(F.col(x) / F.lit(step)).cast("long").alias("cell"),
     ).where("g IS NOT NULL AND x IS NOT NULL AND score IS NOT NULL")
 
-    cells = rows.groupBy("g", "cell").agg(
-        _low(F.col("score"), F.col("id")).alias("low"),
-        _high(F.col("score"), F.col("id")).alias("high"),
+    # A handful of numbers per narrow cell. Stored: it is read several times,
+    # and its known size lets the planner broadcast it while it is small.
+    cells = written_table(
+        rows.groupBy("g", "cell").agg(
+            _low(F.col("score"), F.col("id")).alias("low"),
+            _high(F.col("score"), F.col("id")).alias("high"),
+        ),
+        "cells",
     )
 
     # Cells up to CELLS_PER_WIDTH - 2 apart: every pair qualifies, whatever the
@@ -78,39 +85,43 @@ def best_contrast_pair(
     floor_ = sure_pairs.agg((-F.min("pair.neg_diff")).alias("bound"))
 
     # Edge cells: some pairs qualify. Keep rows that may still reach the bound
-    # against the extremes of the cell opposite.
-    offsets = F.explode(F.array(*[F.lit(k) for k in range(CELLS_PER_WIDTH - 1, CELLS_PER_WIDTH + 2)]))
-
-    def opposite(sign: int) -> DataFrame:
-        shifted = cells.withColumn("offset", offsets)
-        return shifted.select(
-            "g",
-            (F.col("cell") + sign * F.col("offset")).alias("cell"),
-            "offset",
-            F.col("low.score").alias("opp_low"),
-            (-F.col("high.neg")).alias("opp_high"),
-        )
+    # against the extremes of the three cells opposite; equal copies fold.
+    first, last = CELLS_PER_WIDTH - 1, CELLS_PER_WIDTH + 1
+    by_cell = Window.partitionBy("g").orderBy("cell")
 
-    def edge_rows(sign: int, home: Column, key: Column, is_left: bool) -> DataFrame:
-        reach = F.greatest(F.col("score") - F.col("opp_low"), F.col("opp_high") - F.col("score"))
+    def extremes(side: str, window) -> list[Column]:
+        return [
+            F.min("low.score").over(window).alias(f"{side}_low"),
+            (-F.min("high.neg").over(window)).alias(f"{side}_high"),
+        ]
+
+    edges = cells.select(
+        "g",
+        "cell",
+        *extremes("right", by_cell.rangeBetween(first, last)),
+        *extremes("left", by_cell.rangeBetween(-last, -first)),
+    )
+    near = rows.join(edges, ["g", "cell"]).crossJoin(F.broadcast(floor_))  # floor_: one row
+
+    def edge_rows(opposite: str, is_left: bool, key: Column) -> DataFrame:
+        reach = F.greatest(
+            F.col("score") - F.col(f"{opposite}_low"), F.col(f"{opposite}_high") - F.col("score")
+        )
+        offsets = F.array(*[F.lit(k) for k in range(first, last + 1)])
+        left_cell = F.col("cell") if is_left else F.col("cell") - F.col("offset")
         return (
-            rows.join(opposite(sign), ["g", "cell"])
-            .crossJoin(F.broadcast(floor_))  # exactly one row
-            .where(F.col("bound").isNull() | (reach >= F.col("bound")))
-            .select(
-                "g",
-                home.alias("left_cell"),
-                "offset",
-                key.alias("key"),
-                F.lit(is_left).alias("is_left"),
-                "score",
-                "id",
+            near.where(reach.isNotNull() & (F.col("bound").isNull() | (reach >= F.col("bound"))))
+            .withColumn("offset", F.explode(offsets))
+            .groupBy(
+                "g", left_cell.alias("left_cell"), "offset", key.alias("key"), "score"
             )
+            .agg(F.min("id").alias("id"))
+            .withColumn("is_left", F.lit(is_left))
         )
 
     # Left rows look for right rows with x <= own x + width.
-    left = edge_rows(-1, F.col("cell"), F.col("x") + F.lit(width), True)
-    right = edge_rows(1, F.col("cell") - F.col("offset"), F.col("x"), False)
+    left = edge_rows("right", True, F.col("x") + F.lit(width))
+    right = edge_rows("left", False, F.col("x"))
     line = Window.partitionBy("g", "left_cell", "offset").orderBy("key").rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from diurna.session import written_table
+
 SKETCH_ACCURACY = 10_000
 BRACKET = 0.002  # twenty times the sketch's rank error
 SMALL = 100_000  # below this many values the bracket is the whole range
@@ -43,7 +45,10 @@ def exact_quantiles(
 ) -> DataFrame:
     """Columns: by..., metric, probability, quantile.
 
-    Reads ``df`` twice; hand over a stored table when it is costly.
+    Reads ``df`` twice; hand over a stored table when it is costly. Brackets
+    and candidate counts are stored in between: they are read more than once,
+    and a stored table has a known size, so the planner broadcasts the
+    brackets only while they are small.
     """
     by = list(by)
     group = [*by, "metric"]
@@ -80,9 +85,12 @@ def exact_quantiles(
             F.when(wide, F.col("high")).otherwise(last).alias("last"),
         )
 
-    specs = sketch.select(
-        *group, F.explode(F.array(*[spec(p) for p in probabilities])).alias("s")
-    ).select(*group, "s.*")
+    specs = written_table(
+        sketch.select(
+            *group, F.explode(F.array(*[spec(p) for p in probabilities])).alias("s")
+        ).select(*group, "s.*"),
+        "brackets",
+    )
 
     target = [*group, "probability"]
     inside = F.floor(
@@ -92,12 +100,13 @@ def exact_quantiles(
         )
         * SUB_BUCKETS
     )
-    counted = (
+    counted = written_table(
         values.join(specs.select(*target, "first", "last"), group)
         .where(F.col("value") <= F.col("last"))
         .withColumn("bucket", F.when(F.col("value") < F.col("first"), -1).otherwise(inside))
         .groupBy(*target, "bucket", F.when(F.col("bucket") >= 0, F.col("value")).alias("value"))
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.count(F.lit(1)).alias("rows")),
+        "candidates",
     )
 
     def running(total: str, window):

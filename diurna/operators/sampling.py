@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diurna.operators.scans import first_by_hash, hashed_rank
+from diurna.session import written_table
 
 
 def stratum_sizes(df: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -34,7 +35,7 @@ def stratified_split(
     """Add ``split`` ('test' or 'development').
 
     Exactly ``test_rows`` (or floor(fraction * size)) rows of every stratum go
-    to test. With ``expected_size`` the job fails on a stratum of another size.
+    to test. With ``expected_size`` the call fails on a stratum of another size.
     """
     if (test_rows is None) == (test_fraction is None):
         raise ValueError("give either test_rows or test_fraction")
@@ -59,9 +60,13 @@ def stratified_folds(
     which is what balances the fold totals.
     """
     earlier = Window.orderBy(*strata).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per stratum: the only window here without a partition key.
-    offsets = stratum_sizes(df, strata).select(
-        *strata, F.coalesce(F.sum("stratum_size").over(earlier), F.lit(0)).alias("__offset")
+    # One row per stratum: the only window here without a partition key. Stored,
+    # so that the planner knows its size when it joins the rows by stratum.
+    offsets = written_table(
+        stratum_sizes(df, strata).select(
+            *strata, F.coalesce(F.sum("stratum_size").over(earlier), F.lit(0)).alias("__offset")
+        ),
+        "offsets",
     )
     ranked = hashed_rank(df, strata, ids, seed, "__rank")
     return (

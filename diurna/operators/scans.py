@@ -9,12 +9,13 @@ task. The result equals the plain window's.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diurna.functions import hashing
+from diurna.session import written_table
 
 
 def _before(window):
@@ -26,24 +27,31 @@ def carried_scan(
     keys: Sequence[str],
     chunk: Column,
     order: Sequence[str | Column],
-    value: Column,
-    out: str,
-    how: str = "sum",
+    measures: Mapping[str, tuple[str, Column]],
     inclusive: bool = False,
     peers: bool = False,
 ) -> DataFrame:
-    """Running ``sum`` or ``max`` of ``value`` within ``keys`` in ``order``.
+    """Running aggregates within ``keys`` in ``order``, all in one scan.
 
-    ``chunk`` must not decrease along ``order``. ``inclusive`` adds the row
-    itself; ``peers`` (with ``inclusive``) adds all rows equal in ``order``.
-    Empty frames give 0 for sums and NULL for maxima.
+    ``measures`` maps output names to ('sum' | 'max', value). ``chunk`` must
+    not decrease along ``order``. ``inclusive`` adds the row itself; ``peers``
+    adds all rows equal in ``order``. Empty frames give 0 for sums and NULL
+    for maxima.
     """
-    agg = {"sum": F.sum, "max": F.max}[how]
-    work = df.withColumns({"__chunk": chunk, "__value": value})
+    hows = {name: {"sum": F.sum, "max": F.max}[how] for name, (how, _) in measures.items()}
+    work = df.withColumns(
+        {"__chunk": chunk, **{f"__v_{name}": value for name, (_, value) in measures.items()}}
+    )
 
-    totals = work.groupBy(*keys, "__chunk").agg(agg("__value").alias("__total"))
+    totals = work.groupBy(*keys, "__chunk").agg(
+        *[agg(f"__v_{name}").alias(f"__t_{name}") for name, agg in hows.items()]
+    )
     across = _before(Window.partitionBy(*keys).orderBy("__chunk"))
-    carried = totals.select(*keys, "__chunk", agg("__total").over(across).alias("__carry"))
+    carried = totals.select(
+        *keys,
+        "__chunk",
+        *[agg(f"__t_{name}").over(across).alias(f"__c_{name}") for name, agg in hows.items()],
+    )
 
     inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
     if peers:
@@ -52,16 +60,18 @@ def carried_scan(
         inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     else:
         inside = _before(inside)
-    local = work.withColumn("__local", agg("__value").over(inside))
+    local = work.withColumns(
+        {f"__l_{name}": agg(f"__v_{name}").over(inside) for name, agg in hows.items()}
+    )
+
+    def merged(name: str) -> Column:
+        before, here = F.col(f"__c_{name}"), F.col(f"__l_{name}")
+        if measures[name][0] == "max":
+            return F.greatest(before, here)
+        return F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))
 
     joined = local.join(carried, [*keys, "__chunk"])
-    if how == "sum":
-        merged = F.coalesce(F.col("__carry"), F.lit(0)) + F.coalesce(F.col("__local"), F.lit(0))
-    else:
-        merged = F.greatest("__carry", "__local")
-    return joined.withColumn(out, merged).drop(
-        "__chunk", "__value", "__local", "__carry"
-    )
+    return joined.select(*df.columns, *[merged(name).alias(name) for name in measures])
 
 
 def running_index(
@@ -72,9 +82,8 @@ def running_index(
     out: str,
 ) -> DataFrame:
     """1-based position of each row within ``keys`` in ``order``."""
-    return carried_scan(
-        df, keys, chunk, order, F.lit(1).cast("long"), out, how="sum", inclusive=True
-    )
+    one = F.lit(1).cast("long")
+    return carried_scan(df, keys, chunk, order, {out: ("sum", one)}, inclusive=True)
 
 
 def sequential_layout(
@@ -84,13 +93,26 @@ def sequential_layout(
     order: Sequence[str | Column],
     duration: str,
     origin: str,
+    index: str = "item_index",
     start: str = "start_minute",
     end: str = "end_minute",
 ) -> DataFrame:
-    """Lay items end to end from ``origin``: item i starts where i-1 stopped."""
-    laid = carried_scan(df, keys, chunk, order, F.col(duration).cast("double"), "__ahead", "sum")
+    """Number items and lay them end to end from ``origin``.
+
+    Item i starts where item i-1 stopped.
+    """
+    length = F.col(duration).cast("double")
+    laid = carried_scan(
+        df,
+        keys,
+        chunk,
+        order,
+        {"__before": ("sum", F.lit(1).cast("long")), "__ahead": ("sum", length)},
+    )
     begin = F.col(origin) + F.col("__ahead")
-    return laid.withColumns({start: begin, end: begin + F.col(duration)}).drop("__ahead")
+    return laid.withColumns(
+        {index: F.col("__before") + 1, start: begin, end: begin + F.col(duration)}
+    ).drop("__before", "__ahead")
 
 
 def proportional_allocation(
@@ -154,14 +176,15 @@ def first_by_hash(
     ``quota`` is an expression over ``stratum_size``. Selecting needs no full
     ranking: a histogram of hash prefixes (combined map-side) tells in which
     slice the quota is reached. Rows of the other slices are decided where
-    they are; only that one slice of a stratum is ranked.
+    they are; only that one slice of a stratum is ranked. The cuts (one row
+    per stratum) are stored, so the planner knows their size when it joins.
     """
     keyed = df.withColumn("__key", hashing.hash_key(seed, *salt, *[F.col(c) for c in ids]))
     keyed = keyed.withColumn("__slice", hashing.hex_prefix(F.col("__key"), prefix_digits))
     slices = keyed.groupBy(*strata, "__slice").agg(F.count(F.lit(1)).alias("__rows"))
     stratum = Window.partitionBy(*strata)
     upto = stratum.orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = (
+    cuts = written_table(
         slices.withColumns(
             {
                 "stratum_size": F.sum("__rows").over(stratum),
@@ -177,7 +200,8 @@ def first_by_hash(
             *strata,
             F.col("__slice").alias("__cut"),
             (F.col("__quota") - F.col("__upto") + F.col("__rows")).alias("__need"),
-        )
+        ),
+        "cuts",
     )
     placed = keyed.join(cuts, list(strata), "left")
     at_cut = F.coalesce(F.col("__slice") == F.col("__cut"), F.lit(False))

@@ -28,7 +28,7 @@ def skewed(spark):
 @pytest.mark.parametrize("inclusive", [True, False])
 def test_carried_scan_equals_window(skewed, how, inclusive):
     got = scans.carried_scan(
-        skewed, ["k"], F.floor(F.col("t") / 50), ["t", "id"], F.col("v"), "got", how, inclusive
+        skewed, ["k"], F.floor(F.col("t") / 50), ["t", "id"], {"got": (how, F.col("v"))}, inclusive
     )
     window = Window.partitionBy("k").orderBy("t", "id").rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
@@ -93,11 +93,10 @@ def test_folds_balance(skewed):
 
 
 def test_split_rejects_wrong_stratum_size(skewed):
-    split = sampling.stratified_split(
-        skewed, ["k"], ["id"], 42, test_rows=2, expected_size=200
-    )
     with pytest.raises(Exception, match="expected 200"):
-        split.collect()
+        sampling.stratified_split(
+            skewed, ["k"], ["id"], 42, test_rows=2, expected_size=200
+        ).collect()
 
 
 def test_fraction_subsamples(skewed):

@@ -278,14 +278,14 @@ def sequential_layout(spark, sf_dir):
     origin = eventlog.session_rows(ev).select(*keys, "session_start_minute")
     placed = eventlog.tagged_episodes(ev).join(origin, keys)
     chunk, order = F.col("episode_start_minute"), ["episode_start_minute", "event_id"]
-    numbered = scans.running_index(placed, keys, chunk, order, "episode_index")
     laid = scans.sequential_layout(
-        numbered,
+        placed,
         keys,
         chunk,
         order,
         "episode_duration_minutes",
         "session_start_minute",
+        "episode_index",
         "laid_start",
         "laid_end",
     )
