@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diurna.operators import quantiles
+from diurna.operators.single import with_row
 
 
 def unpivot_row(row: DataFrame, cells: dict[str, dict[str, Column]], key: str) -> DataFrame:
@@ -74,7 +75,7 @@ def with_share(groups: DataFrame, amount: str, out: str) -> DataFrame:
     """Amount of each group over the amount of all groups."""
     total = groups.agg(F.sum(amount).alias("__total"))
     return (
-        groups.crossJoin(F.broadcast(total))  # exactly one row
+        with_row(groups, total)
         .withColumn(out, F.try_divide(F.col(amount), F.col("__total")))
         .drop("__total")
     )
@@ -224,7 +225,7 @@ def redundancy(
         + F.col("b1") * (F.col(x1) - F.col(f"m_{x1}"))
         + F.col("b2") * (F.col(x2) - F.col(f"m_{x2}"))
     )
-    scored = df.crossJoin(F.broadcast(fitted)).select(  # exactly one row
+    scored = with_row(df, fitted).select(
         y,
         latent,
         "b1",
@@ -281,7 +282,7 @@ def delta_against(summary: DataFrame, full: str = "Full") -> DataFrame:
         *[F.col(f"{m}_mean").alias(f"__{m}") for m in METRICS]
     )
     return (
-        summary.crossJoin(F.broadcast(base.limit(1)))
+        with_row(summary, base)
         .withColumns(
             {f"delta_{m}_vs_full": F.col(f"{m}_mean") - F.col(f"__{m}") for m in METRICS}
         )

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from diurna.operators.single import with_row
 from diurna.session import written_table
 
 CELLS_PER_WIDTH = 16
@@ -101,7 +102,7 @@ def best_contrast_pair(
         *extremes("right", by_cell.rangeBetween(first, last)),
         *extremes("left", by_cell.rangeBetween(-last, -first)),
     )
-    near = rows.join(edges, ["g", "cell"]).crossJoin(F.broadcast(floor_))  # floor_: one row
+    near = with_row(rows.join(edges, ["g", "cell"]), floor_)
 
     def edge_rows(opposite: str, is_left: bool, key: Column) -> DataFrame:
         reach = F.greatest(

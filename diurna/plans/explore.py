@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from diurna.functions import numeric
 from diurna.operators import aggregates, pairs, quantiles
+from diurna.operators.single import with_row
 from diurna.schemas import FEATURES
 
 
@@ -21,7 +22,7 @@ def trim(
     inside = F.lit(True)
     for c in columns:
         inside = inside & F.col(c).between(lows[c], highs[c])
-    return df.crossJoin(F.broadcast(bounds)).where(inside).select(*df.columns)  # one row
+    return with_row(df, bounds).where(inside).select(*df.columns)
 
 
 def contrast_pair(df: DataFrame, width: float = 3.0, id_: str = "row_id") -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diurna.operators import aggregates, sampling
+from diurna.operators.single import with_row
 from diurna.schemas import (
     CV_FOLDS,
     CV_SEED,
@@ -98,7 +99,7 @@ def gram(df: DataFrame, columns: Sequence[str], target: str, by: Sequence[str])
     """
     variables = [*columns, target]
     means = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(variables)])
-    centred = df.crossJoin(F.broadcast(means)).select(  # exactly one row
+    centred = with_row(df, means).select(
         *by,
         *[f"m_{i}" for i in range(len(variables))],
         *[(F.col(c) - F.col(f"m_{i}")).alias(f"v_{i}") for i, c in enumerate(variables)],
@@ -309,7 +310,7 @@ def final_test(
 ) -> DataFrame:
     """Fit on development, evaluate once on test."""
     model = final_fit(development, columns, target)
-    scored = test.crossJoin(F.broadcast(model)).select(  # exactly one row
+    scored = with_row(test, model).select(
         "model",
         "train_size",
         target,
@@ -389,10 +390,8 @@ def cross_validate_estimators(
             model = estimator.fit(training)
             scored = model.transform(ready.where(F.col("fold") == fold))
             sizes = training.agg(F.count(F.lit(1)).alias("train_size"))
-            row = (
-                aggregates.regression_metrics(scored, target, "prediction", ["fold"])
-                .crossJoin(F.broadcast(sizes))  # exactly one row
-                .select(
+            metrics = aggregates.regression_metrics(scored, target, "prediction", ["fold"])
+            row = with_row(metrics, sizes).select(
                     F.lit(name).alias("model"),
                     "fold",
                     "train_size",
@@ -400,7 +399,6 @@ def cross_validate_estimators(
                     "mae",
                     "rmse",
                     "r2",
-                )
             )
             results = row if results is None else results.unionByName(row)
     return results

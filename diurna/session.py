@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# Runtime settings the plans are written for. The JVM never compiles methods
+# Runtime settings the plans are written for. Wall-clock times are read as UTC,
+# also where a stream needs a timestamp with time zone. The JVM never compiles methods
 # above 8,000 bytes of bytecode; beyond that, projections split into small
 # methods run faster than one whole stage that stays interpreted.
 RUNTIME_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -40,7 +42,6 @@ def build_session(master: str | None = None, app_name: str = "diurna", **conf: s
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
         **RUNTIME_SETTINGS,
         **conf,
