@@ -34,6 +34,9 @@ from diurna.schemas import (
     TARGET,
     TRAIN_FRACTIONS,
 )
+from diurna.session import ship_by_value
+
+ship_by_value(__name__)
 
 
 @dataclass(frozen=True)
@@ -392,13 +395,13 @@ def cross_validate_estimators(
             sizes = training.agg(F.count(F.lit(1)).alias("train_size"))
             metrics = aggregates.regression_metrics(scored, target, "prediction", ["fold"])
             row = with_row(metrics, sizes).select(
-                    F.lit(name).alias("model"),
-                    "fold",
-                    "train_size",
-                    "validation_size",
-                    "mae",
-                    "rmse",
-                    "r2",
+                F.lit(name).alias("model"),
+                "fold",
+                "train_size",
+                "validation_size",
+                "mae",
+                "rmse",
+                "r2",
             )
             results = row if results is None else results.unionByName(row)
     return results

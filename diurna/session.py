@@ -9,9 +9,11 @@ it keeps column pruning and filter pushdown for its readers.
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -29,6 +31,14 @@ RUNTIME_SETTINGS = {
 }
 
 
+def ship_by_value(module: str) -> None:
+    """Send a module's task functions with the task itself.
+
+    Executors then need no installed copy of this package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session made elsewhere."""
     for key, value in RUNTIME_SETTINGS.items():

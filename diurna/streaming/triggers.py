@@ -17,6 +17,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from diurna.plans import interventions
 from diurna.schemas import BEDTIME_COOLDOWN_MINUTES, BEDTIME_WINDOW_MINUTES
+from diurna.session import ship_by_value
+
+ship_by_value(__name__)
 
 OUTPUT = "child_id long, event_id long, event_time timestamp, reason string"
 

@@ -55,6 +55,16 @@ def test_cross_validation_equals_numpy(frame, table, alpha):
         assert got[f].r2 == pytest.approx(1 - (e**2).sum() / ((y[v] - y[v].mean()) ** 2).sum(), rel=1e-9)
 
 
+def test_task_functions_travel_by_value():
+    """Executors hold no copy of the package."""
+    from pyspark import cloudpickle
+
+    from diurna.streaming import triggers
+
+    registered = cloudpickle.list_registry_pickle_by_value()
+    assert {modeling.__name__, triggers.__name__} <= set(registered)
+
+
 def test_gram_agrees_with_mllib(spark, frame):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
