@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diurna.llm import language, packing, text, toxicity
+from diurna.llm import language, packing, pages, text, topk, toxicity, urls
 from diurna.session import tune
 from diurna.sources.tables import table
 
@@ -58,6 +58,80 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_site_templates")
+def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+URL_RULES = (
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+)
+
+
+@query(
+    "op4_url_automaton",
+    """
+    WITH parts AS (
+        SELECT page_id,
+               translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+        FROM pages),
+    ruled AS (
+        SELECT page_id, host, path, CASE
+            WHEN (host = 'example.org' OR host LIKE '%.example.org')
+                 AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+            WHEN (host = 'example.org' OR host LIKE '%.example.org')
+                 AND starts_with(path, '/es/') THEN 'example.org/es/'
+            WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+            WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+            WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/'
+        END AS rule FROM parts)
+    SELECT page_id, host, path, rule,
+           CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/')
+                THEN 'block' ELSE 'allow' END AS verdict
+    FROM ruled
+    """,
+)
+def op4_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+@query(
+    "op8_no_random_access",
+    """
+    WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+        FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+    ranked AS (
+        SELECT query_id, vec_id, score, row_number() OVER (
+            PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank" FROM scored)
+    SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 5
+    """,
+)
+def op8_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(
+        F.forall(
+            "embedding",
+            lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))),
+        )
+    )
+    scaled = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")))
+    return topk.top_k(
+        vectors.select("vec_id", scaled.alias("vector")), F.col("vec_id") % 50 == 0, 5
+    )
+
+
 @query("op9_best_two_fit")
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
