@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diurna.llm import language, packing, pages, text, topk, toxicity, urls
+from diurna.llm import language, neardup, packing, pages, text, topk, toxicity, urls
 from diurna.session import tune
 from diurna.sources.tables import table
 
@@ -58,6 +58,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_bag_minhash")
+def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op3_site_templates")
 def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
