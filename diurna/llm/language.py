@@ -44,7 +44,8 @@ def labelled_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> D
     )
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("__rows"))
     share = F.pmod(F.col("__key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = labelled.join(counts, "lang").where(share * F.col("__rows") < per_language)
+    # One row per language.
+    drawn = labelled.join(F.broadcast(counts), "lang").where(share * F.col("__rows") < per_language)
     return drawn.select("lang", "text")
 
 

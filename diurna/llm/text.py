@@ -13,8 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from diurna.session import ship_by_value
 
@@ -154,4 +155,53 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int):
     return rows, hashes
 
 
+def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest of ``width`` values from each place on, the first of equals.
+
+    Places whose stretch runs over the end look at what is left.
+    """
+    best, place, reach = values.copy(), np.arange(len(values)), 1
+    while reach < width and reach < len(values):
+        step = min(reach, width - reach)
+        nearer = best[:-step] <= best[step:]
+        low = np.where(nearer, best[:-step], best[step:])
+        place[:-step] = np.where(nearer, place[:-step], place[step:])
+        best[:-step] = low
+        reach += step
+    return place
+
+
+def row_key(*columns: str) -> Column:
+    """64-bit key of a row's contents; equal rows share it."""
+    return F.xxhash64(*columns)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with text as compressed bytes, for a join that has to move texts."""
+    names = [c for c in rows.columns if c != "text"]
+    width = len(names)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            data = [press.compress((t or "").encode()) for t in batch.column(width).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i) for i in range(width)], pa.array(data, pa.binary())],
+                [*names, "packed"],
+            )
+
+    fields = [rows.schema[n] for n in names]
+    schema = StructType([*fields, StructField("packed", BinaryType())])
+    return rows.select(*names, "text").mapInArrow(pack, schema)
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(data) for data in column.to_pylist()]
+
+
 ship_by_value(__name__)
