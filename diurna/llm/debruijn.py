@@ -148,27 +148,35 @@ def branching_windows(sources: DataFrame, texts: DataFrame, span: int = SPAN) ->
     )
 
 
-def repeated_blocks(blocks: DataFrame, texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """(block, mask): bit i tells whether the block's i-th window is repeated."""
-    distinct = blocks.groupBy("block").agg(
-        F.min("anchor").alias("anchor"),
-        F.count(F.lit(1)).alias("copies"),
-        F.min("key").alias("key"),
+def blocks_at_repeated_anchors(blocks: DataFrame) -> DataFrame:
+    """(block, anchor, copies, kinds, key, count): each different block once.
+
+    Only blocks whose anchor stands more than once; ``kinds`` is the number of
+    different blocks at the anchor, ``key`` a row that holds the block.
+    """
+    distinct = written_table(
+        blocks.groupBy("block").agg(
+            F.min("anchor").alias("anchor"),
+            F.count(F.lit(1)).alias("copies"),
+            F.min("key").alias("key"),
+            F.min("count").alias("count"),
+        ),
+        "blocks",
     )
-    distinct = written_table(distinct, "blocks")
     anchors = (
         distinct.groupBy("anchor")
         .agg(F.sum("copies").alias("stands"), F.count(F.lit(1)).alias("kinds"))
         .where(F.col("stands") > 1)
+        .drop("stands")
     )
-    found = written_table(
-        distinct.join(anchors, "anchor").select(
-            "block", "copies", "key", (F.col("kinds") > 1).alias("branching")
-        ),
-        "repeated-anchors",
-    )
+    return written_table(distinct.join(anchors, "anchor"), "repeated-anchors")
+
+
+def repeated_blocks(blocks: DataFrame, texts: DataFrame, span: int = SPAN) -> DataFrame:
+    """(block, mask): bit i tells whether the block's i-th window is repeated."""
+    found = blocks_at_repeated_anchors(blocks)
     windows = written_table(
-        branching_windows(found.where("branching"), texts, span), "branching-windows"
+        branching_windows(found.where(F.col("kinds") > 1), texts, span), "branching-windows"
     )
     repeated = (
         windows.groupBy("window").agg(F.sum("copies").alias("starts")).where(F.col("starts") > 1)
@@ -179,7 +187,9 @@ def repeated_blocks(blocks: DataFrame, texts: DataFrame, span: int = SPAN) -> Da
         .groupBy("block")
         .agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
     )
-    whole = found.where(F.col("copies") > 1).select("block", F.lit(-1).cast("long").alias("mask"))
+    whole = found.where(F.col("copies") > 1).select(
+        "block", F.expr("shiftleft(1L, count) - 1").alias("mask")
+    )
     return whole.unionByName(single)
 
 
@@ -189,9 +199,7 @@ def covered(size: int, starts: list[int], masks: list[int], span: int) -> np.nda
     bits = np.arange(64, dtype=np.uint64)
     mask = np.array(masks, np.int64).view(np.uint64)
     which, bit = np.nonzero((mask[:, None] >> bits) & np.uint64(1))
-    begin = np.array(starts, np.int64)[which] + bit
-    # A full mask has more bits than its block has windows.
-    begin = begin[begin + span <= size]
+    begin = np.array(starts, np.int64)[which] + bit.astype(np.int64)
     np.add.at(change, begin, 1)
     np.add.at(change, begin + span, -1)
     return np.cumsum(change)[:-1] > 0
@@ -212,13 +220,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     texts = text.packed(keyed.select("key", "text"))
     masks = repeated_blocks(blocks, texts, span)
     spans = (
-        blocks.select("key", "block", "start", "count")
+        blocks.select("key", "block", "start")
         .join(masks, "block")
-        .withColumn(
-            "mask",
-            # Bits beyond the block's windows are no windows.
-            F.col("mask").bitwiseAND(F.expr("shiftleft(1L, count) - 1")),
-        )
         .groupBy("key")
         .agg(F.collect_set(F.struct("start", "mask")).alias("spans"))
     )

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diurna.llm import debruijn, language, neardup, packing, pages, text, topk, toxicity, urls
+from diurna.llm import debruijn, language, neardup, packing, pages, suffixdedup, text, topk, toxicity, urls
 from diurna.session import tune
 from diurna.sources.tables import table
 
@@ -112,6 +112,14 @@ def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op7_linear_grouping")
+def op7_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixdedup.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 @query(
     "op8_no_random_access",
     """

@@ -156,19 +156,22 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int):
 
 
 def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the smallest of ``width`` values from each place on, the first of equals.
+    """Place of the least of ``width`` values from each place on, the first of equals.
 
-    Places whose stretch runs over the end look at what is left.
+    Values are compared by their upper 32 bits. Stretches that run over the end
+    look at what is left. Minima of fixed pieces, run forwards and backwards,
+    give every stretch from one end of a piece and one beginning.
     """
-    best, place, reach = values.copy(), np.arange(len(values)), 1
-    while reach < width and reach < len(values):
-        step = min(reach, width - reach)
-        nearer = best[:-step] <= best[step:]
-        low = np.where(nearer, best[:-step], best[step:])
-        place[:-step] = np.where(nearer, place[:-step], place[step:])
-        best[:-step] = low
-        reach += step
-    return place
+    size = len(values)
+    tagged = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(size, dtype=np.uint64)
+    pieces = -(-size // width) + 1
+    padded = np.full(pieces * width, np.uint64(0xFFFFFFFFFFFFFFFF))
+    padded[:size] = tagged
+    square = padded.reshape(pieces, width)
+    ahead = np.minimum.accumulate(square, axis=1).ravel()
+    behind = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(behind[:size], ahead[width - 1 : width - 1 + size])
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def row_key(*columns: str) -> Column:
