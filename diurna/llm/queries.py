@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diurna.llm import debruijn, language, neardup, packing, pages, suffixdedup, text, topk, toxicity, urls
+from diurna.llm import debruijn, decontaminate, language, neardup, packing, pages, suffixdedup, text, topk, toxicity, urls
 from diurna.session import tune
 from diurna.sources.tables import table
 
@@ -106,6 +106,13 @@ def op4_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+@query("op5_simhash_decontamination")
+def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 @query("op6_debruijn")
 def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
