@@ -24,14 +24,6 @@ def normalise_terms(terms: Column) -> Column:
     return F.coalesce(F.array_distinct(kept), F.array().cast("array<string>"))
 
 
-def lowered(terms: Column) -> Column:
-    return F.transform(terms, lambda t: F.lower(t))
-
-
-def intersects(left: Column, right: Column) -> Column:
-    return F.coalesce(F.arrays_overlap(left, right), F.lit(False))
-
-
 def is_subset(left: Column, right: Column) -> Column:
     return F.size(F.array_except(left, right)) == 0
 

@@ -31,7 +31,7 @@ def minutes_to_clock(minutes: Column) -> Column:
 
 def weekday_of(day_index: Column) -> Column:
     """0 = Monday; day 0 is a Monday."""
-    return (day_index % 7).cast("int")
+    return F.pmod(day_index, F.lit(7)).cast("int")
 
 
 def next_weekday(weekday: Column) -> Column:

@@ -14,14 +14,6 @@ def nan_to_null(col: Column) -> Column:
     return F.when(F.isnan(col), F.lit(None)).otherwise(col)
 
 
-def clean_doubles(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: nan_to_null(F.col(c)) for c in columns})
-
-
-def is_missing(col: Column) -> Column:
-    return col.isNull() | F.isnan(col)
-
-
 def is_finite(col: Column) -> Column:
     """False for NULL, NaN and both infinities."""
     return F.coalesce(

@@ -64,14 +64,14 @@ def with_clock_text(df: DataFrame) -> DataFrame:
     )
 
 
-def daily_contexts(population: DataFrame, n_days: int, day_start: Column) -> DataFrame:
-    """One row per child and day 0..n_days-1.
+def daily_contexts(
+    population: DataFrame, first_day: Column, last_day: Column, day_start: Column
+) -> DataFrame:
+    """One row per child and day first_day..last_day, none if a bound is NULL.
 
     ``day_start`` may use the profile columns and ``has_school_today``.
     """
-    days = population.withColumn(
-        "day_index", F.explode(F.sequence(F.lit(0), F.lit(n_days - 1)))
-    )
+    days = population.withColumn("day_index", F.explode(F.sequence(first_day, last_day)))
     flagged = days.withColumn(
         "has_school_today", clock.is_school_day(clock.weekday_of(F.col("day_index")))
     )

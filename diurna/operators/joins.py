@@ -111,7 +111,8 @@ def as_of(
     Both sides are stacked on one time line and scanned in chunks of
     ``chunk`` (a date_trunc unit), so a key with very many rows is spread over
     its chunks. ``out`` is the history time; ``payload`` columns come along.
-    Ties in time go to the largest payload.
+    Ties in time go to the largest payload. A probe without a key or time finds
+    nothing, and stays.
     """
     columns = [c for c in probes.columns if c not in keys]
     entry = F.struct(F.col(history_time).alias("t"), *payload)
@@ -135,6 +136,10 @@ def as_of(
         {"__last": ("max", F.col("__entry"))},
         peers=True,
     )
+    known = F.lit(True)
+    for part in [*keys, "__t"]:
+        known = known & F.col(part).isNotNull()
+    scanned = scanned.withColumn("__last", F.when(known, F.col("__last")))
     return scanned.where(F.col("__probe").isNotNull()).select(
         *keys,
         *[F.col("__probe")[c].alias(c) for c in columns],
@@ -151,11 +156,3 @@ def unknown_keys(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
 def by_membership(df: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is among ``members``."""
     return df.join(members.select(*keys), list(keys), "left_semi")
-
-
-def lookup_default(
-    facts: DataFrame, counts: DataFrame, keys: Sequence[str], column: str, default: Column
-) -> DataFrame:
-    """Left lookup with a default where nothing matched."""
-    joined = lookup(facts, counts, keys, [column])
-    return joined.withColumn(column, F.coalesce(F.col(column), default))

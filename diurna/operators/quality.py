@@ -11,8 +11,15 @@ Rules = Mapping[str, Column]
 
 
 def run_rules(df: DataFrame, rules: Rules) -> DataFrame:
-    """One row per rule: check, failed_rows. A NULL outcome is not a failure."""
-    row = df.agg(*[F.count_if(broken).alias(name) for name, broken in rules.items()])
+    """One row per rule: check, failed_rows.
+
+    A rule that cannot be decided because a value is missing is broken; a rule
+    that allows missing values has to say so.
+    """
+    undecided = F.lit(True)
+    row = df.agg(
+        *[F.count_if(F.coalesce(broken, undecided)).alias(name) for name, broken in rules.items()]
+    )
     entries = F.array(
         *[F.struct(F.lit(n).alias("check"), F.col(n).alias("failed_rows")) for n in rules]
     )
@@ -22,7 +29,9 @@ def run_rules(df: DataFrame, rules: Rules) -> DataFrame:
 def violations(df: DataFrame, rules: Rules) -> DataFrame:
     """Rows that break at least one rule, with the names of all they break."""
     broken = F.array_compact(
-        F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()])
+        F.array(
+            *[F.when(F.coalesce(cond, F.lit(True)), F.lit(name)) for name, cond in rules.items()]
+        )
     )
     return df.withColumn("broken_rules", broken).where(F.size("broken_rules") > 0)
 

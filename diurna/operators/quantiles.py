@@ -19,7 +19,7 @@ from diurna.session import written_table
 
 SKETCH_ACCURACY = 10_000
 BRACKET = 0.002  # twenty times the sketch's rank error
-SMALL = 100_000  # below this many values the bracket is the whole range
+MIN_RANKS = 2  # a bracket must span this many ranks, else it is the whole range
 SUB_BUCKETS = 1024
 
 
@@ -73,7 +73,7 @@ def exact_quantiles(
     def spec(p: float):
         below, above = (round(p + side * BRACKET, 6) for side in (-1, 1))
         position = (F.col("n") - 1) * F.lit(float(p))
-        wide = F.col("n") < SMALL
+        wide = F.col("n") * F.lit(BRACKET) < MIN_RANKS
         first = F.col("low") if below <= 0 else F.element_at("marks", grid.index(below) + 1)
         last = F.col("high") if above >= 1 else F.element_at("marks", grid.index(above) + 1)
         return F.struct(
@@ -128,17 +128,17 @@ def exact_quantiles(
         .withColumn("from", F.col("upto") - F.col("rows"))
     )
     at0, at1 = _ranks_in("from", "upto")
-    return (
-        ranked.groupBy(*target)
-        .agg(
-            F.max(F.when(at0, F.col("value"))).alias("x0"),
-            F.max(F.when(at1, F.col("value"))).alias("x1"),
-            F.first("fraction").alias("fraction"),
-        )
-        .select(
-            *target,
-            (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("fraction")).alias("quantile"),
-        )
+    found = ranked.groupBy(*target).agg(
+        F.max(F.when(at0, F.col("value"))).alias("x0"),
+        F.max(F.when(at1, F.col("value"))).alias("x1"),
+    )
+    # The sketch's bound promises that the ranks lie inside; a rank outside its
+    # bracket must not go missing quietly.
+    both = F.col("x0").isNotNull() & F.col("x1").isNotNull()
+    quantile = F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("fraction")
+    outside = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    return specs.select(*target, "fraction").join(found, target, "left").select(
+        *target, F.when(both, quantile).otherwise(outside).alias("quantile")
     )
 
 

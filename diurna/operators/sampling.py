@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from diurna.operators.scans import first_by_hash, hashed_rank
+from diurna.operators.scans import first_by_hash, hashed_rank, join_on_same
 from diurna.session import written_table
 
 
@@ -70,7 +70,7 @@ def stratified_folds(
     )
     ranked = hashed_rank(df, strata, ids, seed, "__rank")
     return (
-        ranked.join(offsets, list(strata))
+        join_on_same(ranked, offsets, strata)
         .withColumn("fold", ((F.col("__offset") + F.col("__rank") - 1) % k + 1).cast("int"))
         .drop("__rank", "__offset")
     )

@@ -18,6 +18,13 @@ from diurna.functions import hashing
 from diurna.session import written_table
 
 
+def join_on_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"):
+    """Join in which two NULL keys are the same key; key columns of the left."""
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = [left[k].eqNullSafe(named[f"__r_{k}"]) for k in keys]
+    return left.join(named, same, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def _before(window):
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -70,7 +77,7 @@ def carried_scan(
             return F.greatest(before, here)
         return F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))
 
-    joined = local.join(carried, [*keys, "__chunk"])
+    joined = join_on_same(local, carried, [*keys, "__chunk"])
     return joined.select(*df.columns, *[merged(name).alias(name) for name in measures])
 
 
@@ -203,7 +210,7 @@ def first_by_hash(
         ),
         "cuts",
     )
-    placed = keyed.join(cuts, list(strata), "left")
+    placed = join_on_same(keyed, cuts, strata, "left")
     at_cut = F.coalesce(F.col("__slice") == F.col("__cut"), F.lit(False))
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy("__key", *ids))
     decided = placed.where(~at_cut).withColumn(

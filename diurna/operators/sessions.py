@@ -71,13 +71,3 @@ def sessionize(
 ) -> DataFrame:
     """Episodes -> sessions."""
     return session_table(number_sessions(start_grain(episodes, keys=keys), gap_minutes, keys), keys=keys)
-
-
-def tag_episodes(
-    episodes: DataFrame, gap_minutes: float = 30.0, keys: Sequence[str] = ("child_id", "day_index")
-) -> DataFrame:
-    """Episodes with the session_index of the session they fall in."""
-    numbered = number_sessions(start_grain(episodes, keys=keys), gap_minutes, keys).select(
-        *keys, "episode_start_minute", "session_index"
-    )
-    return episodes.join(numbered, [*keys, "episode_start_minute"])

@@ -50,14 +50,16 @@ def population(df: DataFrame) -> DataFrame:
     )
 
 
-def daily_context(df: DataFrame, n_days: int) -> DataFrame:
+def daily_context(df: DataFrame, n_days: Column) -> DataFrame:
     school, start, end = (
         F.col(c) for c in ("has_school_today", "school_start_minute", "school_end_minute")
     )
     per_child = df.groupBy("child_id").agg(F.count(F.lit(1)).alias("n"))
     return suite(
         [
-            run_rules(per_child, {"days_per_child": F.col("n") != n_days}),
+            run_rules(
+                per_child.withColumn("__days", n_days), {"days_per_child": F.col("n") != F.col("__days")}
+            ),
             run_rules(
                 df,
                 {
@@ -121,7 +123,9 @@ def windows(df: DataFrame) -> DataFrame:
                 {
                     "width_positive": ~(F.col("__width") > 0),
                     "weight_positive": ~(F.col("weight") > 0),
-                    "contiguous": ~numeric.isclose(F.col("__before"), F.col("window_start")),
+                    # The first window of a day has none before it.
+                    "contiguous": F.col("__before").isNotNull()
+                    & ~numeric.isclose(F.col("__before"), F.col("window_start")),
                 },
             ),
             run_rules(
@@ -192,7 +196,7 @@ def episodes(sessions: DataFrame, bounds: DataFrame, rows: DataFrame) -> DataFra
     """Episodes against their sessions; ``bounds`` is session_bounds(rows)."""
     joined = sessions.select(
         *SESSION, "session_duration_minutes", "session_start_minute", "session_end_minute"
-    ).join(bounds, SESSION)
+    ).join(bounds, SESSION, "left")
     return suite(
         [
             run_rules(
@@ -207,7 +211,7 @@ def episodes(sessions: DataFrame, bounds: DataFrame, rows: DataFrame) -> DataFra
             run_rules(
                 joined,
                 {
-                    "one_episode_per_session": F.col("episode_count") < 1,
+                    "one_episode_per_session": F.coalesce("episode_count", F.lit(0)) < 1,
                     "duration_conserved": ~_close("session_duration_minutes", "episode_minutes"),
                     "first_start_matches": ~_close("session_start_minute", "first_episode_start"),
                     "last_end_matches": ~_close("session_end_minute", "last_episode_end"),
@@ -402,4 +406,6 @@ def scoring_input(df: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def history(df: DataFrame) -> DataFrame:
-    return run_rules(df, dict(interventions.record_rules()))
+    # A rule about an optional field says nothing where the field is missing.
+    rules = {name: F.coalesce(c, F.lit(False)) for name, c in interventions.record_rules()}
+    return run_rules(df, rules)

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from diurna.functions import clock, hashing, numeric
 from diurna.operators import calendar, intervals, sessions
-from diurna.schemas import APP_CATEGORIES, MINUTES_PER_DAY, TARGET
+from diurna.operators.single import row_of
+from diurna.schemas import APP_CATEGORIES, MINUTES_PER_DAY, SCHOOL_HOURS, TARGET
 
 EPOCH_DAY = "2024-01-01"
-CALENDAR_DAYS = 30
 
 EVENT_CATEGORY = {
     "click": "games",
@@ -26,13 +26,6 @@ EVENT_CATEGORY = {
     "error": "other",
 }
 
-SCHOOL_HOURS = {
-    "morning": ("08:00", "12:15"),
-    "afternoon": ("13:00", "17:15"),
-    "full_day": ("08:15", "16:20"),
-}
-
-
 def _minutes(text: str) -> int:
     hours, minutes = text.split(":")
     return int(hours) * 60 + int(minutes)
@@ -58,13 +51,16 @@ def week_of(day_index: Column) -> Column:
 
 
 def episodes(events: DataFrame) -> DataFrame:
-    """Events -> app episodes, clipped at midnight."""
+    """Events -> app episodes, clipped at midnight.
+
+    An event without user, time or length is no episode, and neither is one
+    whose length is NaN, zero or negative.
+    """
     start = (F.hour("ts") * 60 + F.minute("ts")).cast("double")
-    end = F.least(start + F.col("value"), F.lit(float(MINUTES_PER_DAY)))
+    length = numeric.nan_to_null(F.col("value"))
+    end = F.least(start + length, F.lit(float(MINUTES_PER_DAY)))
     return (
-        events.where(
-            F.col("user_id").isNotNull() & F.col("ts").isNotNull() & F.col("value").isNotNull()
-        )
+        events.where(F.col("user_id").isNotNull() & F.col("ts").isNotNull() & (length > 0))
         .select(
             "event_id",
             (F.col("user_id") + 1).alias("child_id"),
@@ -147,8 +143,20 @@ def population(events: DataFrame) -> DataFrame:
     )
 
 
-def daily_contexts(events: DataFrame, n_days: int = CALENDAR_DAYS) -> DataFrame:
-    return calendar.daily_contexts(population(events), n_days, day_start_rule())
+def calendar_span(events: DataFrame) -> DataFrame:
+    """One row: first_day and last_day on which anybody shows up in the log."""
+    day = day_of(F.col("ts"))
+    return events.where(F.col("user_id").isNotNull()).agg(
+        F.min(day).alias("first_day"), F.max(day).alias("last_day")
+    )
+
+
+def daily_contexts(events: DataFrame) -> DataFrame:
+    """Every child on every day from the log's first to its last."""
+    span = row_of(calendar_span(events))
+    return calendar.daily_contexts(
+        population(events), span["first_day"], span["last_day"], day_start_rule()
+    )
 
 
 def with_context(df: DataFrame) -> DataFrame:

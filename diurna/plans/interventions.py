@@ -64,14 +64,22 @@ def elapsed_minutes(now: Column, last: Column) -> Column:
 def bedtime_reason(
     window: int = BEDTIME_WINDOW_MINUTES, cooldown: int = BEDTIME_COOLDOWN_MINUTES
 ) -> Column:
-    """Ordered rules over one event row; NULL times mean no earlier offer."""
+    """Ordered rules over one event row.
+
+    A transition fires only if everything it rests on is known: a NULL device
+    state counts as not in use, a NULL or impossible clock as an invalid
+    bedtime, and without a current time there is no decision. A NULL
+    ``last_bedtime_intervention`` means no earlier offer.
+    """
     left = clock.minutes_until(
         F.col("current_time"), F.col("bedtime_hour"), F.col("bedtime_minute")
     )
     since = elapsed_minutes(F.col("current_time"), F.col("last_bedtime_intervention"))
+    valid = clock.valid_clock(F.col("bedtime_hour"), F.col("bedtime_minute"))
     return (
-        F.when(~F.col("device_in_use"), "device_not_in_use")
-        .when(~clock.valid_clock(F.col("bedtime_hour"), F.col("bedtime_minute")), "invalid_bedtime")
+        F.when(~F.coalesce("device_in_use", F.lit(False)), "device_not_in_use")
+        .when(~F.coalesce(valid, F.lit(False)), "invalid_bedtime")
+        .when(left.isNull(), "missing_time")
         .when(left > window, "outside_bedtime_window")
         .when(since < cooldown, "bedtime_cooldown_active")
         .otherwise("bedtime_transition")

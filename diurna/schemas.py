@@ -61,6 +61,7 @@ WINDOW_WEIGHTS = {
     "pre_bedtime": 1.20,
     "post_bedtime_overnight": 0.15,
 }
+# Shape of the waking day.
 NIGHT_SEVERITY_SLOPE = 0.10
 PRE_BEDTIME_MINUTES = 120
 NO_SCHOOL_MORNING_END = 720
@@ -78,12 +79,18 @@ SESSION_COUNT_PREDICTOR = {
 }
 EPISODE_RATE_PREDICTOR = {"weights": {"F": 1.0}, "base": 1.0 / 6.0, "gain": 0.30}
 
+# School hours by mode.
+SCHOOL_HOURS = {
+    "morning": ("08:00", "12:15"),
+    "afternoon": ("13:00", "17:15"),
+    "full_day": ("08:15", "16:20"),
+}
+
 # Evaluation protocol.
 CV_FOLDS = 5
 CV_SEED = 42
 SPLIT_SEED = 42
 TEST_PER_STRATUM = 40
-DEVELOPMENT_PER_STRATUM = 160
 RIDGE_ALPHAS = [0.01, 0.1, 1.0, 10.0, 100.0]
 TRAIN_FRACTIONS = [0.25, 0.50, 0.75, 1.00]
 FOREST_GRID = {"max_depth": [None, 4, 8], "min_samples_leaf": [1, 5, 10], "trees": 300}

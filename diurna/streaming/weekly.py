@@ -8,23 +8,16 @@ from pyspark.sql import functions as F
 from diurna.functions import numeric
 from diurna.plans import eventlog
 from diurna.schemas import APP_CATEGORIES, EVENTS
+from diurna.sources.tables import stream_table
 
 LATENESS = "2 days"
 # Tumbling windows count from 1970-01-01, a Thursday; weeks start on Monday.
 MONDAY_OFFSET = "4 days"
 
 
-def read_events(
-    spark: SparkSession, folder: str, pattern: str = "events*.parquet", files_per_trigger: int = 1
-) -> DataFrame:
-    """Event files as a stream; ``event_time`` is a zoned timestamp."""
-    stream = (
-        spark.readStream.schema(EVENTS)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
-    return with_event_time(stream)
+def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """The event table as a stream; ``event_time`` is a zoned timestamp."""
+    return with_event_time(stream_table(spark, folder, "events", EVENTS, files_per_trigger))
 
 
 def with_event_time(events: DataFrame) -> DataFrame:

@@ -142,8 +142,9 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
     for i, rows in enumerate((first, later, latest, late)):
         spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
         source = next((tmp_path / f"part{i}").glob("*.parquet"))
-        (tmp_path / "in").mkdir(exist_ok=True)
-        source.rename(tmp_path / "in" / f"events{i}.parquet")
+        folder = tmp_path / "in" / "events.parquet"
+        folder.mkdir(parents=True, exist_ok=True)
+        source.rename(folder / f"part-{i}.parquet")
     stream = live.weekly_totals(live.read_events(spark, str(tmp_path / "in")))
     closed = runs.drain(stream, "late").collect()
     batch = live.weekly_totals(live.with_event_time(spark.createDataFrame(first, EVENT)))

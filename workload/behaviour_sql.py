@@ -15,7 +15,7 @@ ep AS (
          CASE event_type WHEN 'click' THEN 'games' WHEN 'view' THEN 'social'
               WHEN 'purchase' THEN 'entertainment' WHEN 'signup' THEN 'education'
               WHEN 'error' THEN 'other' END AS cat
-  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value > 0 AND NOT isnan(value)
 ),
 ep_seq AS (
   SELECT *, e - s AS dur,
@@ -50,15 +50,19 @@ prof AS (
   FROM kids
 ),
 cal AS (
-  SELECT p.child_id, p."S", p.school_mode, d.day_index, d.day_index % 7 AS wd,
-         d.day_index % 7 < 5 AS school_today, (d.day_index + 1) % 7 < 5 AS school_next,
-         CASE WHEN d.day_index % 7 < 5 THEN sch_s END AS ss_min,
-         CASE WHEN d.day_index % 7 < 5 THEN sch_e END AS se_min,
-         CASE WHEN (d.day_index + 1) % 7 < 5 THEN bed_s ELSE bed_n END AS bed,
-         CASE WHEN d.day_index % 7 < 5 THEN bed_s ELSE bed_n END AS prev_bed,
-         CASE WHEN d.day_index % 7 >= 5 THEN 555 WHEN school_mode = 'afternoon' THEN 495
+  SELECT p.child_id, p."S", p.school_mode, d.day_index, d.wd,
+         d.wd < 5 AS school_today, (d.wd + 1) % 7 < 5 AS school_next,
+         CASE WHEN d.wd < 5 THEN sch_s END AS ss_min,
+         CASE WHEN d.wd < 5 THEN sch_e END AS se_min,
+         CASE WHEN (d.wd + 1) % 7 < 5 THEN bed_s ELSE bed_n END AS bed,
+         CASE WHEN d.wd < 5 THEN bed_s ELSE bed_n END AS prev_bed,
+         CASE WHEN d.wd >= 5 THEN 555 WHEN school_mode = 'afternoon' THEN 495
               ELSE sch_s - 75 END AS day_start
-  FROM prof p, (SELECT unnest(range(30)) AS day_index) d
+  FROM prof p, (
+    SELECT day_index, ((day_index % 7) + 7) % 7 AS wd FROM (
+      SELECT unnest(range(min(d), max(d) + 1)) AS day_index FROM (
+        SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS d
+        FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL))) d
 ),
 edge AS (
   SELECT child_id, day_index, unnest(list_sort(list_distinct(list_filter([

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from diurna.operators import aggregates, intervals
+from diurna.operators.single import row_of
 from diurna.plans import checks, eventlog, study, weekly
 from diurna.schemas import APP_CATEGORIES, CV_FOLDS, FEATURES, TARGET
 from diurna.session import written_table
@@ -19,9 +20,9 @@ SESSION = ["child_id", "day_index", "session_index"]
 
 
 def checks_sql(groups: dict[str, dict[str, str]]) -> str:
-    """source -> {check: failing condition}; all counted."""
+    """source -> {check: failing condition}; all counted, undecided ones too."""
     return " UNION ALL ".join(
-        f"SELECT '{check}' AS \"check\", count(*) FILTER ({cond}) AS failed_rows FROM {source}"
+        f"SELECT '{check}' AS \"check\", count(*) FILTER (coalesce({cond}, true)) AS failed_rows FROM {source}"
         for source, rules in groups.items()
         for check, cond in rules.items()
     )
@@ -73,7 +74,7 @@ def dq_population(spark, sf_dir):
         checks_sql(
             {
                 "(SELECT child_id, count(*) AS n FROM cal GROUP BY child_id)": {
-                    "days_per_child": "n <> 30"
+                    "days_per_child": "n <> (SELECT max(day_index) - min(day_index) + 1 FROM cal)"
                 },
                 "cal": {
                     "weekend_flag": "(wd >= 5) <> (wd IN (5, 6))",
@@ -86,9 +87,10 @@ def dq_population(spark, sf_dir):
     ),
 )
 def dq_context(spark, sf_dir):
-    return report(
-        checks.daily_context(eventlog.daily_contexts(events(spark, sf_dir)), eventlog.CALENDAR_DAYS)
-    )
+    ev = events(spark, sf_dir)
+    span = row_of(eventlog.calendar_span(ev))
+    days = span["last_day"] - span["first_day"] + 1
+    return report(checks.daily_context(eventlog.daily_contexts(ev), days))
 
 
 @query(
@@ -144,7 +146,7 @@ def dq_conservation(spark, sf_dir):
                 "wl": {
                     "width_positive": "NOT we - ws > 0",
                     "weight_positive": "NOT w > 0",
-                    "contiguous": "NOT abs(pe - ws) <= 1e-8 + 1e-5 * abs(ws)",
+                    "contiguous": "pe IS NOT NULL AND NOT abs(pe - ws) <= 1e-8 + 1e-5 * abs(ws)",
                 },
                 "(SELECT min(ws) AS a, max(we) AS b, sum(we - ws) AS c FROM win GROUP BY child_id, day_index)": {
                     "starts_at_midnight": "NOT abs(a) <= 1e-8",
@@ -175,7 +177,7 @@ def dq_windows(spark, sf_dir):
                     "ends_after_start": "NOT se > ss",
                 },
                 """(SELECT ss, lag(se) OVER (PARTITION BY child_id, day_index ORDER BY ss, se) AS pe
-                    FROM sess0)""": {"no_overlap": "ss < pe - 1e-9"},
+                    FROM sess0)""": {"no_overlap": "pe IS NOT NULL AND ss < pe - 1e-9"},
                 """(SELECT use, t FROM day JOIN (SELECT child_id, day_index, sum(dur) AS t
                     FROM sess0 GROUP BY ALL) USING (child_id, day_index))""": {
                     "time_conserved": "NOT abs(use - t) <= 1e-8 + 1e-10 * abs(t)"
@@ -508,6 +510,6 @@ def dq_scoring_input(spark, sf_dir):
     return report(checks.scoring_input(rows, ["l_orderkey"]))
 
 
-@query("dq_history", f"WITH {RESPONSE_SQL} " + checks_sql({"resp": RULES_SQL}))
+@query("dq_history", f"WITH {RESPONSE_SQL} " + checks_sql({"resp": {k: f"coalesce({c}, false)" for k, c in RULES_SQL.items()}}))
 def dq_history(spark, sf_dir):
     return report(checks.history(responses(spark, sf_dir)))

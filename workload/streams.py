@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from diurna.schemas import APP_CATEGORIES, INTERVENTION_RECORD
 from diurna.session import scratch_path
 from diurna.sources.files import read_records
+from diurna.sources.tables import stream_table, table
 from diurna.streaming import history, runs, sessions, triggers, weekly
 from workload import interventions as ivn
 from workload.behaviour_sql import with_tables
@@ -31,7 +32,7 @@ from workload.registry import longs, query, rounded
     ),
 )
 def stream_weekly_totals(spark, sf_dir):
-    stream = weekly.weekly_totals(weekly.read_events(spark, sf_dir, "events.parquet"))
+    stream = weekly.weekly_totals(weekly.read_events(spark, sf_dir))
     totals = runs.drain(stream, "weekly-totals", "complete")
     return totals.select(
         *longs("child_id", "openings"),
@@ -64,7 +65,7 @@ def stream_weekly_totals(spark, sf_dir):
     """,
 )
 def stream_sessions(spark, sf_dir):
-    log = weekly.read_events(spark, sf_dir, "events.parquet").where(
+    log = weekly.read_events(spark, sf_dir).where(
         "user_id IS NOT NULL AND value IS NOT NULL"
     )
     live = runs.drain(sessions.live_sessions(log), "live-sessions", "complete")
@@ -93,7 +94,7 @@ def stream_sessions(spark, sf_dir):
 )
 def stream_triggers(spark, sf_dir):
     runs.use_rocksdb(spark)
-    log = weekly.read_events(spark, sf_dir, "events.parquet")
+    log = weekly.read_events(spark, sf_dir)
     rows = ivn.bedtime_rows(ivn.request_rows(log))
     fired = runs.drain(triggers.bedtime_triggers(rows), "triggers")
     return fired.select(*longs("event_id", "child_id"), "reason")
@@ -113,11 +114,9 @@ def stream_triggers(spark, sf_dir):
 )
 def stream_history(spark, sf_dir):
     """Responses streamed twice; the history keeps one line each."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = table(spark, sf_dir, "orders")
     stream = (
-        spark.readStream.schema(orders.schema)
-        .option("pathGlobFilter", "orders.parquet")
-        .parquet(sf_dir)
+        stream_table(spark, sf_dir, "orders", orders.schema)
         .withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
         .drop("delivery")
     )
