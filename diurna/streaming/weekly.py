@@ -15,7 +15,9 @@ LATENESS = "2 days"
 MONDAY_OFFSET = "4 days"
 
 
-def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+def read_events(
+    spark: SparkSession, folder: str, files_per_trigger: int | None = None
+) -> DataFrame:
     """The event table as a stream; ``event_time`` is a zoned timestamp."""
     return with_event_time(stream_table(spark, folder, "events", EVENTS, files_per_trigger))
 

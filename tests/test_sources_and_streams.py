@@ -145,7 +145,7 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
         folder = tmp_path / "in" / "events.parquet"
         folder.mkdir(parents=True, exist_ok=True)
         source.rename(folder / f"part-{i}.parquet")
-    stream = live.weekly_totals(live.read_events(spark, str(tmp_path / "in")))
+    stream = live.weekly_totals(live.read_events(spark, str(tmp_path / "in"), 1))
     closed = runs.drain(stream, "late").collect()
     batch = live.weekly_totals(live.with_event_time(spark.createDataFrame(first, EVENT)))
     assert sorted(map(tuple, closed)) == sorted(map(tuple, batch.collect()))
