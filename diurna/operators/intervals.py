@@ -166,6 +166,20 @@ def label_overlap(segments: Column, label: str, start: Column, end: Column) -> C
     )
 
 
+def label_minutes(sessions_in_context: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Add <label>_minutes for any window labels to rows that carry their context.
+
+    The windows of a day are at most eight and are built once per row.
+    """
+    start, end = F.col("session_start_minute"), F.col("session_end_minute")
+    laid = sessions_in_context.withColumn("__segments", day_segments())
+    minutes = [
+        label_overlap(F.col("__segments"), label, start, end).alias(f"{label}_minutes")
+        for label in labels
+    ]
+    return laid.select(*sessions_in_context.columns, *minutes)
+
+
 CONTEXT_COLUMNS = [
     "has_school_today",
     "school_start_minute",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.ml import Model, PipelineModel
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,15 @@ def save_estimator(
     model.write().overwrite().save(f"{path}/model")
 
 
+def load_estimator(spark: SparkSession, path: str) -> tuple[dict[str, Any], Model]:
+    """(contract, model) of an artifact written by :func:`save_estimator`.
+
+    The model's own metadata names its class.
+    """
+    contract = load_contract(spark, path, COMPLETE)
+    return contract, DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+
+
 def load_contract(spark: SparkSession, path: str, required=REQUIRED) -> dict[str, Any]:
     """The checked contract; ValueError when it is incomplete or inconsistent."""
     table = spark.read.parquet(f"{path}/contract")
