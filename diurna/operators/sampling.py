@@ -83,22 +83,24 @@ def fraction_subsamples(
     fractions: Sequence[float],
     k: int,
     seed: int,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Training subsets: one row per (validation fold, fraction, chosen row).
 
     Each stratum of a fold's training part gives floor(n * fraction) rows,
     drawn independently per fold and fraction. Columns: strata, ids,
-    ``validation_fold``, ``train_fraction``. The full fraction needs no draw.
+    ``validation_fold``, ``train_fraction`` and the columns in ``carry``, which
+    saves a caller who needs the rows' values a join back. The full fraction
+    needs no draw.
     """
+    kept = list(dict.fromkeys([*strata, *ids, *carry]))
     copies = folded.select(
-        *strata,
-        *ids,
-        "fold",
+        *dict.fromkeys([*kept, "fold"]),
         F.explode(F.sequence(F.lit(1), F.lit(k))).alias("validation_fold"),
     ).where("fold <> validation_fold")
     whole = [f for f in fractions if f >= 1.0]
     drawn = [f for f in fractions if f < 1.0]
-    keep = [*strata, *ids, "validation_fold", "train_fraction"]
+    keep = [*kept, "validation_fold", "train_fraction"]
     parts = []
     if drawn:
         tagged = copies.withColumn(

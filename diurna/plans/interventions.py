@@ -106,7 +106,8 @@ def replay_fires(
     into islands wherever a whole cooldown passes without one (an island's
     first candidate always fires), and each round settles the next firing of
     all islands at once with a map-side combined minimum. Rounds end when no
-    island has a candidate left; one night's window needs two at most.
+    island has a candidate left; one night's window needs two at most. A round
+    reads only the candidates that earlier rounds left open.
     """
     # Islands: minutes with candidates are at most 1,440 per child and day.
     minutes = candidates.groupBy(
@@ -137,16 +138,16 @@ def replay_fires(
     fires = fresh
     while True:
         last = fresh.select(*key, F.col("current_time").alias("__last"))
-        nxt = (
+        # Settled candidates leave, so a round reads only what is still open.
+        placed = written_table(
             placed.join(last, key)
             .where(elapsed_minutes(F.col("current_time"), F.col("__last")) >= cooldown)
-            .groupBy(*key)
-            .agg(earliest)
-            .select(*key, "fire.*")
+            .drop("__last"),
+            "candidates",
         )
-        fresh = written_table(nxt, "fires")
-        if fresh.isEmpty():
+        if placed.isEmpty():
             return fires.select("child_id", "event_id", "current_time")
+        fresh = written_table(placed.groupBy(*key).agg(earliest).select(*key, "fire.*"), "fires")
         fires = fires.unionByName(fresh)
 
 

@@ -282,9 +282,8 @@ def learning_curve(
     seed: int = CV_SEED,
 ) -> DataFrame:
     """Least squares on growing stratified parts of each fold's training rows."""
-    chosen = sampling.fraction_subsamples(folded, strata, ids, fractions, k, seed)
-    rows = folded.select(*ids, *columns, target).join(
-        chosen.select(*ids, "validation_fold", "train_fraction"), list(ids)
+    rows = sampling.fraction_subsamples(
+        folded, strata, ids, fractions, k, seed, carry=[*columns, target]
     )
     statistics = gram(rows, columns, target, ["validation_fold", "train_fraction"])
     models = fit(
