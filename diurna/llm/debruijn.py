@@ -212,7 +212,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     starts elsewhere, in the same or another row; rows that are repeated as a
     whole are copies like any other. ``kept`` is the remaining words joined by
     one space, kept_sha256 the hash of its UTF-8 bytes. A NULL text has no
-    words. Columns of ``docs`` with the names of the new ones are replaced.
+    words. Columns of ``docs`` with the names of the new ones are replaced, and
+    those called key, packed or spans are left out.
     """
     plain = docs.drop("kept", "n_words", "n_removed", "kept_sha256", "key", "packed", "spans")
     keyed = plain.withColumn("key", text.row_key(*plain.columns))

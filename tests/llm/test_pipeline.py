@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.test_operators import DOCS, corpus, documents, sentence
 
@@ -19,11 +20,13 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(
         f"{sf_dir}/benchmark.parquet"
     )
-    docs = documents(spark, rows)
+    clashing = ("score", "lang_pred", "key", "kept", "packed", "spans", "n_words", "class_id")
+    docs = documents(spark, rows).withColumns({c: F.lit("theirs") for c in clashing})
     stages = dict(pipeline.STAGES)
 
     kept = stages["language"](spark, docs, sf_dir)
     assert kept.columns == docs.columns
+    assert {r.score for r in kept.collect()} == {"theirs"}
     ids = {r.doc_id for r in kept.collect()}
     assert ids == {i for i, t in rows if t and any(c.isalpha() for c in t)}
 
@@ -34,6 +37,7 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
 
     cut = stages["repeated_spans"](spark, docs, sf_dir)
     assert cut.columns == docs.columns
+    assert {(r.key, r.kept, r.spans) for r in cut.collect()} == {("theirs",) * 3}
     left = {r.doc_id: r.text for r in cut.collect()}
     want = brute.without_repeats(rows, 35, brute.words, b" ".join)
     assert set(left) == {i for i, n, gone, _, _ in want if n == 0 or gone < n}
