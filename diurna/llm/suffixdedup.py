@@ -8,7 +8,8 @@ once needs no further look. Equal blocks are counted; a block that stands twice
 is repeated as a whole.
 
 What is left are different blocks at one anchor. They are laid above each other,
-aligned at the anchor, and neighbouring columns in which the same blocks agree
+aligned at the anchor; stretches too short to hold a window between bytes that
+nobody shares fall away, and neighbouring columns in which the same blocks agree
 become one symbol. The suffixes of these short strings are sorted by linear
 grouping (``suffix``), and a suffix's longest match is with a neighbour in that
 order: it tells how far the bytes from there on repeat elsewhere.
@@ -36,9 +37,9 @@ from diurna.session import ship_by_value, written_table
 SPAN = 400
 ANCHOR_BYTES = 32
 # More different blocks than this at one anchor: windows are counted instead.
-LARGE_GROUP = 512
+LARGE_GROUP = 10_000
 TASK_BLOCKS = 4_000
-SORT_SYMBOLS = 60_000
+SORT_BLOCKS = 1_000
 
 RANGES = "array<struct<low:int,high:int>>"
 
@@ -149,12 +150,54 @@ def block_contents(sources: DataFrame, texts: DataFrame, span: int = SPAN) -> Da
     )
 
 
-def aligned_symbols(leads: np.ndarray, contents: list[bytes]):
+def _long_stretches(cells: np.ndarray, span: int) -> np.ndarray:
+    """Cells that stand in a row's stretch of at least ``span`` set cells."""
+    rows, width = cells.shape
+    flat = np.zeros(rows * (width + 1) + 1, np.int8)
+    flat[1:].reshape(rows, width + 1)[:, :width] = cells
+    change = np.diff(flat)
+    begin, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    if len(end) < len(begin):
+        end = np.append(end, len(change))
+    long = end - begin >= span
+    steps = np.zeros(len(change) + 1, np.int8)
+    steps[begin[long]] = 1
+    steps[end[long]] -= 1
+    return np.cumsum(steps[:-1], dtype=np.int8).astype(bool).reshape(rows, width + 1)[:, :width]
+
+
+def shared_cells(table: np.ndarray, there: np.ndarray, span: int) -> np.ndarray:
+    """Cells that may lie in a string of ``span`` bytes which two rows have in place.
+
+    A byte nobody else has in its column ends every match, so shorter stretches
+    between such bytes fall away, and with them the company they gave to others,
+    until nothing changes.
+    """
+    rows, width = table.shape
+    active = _long_stretches(there, span)
+    columns = np.arange(width)
+    while active.any():
+        if rows <= 16:
+            company = np.zeros((rows, width), np.int8)
+            for other in range(rows):
+                company += (table == table[other]) & active[other]
+        else:
+            key = table.astype(np.int32) * np.int32(width) + columns.astype(np.int32)
+            counts = np.bincount(key[active], minlength=256 * width).astype(np.int32)
+            company = counts[key]
+        less = _long_stretches(active & (company > 1), span)
+        if (less == active).all():
+            break
+        active = less
+    return active
+
+
+def aligned_symbols(leads: np.ndarray, contents: list[bytes], span: int):
     """(labels, starts, base): the blocks of one anchor as short strings.
 
     Column runs begin at ``starts`` (bytes from ``base``, which is before every
     content); labels[i, r] is the first block that agrees with block i over run
-    r. Where a block has no byte it agrees with nobody.
+    r, or -1 where no window of block i that is worth looking at has a byte.
     """
     lead = int(leads.max())
     sizes = np.array([len(c) for c in contents])
@@ -166,73 +209,95 @@ def aligned_symbols(leads: np.ndarray, contents: list[bytes]):
         at = lead - leads[i]
         table[i, at : at + sizes[i]] = np.frombuffer(content, np.uint8)
         there[i, at : at + sizes[i]] = True
+    active = shared_cells(table, there, span)
+    if not active.any():
+        return None
     first = np.zeros((256, width), np.int32)
     columns = np.arange(width)
-    for i in range(rows - 1, -1, -1):
-        own = columns[there[i]]
+    for i in np.flatnonzero(active.any(axis=1))[::-1]:
+        own = columns[active[i]]
         first[table[i, own], own] = i
-    labels = np.where(there, first[table, columns], np.arange(rows, dtype=np.int32)[:, None])
+    labels = np.where(active, first[table, columns], -1)
     change = np.ones(width, bool)
     change[1:] = (labels[:, 1:] != labels[:, :-1]).any(axis=0)
-    # A block ends where its bytes end, also where nobody else tells it.
-    change[1:] |= (there[:, 1:] != there[:, :-1]).any(axis=0)
     starts = np.flatnonzero(change)
-    return labels[:, starts], starts, lead
+    return labels[:, starts], np.append(starts, width), lead
 
 
-def repeated_ranges(groups: list[tuple[np.ndarray, list[bytes], np.ndarray]], span: int):
-    """Per group and block: [(low, high)] of windows that stand in another block.
-
-    ``groups`` holds (leads, contents, counts). All groups are sorted together;
-    their symbols are disjoint.
-    """
-    laid, parts, ahead = [], [], 0
-    for leads, contents, counts in groups:
-        labels, starts, lead = aligned_symbols(leads, contents)
-        rows, runs = labels.shape
-        tagged = 1 + ahead + labels.astype(np.int64) + np.arange(runs) * rows
-        ahead += rows * runs
-        laid.append((labels, starts, lead, leads, counts))
-        parts.append(np.concatenate([tagged, np.zeros((rows, 1), np.int64)], axis=1).ravel())
-    symbols = np.concatenate(parts)
-    order = suffix.suffix_order(symbols)
-    # Length of the match with the suffix before in order, in symbols.
+def _match_lengths(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Longest match of each suffix with another, in symbols; 0 ends a match."""
     match = np.zeros(len(symbols) + 1, np.int64)
-    upper, lower = order[:-1], order[1:]
     live = np.arange(1, len(order))
     step = 0
     while len(live):
-        a, b = upper[live - 1] + step, lower[live - 1] + step
+        a, b = order[live - 1] + step, order[live] + step
         inside = np.maximum(a, b) < len(symbols)
         live, a, b = live[inside], a[inside], b[inside]
-        same = (symbols[a] == symbols[b]) & (symbols[a] != 0)
-        live = live[same]
+        live = live[(symbols[a] == symbols[b]) & (symbols[a] != 0)]
         match[live] += 1
         step += 1
     longest = np.zeros(len(symbols), np.int64)
     longest[order] = np.maximum(match[:-1], match[1:])
-    out, at = [], 0
-    for labels, starts, lead, leads, counts in laid:
+    return longest
+
+
+def repeated_ranges(groups: list[tuple[np.ndarray, list[bytes], np.ndarray]], span: int):
+    """Per group and block: [(low, high)] of windows that stand in another block.
+
+    ``groups`` holds (leads, contents, counts). All groups are sorted together;
+    their symbols are disjoint.
+    """
+    laid, parts, ahead = [], [], 1
+    for leads, contents, counts in groups:
+        symbols = aligned_symbols(leads, contents, span)
+        if symbols is None:
+            laid.append(None)
+            continue
+        labels, starts, lead = symbols
         rows, runs = labels.shape
-        reach = longest[at : at + rows * (runs + 1)].reshape(rows, runs + 1)[:, :runs]
-        at += rows * (runs + 1)
-        ends = np.append(starts, starts[-1] + (1 << 40))
-        run = np.arange(runs)
-        # Bytes that repeat from a window start in run r end where this run ends.
-        upto = ends[np.minimum(run + reach, runs)]
-        offset = (lead - leads)[:, None]
-        low = np.maximum(starts[None, :] - offset, 0)
-        high = np.minimum(ends[1:][None, :], upto - span + 1) - offset
-        high = np.minimum(high, counts[:, None])
-        good = (reach > 0) & (low < high)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
-        for i, r in zip(*np.nonzero(good)):
-            spans = found[i]
-            if spans and spans[-1][1] >= low[i, r]:
-                spans[-1] = (spans[-1][0], max(spans[-1][1], int(high[i, r])))
-            else:
-                spans.append((int(low[i, r]), int(high[i, r])))
+        # One 0 behind every stretch parts it from the next.
+        some = np.zeros((rows, runs + 1), bool)
+        some[:, :runs] = labels >= 0
+        keep = some.copy()
+        keep[:, 1:] |= some[:, :-1]
+        tagged = np.zeros((rows, runs + 1), np.int64)
+        tagged[:, :runs] = np.where(some[:, :runs], ahead + labels + np.arange(runs) * rows, 0)
+        ahead += rows * runs
+        laid.append((some, keep, starts, lead, leads, counts))
+        parts.append(tagged[keep])
+    if not parts:
+        return [[[] for _ in contents] for _, contents, _ in groups]
+    symbols = np.concatenate(parts)
+    longest = _match_lengths(symbols, suffix.suffix_order(symbols))
+    out, at = [], 0
+    for (_, contents, _), group in zip(groups, laid):
+        found: list[list[tuple[int, int]]] = [[] for _ in contents]
         out.append(found)
+        if group is None:
+            continue
+        some, keep, starts, lead, leads, counts = group
+        size = int(keep.sum())
+        reach = np.zeros(keep.shape, np.int64)
+        reach[keep] = longest[at : at + size]
+        at += size
+        block, run = np.nonzero(some & (reach > 0))
+        # Bytes that repeat from a window start in a run end where its match ends.
+        offset = lead - leads[block]
+        low = np.maximum(starts[run] - offset, 0)
+        upto = starts[run + reach[block, run]] - span + 1
+        high = np.minimum(np.minimum(starts[run + 1], upto) - offset, counts[block])
+        good = low < high
+        block, low, high = block[good], low[good], high[good]
+        if not len(block):
+            continue
+        # Ranges that touch become one.
+        far = np.maximum.accumulate(block * (1 << 32) + high) - block * (1 << 32)
+        fresh = np.ones(len(block), bool)
+        fresh[1:] = (block[1:] != block[:-1]) | (low[1:] > far[:-1])
+        begin = np.flatnonzero(fresh)
+        last = np.append(begin[1:], len(block)) - 1
+        for i, x, y in zip(block[begin].tolist(), low[begin].tolist(), far[last].tolist()):
+            found[i].append((x, y))
     return out
 
 
@@ -259,8 +324,8 @@ def sorted_groups(contents: DataFrame, blocks: int, span: int = SPAN) -> DataFra
             leads = group["lead"].to_numpy(np.int64)
             counts = np.array([len(c) - span + 1 for c in pieces])
             waiting.append(((leads, pieces, counts), group["block"], group["copies"]))
-            size += len(pieces) * 60
-            if size > SORT_SYMBOLS:
+            size += len(pieces)
+            if size > SORT_BLOCKS:
                 settle()
                 waiting, size = [], 0
         if waiting:
@@ -351,7 +416,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     A byte goes if a string of ``span`` bytes that covers it also starts
     elsewhere, in the same or another row; matches never cross rows. ``kept`` is
     binary, since a cut may fall inside a character. A NULL text is empty.
-    Columns of ``docs`` with the names of the new ones are replaced.
+    Columns of ``docs`` with the names of the new ones are replaced, and those
+    called key, packed or spans are left out.
     """
     added = ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     plain = docs.drop(*added, "key", "packed", "spans")
