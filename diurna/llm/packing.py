@@ -29,8 +29,8 @@ from diurna.session import ship_by_value, written_table
 
 SEQUENCE_TOKENS = 2048
 GROUP_PIECES = 200_000
-KNOWN_PARTS = 2_000_000
-CHUNK_POINTS = 1 << 21
+KNOWN_PARTS = 1_500_000
+CHUNK_POINTS = 1 << 20
 SEQUENCES_PER_GROUP = 1 << 32
 
 _LETTER, _DIGIT, _SIGN, _BLANK = 0, 1, 2, 3

@@ -18,8 +18,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 # Texts differ in length by orders of magnitude; smaller Arrow batches bound
-# what a task holds. A few thousand texts are enough to fill the kernels.
-ARROW_ROWS = "2000"
+# what a task holds. A few hundred texts are enough to fill the kernels.
+ARROW_ROWS = "500"
 
 
 def prepared(spark: SparkSession) -> SparkSession:

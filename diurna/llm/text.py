@@ -19,7 +19,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from diurna.session import ship_by_value
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _BASES = {
     "byte": 0x9E3779B97F4A7C15,
