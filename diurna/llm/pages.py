@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from diurna.llm.urls import host_of
-from diurna.session import ship_by_value
+from diurna.session import ship_by_value, written_table
 
 # A subtree is template if it stands on this many different pages of its host
 # and on this share of them.
@@ -268,28 +268,32 @@ def template_subtrees(
         "html",
     )
     each = given.mapInArrow(hashes, "host string, print long, subtrees array<long>")
-    on_page = (
-        each.select("host", "print", F.explode("subtrees").alias("subtree"))
-        .groupBy("host", "print", "subtree")
-        .agg(F.lit(1).alias("one"))
-        .drop("one")
-    )
-    sizes = (
-        given.select("host", "print").distinct().groupBy("host").agg(F.count("*").alias("there"))
+    # Copies of a page are one page before anything is listed.
+    once = written_table(
+        each.groupBy("host", "print").agg(F.first("subtrees").alias("subtrees")), "page-subtrees"
     )
+    sizes = once.groupBy("host").agg(F.count(F.lit(1)).alias("there"))
+    listed = once.select(
+        "host",
+        F.xxhash64("host", "print").alias("page"),
+        F.explode("subtrees").alias("subtree"),
+    ).withColumn("key", F.xxhash64("host", "subtree"))
     recurring = (
-        on_page.groupBy("host", "subtree")
-        .agg(F.count(F.lit(1)).alias("stands"))
+        listed.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("stands"), F.min("host").alias("host"))
         .where(F.col("stands") >= min_pages)
         .join(sizes, "host")
         .where(F.col("stands") >= min_share * F.col("there"))
-        .select("host", "subtree")
+        .select("key")
     )
-    return (
-        on_page.join(recurring, ["host", "subtree"])
-        .groupBy("host", "print")
+    found = (
+        listed.select("key", "page", "subtree")
+        .join(recurring, "key")
+        .groupBy("page")
         .agg(F.collect_set("subtree").alias("template"))
     )
+    pages_of = once.select("host", "print", F.xxhash64("host", "print").alias("page"))
+    return pages_of.join(found, "page").select("host", "print", "template")
 
 
 def extract(
