@@ -4,9 +4,10 @@ A page is parsed into elements and every element subtree is hashed. Spark counts
 per host on how many different pages each hash stands, and subtrees that recur
 on many pages of their host are deleted: that is what the site's template puts
 on every page. Furniture that differs from page to page (menus, footers, adverts,
-forms, ...) is known by its tag, role or class and goes as well. Text that the
-page marks as its article is never counted, so a passage that several articles
-share stays.
+forms, ...) is known by its tag, role or class and goes as well. Inside what the
+page marks as its article, containers (div, section, ul, table, ...) are counted
+and deleted like everywhere; paragraphs, headings, items and text-level markup
+are not, so a passage that several articles share stays.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ from diurna.session import ship_by_value, written_table
 # and on this share of them.
 MIN_PAGES = 5
 MIN_SHARE = 0.3
+# A recurring container with more than half of an article's text and at least
+# this many characters is the body of an article published several times.
+BODY_CHARS = 500
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -46,6 +50,9 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q "
     "s samp small span strike strong sub sup time tt u var wbr".split()
 )
+_PASSAGES = frozenset(
+    "p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption tr td th".split()
+)
 _FURNITURE_TAGS = frozenset(
     "nav header footer aside form head script style noscript template iframe textarea title "
     "svg button select input menu dialog object canvas audio video".split()
@@ -205,27 +212,63 @@ def subtree_hashes(root: Element) -> dict[int, int]:
     return hashes
 
 
+def removable(root: Element, roots: list[Element]) -> list[Element]:
+    """The elements that may be template; ``roots`` are the page's articles.
+
+    An element around an article is none, nor is an article that stands alone.
+    """
+    inside = {id(e) for a in roots for e in (a, *_walk(a))}
+    starts = {id(a) for a in roots}
+    elements = list(_walk(root))
+    around: set[int] = set()
+    for element in reversed(elements):
+        below = {id(c) for c in element.content if isinstance(c, Element)}
+        if id(element) not in inside and (below & starts or below & around):
+            around.add(id(element))
+
+    def may_go(element: Element) -> bool:
+        if not element.content or id(element) in around:
+            return False
+        if id(element) in starts:
+            return len(roots) > 1
+        return id(element) not in inside or element.tag not in _INLINE | _PASSAGES
+
+    return [e for e in elements if may_go(e)]
+
+
 def candidate_hashes(source: str) -> list[int]:
     """Hashes of the subtrees of a page that may be template, each once."""
     root = parse(source)
-    kept = article_roots(root)
     hashes = subtree_hashes(root)
-    inside = {id(e) for a in kept for e in (a, *_walk(a))}
-    # An element around the article is not template either.
-    around = set(inside)
-    for element in reversed(list(_walk(root))):
-        if any(id(c) in around for c in element.content if isinstance(c, Element)):
-            around.add(id(element))
-    return sorted({hashes[id(e)] for e in _walk(root) if id(e) not in around and e.content})
+    return sorted({hashes[id(e)] for e in removable(root, article_roots(root))})
 
 
-def main_text(source: str, template: set[int]) -> str:
-    """Text of the page without furniture and without subtrees in ``template``."""
-    root = parse(source)
-    roots = article_roots(root)
-    hashes = subtree_hashes(root) if template and not roots else {}
+def _weight(element: Element) -> int:
+    """Characters of text without white space and furniture."""
+    total, todo = 0, [element]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            total += sum(map(len, item.split()))
+        elif item is not None and not item.furniture:
+            todo += item.content
+    return total
+
+
+def template_elements(root: Element, roots: list[Element], template: set[int]) -> set[int]:
+    """``id()`` of the elements whose hash is in ``template``, but for article bodies."""
+    hashes = subtree_hashes(root)
+    found = [e for e in removable(root, roots) if hashes[id(e)] in template]
+    if found and roots:
+        total = sum(map(_weight, roots))
+        weights = [(e, _weight(e)) for e in found]
+        found = [e for e, w in weights if w < BODY_CHARS or 2 * w <= total]
+    return {id(e) for e in found}
+
+
+def _text(starts: list[Element], gone: set[int]) -> str:
     blocks: list[str] = []
-    for start in roots or [root]:
+    for start in starts:
         todo: list = [start]
         while todo:
             item = todo.pop()
@@ -233,7 +276,7 @@ def main_text(source: str, template: set[int]) -> str:
                 blocks.append(" ")
             elif isinstance(item, str):
                 blocks.append(item)
-            elif not item.furniture and hashes.get(id(item)) not in template:
+            elif not item.furniture and id(item) not in gone:
                 breaks = item.tag not in _INLINE
                 if breaks:
                     todo.append(None)
@@ -245,6 +288,18 @@ def main_text(source: str, template: set[int]) -> str:
     return " ".join("".join(blocks).split())
 
 
+def main_text(source: str, template: set[int]) -> str:
+    """Text of the page without furniture and without subtrees in ``template``.
+
+    An article that is nothing but such subtrees keeps them.
+    """
+    root = parse(source)
+    roots = article_roots(root)
+    gone = template_elements(root, roots, template) if template else set()
+    text = _text(roots or [root], gone)
+    return text or (_text(roots, set()) if roots and gone else "")
+
+
 def template_subtrees(
     pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE
 ) -> DataFrame:

@@ -267,6 +267,33 @@ def test_template_is_what_recurs_on_a_host(spark):
     assert found[21] == found[22] == "" and found[30] == "one and the same"
 
 
+def test_blocks_that_recur_inside_articles_go(spark):
+    """Unmarked blocks by their counts; shared paragraphs and bodies stay."""
+    box = "<div>Read <b>also</b> our <span>weekly letter</span></div>"
+    body = "<div><p>" + "syndicated words " * 50 + "</p></div>"
+
+    def page(i):
+        own = f"<p>text <b>so</b> number {i}</p><div>own {i}</div>"
+        return f"<div id=a><article><h1>Head</h1>{own}<p>shared passage</p>{box}</article></div>"
+
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(8)]
+    rows += [(10, "http://h.org/m", f"<main><p>short</p><ul>x</ul>{box}</main>")]
+    rows += [(11, "http://h.org/n", f"<p>no article</p>{box}")]
+    rows += [(12, "http://h.org/o", f"<article>{box}</article>")]
+    rows += [(20 + i, "http://b.org/", f"<article>{body}<p>Nr. {i}</p></article>") for i in range(6)]
+    rows += [
+        (30 + i, "http://c.org/", f"<article><p>news {i}</p></article><article>card</article>")
+        for i in range(6)
+    ]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in pages.extract(given).collect()}
+    assert found[3] == "Head text so number 3 own 3 shared passage"
+    assert found[10] == "short x" and found[11] == "no article"
+    assert found[12] == "Read also our weekly letter"
+    assert found[21] == "syndicated words " * 50 + "Nr. 1"
+    assert found[31] == "news 1"
+
+
 # --- 4 URL rules -------------------------------------------------------------
 
 
