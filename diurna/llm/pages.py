@@ -41,7 +41,11 @@ _MARKUP = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(
+    r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?"
+    r"|\"[^\"]*\"|'[^']*'"
+)
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -91,6 +95,19 @@ class Element:
     content: list = field(default_factory=list)
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether the element is hidden by attribute or style; other values say nothing."""
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden":
+            return True
+        if name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+        if name == "style" and _UNSEEN.search(value):
+            return True
+    return False
+
+
 def is_furniture(tag: str, attributes: str) -> bool:
     if tag in _FURNITURE_TAGS:
         return True
@@ -103,7 +120,7 @@ def is_furniture(tag: str, attributes: str) -> bool:
                 return True
         elif tag != "main" and any(w.lower() in _FURNITURE_WORDS for w in _PARTS.findall(value)):
             return True
-    return bool(_HIDDEN.search(attributes))
+    return is_hidden(attributes)
 
 
 def parse(source: str) -> Element:

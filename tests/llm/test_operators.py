@@ -251,6 +251,30 @@ def test_broken_pages(source, want):
     assert pages.main_text(source, set()) == want
 
 
+@pytest.mark.parametrize(
+    "attributes, stays",
+    [
+        ('style="overflow:hidden"', True),
+        ('class="overflow-hidden"', True),
+        ('title="hidden gems"', True),
+        ("data-x='a hidden b' id=hidden", True),
+        ('href=a/hidden/b', True),
+        ("hidden", False),
+        ('class="x" HIDDEN=""', False),
+        ('style="color:red; visibility: hidden"', False),
+        ("style='display:none'", False),
+        ("style=display:none", False),
+        ('aria-hidden="true"', False),
+        ('aria-hidden="false"', True),
+    ],
+)
+def test_only_hidden_elements_are_hidden(attributes, stays):
+    for tag in ("article", "div"):
+        source = f"<{tag} {attributes}>text</{tag}><p>k</p>"
+        want = "text" if tag == "article" else "text k"
+        assert pages.main_text(source, set()) == (want if stays else "k")
+
+
 def test_template_is_what_recurs_on_a_host(spark):
     """Pages without an article: only counting tells the template from the text."""
     top = "<div class='x'>Welcome to <i>our</i> site</div>"
