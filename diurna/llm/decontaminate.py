@@ -1,12 +1,13 @@
 """Benchmark decontamination by SimHash windows and exact checks, all in Spark SQL.
 
-An item of L words is compared with windows of L words of the documents. Each is
-a multiset of five-word shingles; the match that counts is a weighted Jaccard
+An item of L words is compared with all windows of L words of the documents. Each
+is a multiset of five-word shingles, of L-word ones if L is below five; the match that counts is a weighted Jaccard
 similarity of 0.8 or more.
 
-1. A window that shares no shingle with any item has similarity 0 with all of
-   them. Only windows that line up with a shared shingle are taken; the rest of
-   the corpus leaves the plan after one hash join.
+1. Two multisets of n and m shingles at similarity t have t (n + m) / (1 + t) in
+   common at least. Every window that holds as many positions with a shingle of
+   items of its length is taken, wherever it starts; the rest of the corpus
+   leaves the plan after one hash join.
 2. Windows and items get a 64-bit SimHash: each bit is the sign of the sum of
    that bit over the weighted shingles.
 3. Fingerprints of equal window length meet in a multi-index: cut into radius + 1
@@ -40,13 +41,13 @@ def words_of(text: Column) -> Column:
     )
 
 
-def shingle_hashes(words: str) -> Column:
-    """Hashes of the five-word shingles, in order; a shorter text is one shingle."""
+def shingle_hashes(words: str, width: int = SHINGLE_WORDS) -> Column:
+    """Hashes of the shingles of ``width`` words, in order; a shorter text is one shingle."""
     size = F.size(words)
-    last = F.greatest(size - SHINGLE_WORDS, F.lit(0))
+    last = F.greatest(size - width, F.lit(0))
     each = F.transform(
         F.sequence(F.lit(0), last),
-        lambda i: F.xxhash64(F.array_join(F.slice(F.col(words), i + 1, SHINGLE_WORDS), " ")),
+        lambda i: F.xxhash64(F.array_join(F.slice(F.col(words), i + 1, width), " ")),
     )
     return F.when(size > 0, each).otherwise(F.array().cast("array<long>"))
 
@@ -112,44 +113,88 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return F.try_divide(both, F.size(a) + F.size(b) - both)
 
 
-def aligned_windows(shingled: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, start, length, window): windows lined up with a shared shingle.
+def dense_starts(at: Column, needed: Column, steps: Column, last: Column) -> Column:
+    """Ranges (low, high) of the starts up to ``last`` of windows of ``steps``
+    shingles that hold ``needed`` or more of the positions ``at``, an ascending
+    array of at least so many.
 
-    ``window`` is the shingles of as many words as the item has. At a document's
-    ends the window is moved inside; a document shorter than the item is one
-    window as a whole. Of a run of shared shingles only the first one asks.
+    A start belongs to the first position it does not exceed, so ranges are disjoint.
+    """
+
+    def of(j: Column) -> Column:
+        low = F.greatest(
+            F.lit(0),
+            F.element_at(at, j + needed - 1) - steps + 1,
+            F.when(j > 1, F.element_at(at, F.greatest(j - 1, F.lit(1))) + 1),
+        )
+        return F.struct(low.alias("low"), F.least(F.element_at(at, j), last).alias("high"))
+
+    ranges = F.transform(F.sequence(F.lit(1), F.size(at) - needed + 1), of)
+    return F.filter(ranges, lambda r: r["low"] <= r["high"])
+
+
+def shared_windows(
+    docs: DataFrame, items: DataFrame, width: int, similarity: float
+) -> DataFrame:
+    """(doc_id, start, length, window): all windows that may match an item.
+
+    ``window`` is the shingles of as many words as the items of this length
+    have; a document shorter than that is one window as a whole.
     """
     sought = items.select(
-        F.posexplode("shingles").alias("offset", "shingle"), "length", "shingles"
-    ).select(
-        "offset",
-        "shingle",
-        "length",
-        F.size("shingles").alias("steps"),
-        F.when(F.col("offset") > 0, F.try_element_at("shingles", F.col("offset"))).alias("before"),
-    )
+        F.explode("shingles").alias("shingle"), "length", F.size("shingles").alias("steps")
+    ).distinct()
     # The outer form keeps the planner from computing the array twice.
-    placed = shingled.select(
-        "doc_id", "shingles", F.posexplode_outer("shingles").alias("at", "shingle")
+    placed = _shingled(docs, width).select(
+        "key", "shingles", F.posexplode_outer("shingles").alias("at", "shingle")
     )
-    here = F.when(F.col("at") > 0, F.try_element_at("shingles", F.col("at")))
-    last = F.greatest(F.size("shingles") - F.col("steps"), F.lit(0))
-    start = F.least(F.greatest(F.col("at") - F.col("offset"), F.lit(0)), last)
+    size = F.least("steps", "there") + F.col("steps")
+    needed = F.ceil(similarity * size / (1 + similarity) - 1e-9).cast("int")
+    dense = (
+        placed.join(F.broadcast(sought), "shingle")
+        .select("key", "length", "steps", F.size("shingles").alias("there"), "at")
+        .groupBy("key", "length", "steps", "there")
+        .agg(F.sort_array(F.collect_set("at")).alias("at"))
+        .withColumn("needed", F.greatest(needed, F.lit(1)))
+        .where(F.size("at") >= F.col("needed"))
+        .select(
+            "key",
+            "length",
+            "steps",
+            dense_starts(
+                F.col("at"),
+                F.col("needed"),
+                F.col("steps"),
+                F.greatest(F.col("there") - F.col("steps"), F.lit(0)),
+            ).alias("ranges"),
+        )
+    )
+    # Stored, so that its real size is known to the join with the texts.
+    hits = written_table(dense.where(F.size("ranges") > 0), "dense-windows")
+    starts = F.flatten(F.transform("ranges", lambda r: F.sequence(r["low"], r["high"])))
     return (
-        placed.join(F.broadcast(sought.distinct()), "shingle")
-        .where(here.isNull() | F.col("before").isNull() | (here != F.col("before")))
+        _shingled(docs.join(hits, "key"), width, "length", "steps", "ranges")
+        .select("doc_id", "length", "steps", "shingles", F.explode(starts).alias("start"))
         .select(
             "doc_id",
-            start.alias("start"),
+            "start",
             "length",
-            F.slice("shingles", start + 1, F.col("steps")).alias("window"),
+            F.slice("shingles", F.col("start") + 1, F.col("steps")).alias("window"),
         )
     )
 
 
-def _matches(shingled: DataFrame, items: DataFrame, radius: int, similarity: float) -> DataFrame:
+def _shingled(docs: DataFrame, width: int, *carry: str) -> DataFrame:
+    return docs.select("key", "doc_id", *carry, words_of(F.col("text")).alias("words")).select(
+        "key", "doc_id", *carry, shingle_hashes("words", width).alias("shingles")
+    )
+
+
+def _matches(
+    docs: DataFrame, items: DataFrame, width: int, radius: int, similarity: float
+) -> DataFrame:
     windows = (
-        aligned_windows(shingled, items)
+        shared_windows(docs, items, width, similarity)
         .withColumn("print", simhash(F.col("window")))
         .withColumn("block", F.explode(block_values(F.col("print"), radius)))
     )
@@ -193,14 +238,18 @@ def contaminated(
         .withColumn("print", simhash(F.col("shingles"))),
         "items",
     )
-    total = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    parts = max(1, -(-total // PART_SHINGLES))
-    shingled = docs.select("doc_id", words_of(F.col("text")).alias("words")).select(
-        "doc_id", shingle_hashes("words").alias("shingles")
-    )
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     found = None
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        more = _matches(shingled, own, radius, similarity)
-        found = more if found is None else found.unionByName(more)
+    widths = items.groupBy(F.least("length", F.lit(SHINGLE_WORDS)).alias("width")).agg(
+        F.sum(F.size("shingles")).alias("total")
+    )
+    for width, total in sorted(widths.collect()):
+        parts = -(-total // PART_SHINGLES)
+        of_width = items.where(F.least("length", F.lit(SHINGLE_WORDS)) == width)
+        for part in range(parts):
+            own = of_width.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+            more = _matches(keyed, own, width, radius, similarity)
+            found = more if found is None else found.unionByName(more)
+    if found is None:
+        found = _matches(keyed, items, SHINGLE_WORDS, radius, similarity)
     return found.distinct()

@@ -374,6 +374,35 @@ def test_leaks_equal_all_windows(spark):
     assert {(r.doc_id, r.item_id) for r in found} == brute.leaks(docs, items)
 
 
+def test_leaks_in_any_order_and_every_window(spark):
+    """Halves that changed places share no aligned window with the item."""
+    rng = random.Random(16)
+    items = [(k, sentence(rng, size, 5000)) for k, size in enumerate((55, 56, 90, 4, 1))]
+    docs = []
+    for k, (_, t) in enumerate(items[:3]):
+        tokens = t.split()
+        half = len(tokens) // 2
+        swapped = " ".join(tokens[half:] + tokens[:half])
+        docs.append((10 * k, f"{sentence(rng, 40)} {swapped} {sentence(rng, 40)}"))
+        docs.append((10 * k + 1, f"{swapped} {sentence(rng, 3)}"))
+        docs.append((10 * k + 2, f"{sentence(rng, 3)} {t}"))
+        docs.append((10 * k + 3, " ".join(tokens[half:] + tokens[: half - 5])))
+    docs += [(50, f"a {items[3][1]} b"), (51, f"x {items[4][1]} y"), (None, items[0][1])]
+    given = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(documents(spark, docs), given).collect()
+    assert (0, 0) in brute.leaks(docs, items)
+    assert {(r.doc_id, r.item_id) for r in found} == brute.leaks(docs, items)
+    every = set()
+    for item, t in items:
+        own = t.split()
+        for doc, text_ in docs:
+            there = text_.split()
+            for k in range(max(1, len(there) - len(own) + 1)):
+                if brute.jaccard(brute.bag(there[k : k + len(own)]), brute.bag(own)) >= 0.8:
+                    every.add((doc, item, k))
+    assert {(r.doc_id, r.item_id, r.start) for r in found} == every
+
+
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
     rng = random.Random(8)
     pairs = []
