@@ -95,6 +95,34 @@ def test_grids_have_the_protocol_size():
     assert len(modeling.ridge_specs()) == 5
 
 
+@pytest.mark.parametrize("name, points", [("cv_forest", 9), ("cv_gbt", 12)])
+def test_tree_queries_run_their_whole_grid(spark, sf_dir, monkeypatch, name, points):
+    """The grid that is handed on, and the best pick of made-up metrics."""
+    import __spark_entry__ as entry
+
+    asked = {}
+
+    def validated(development, estimators):
+        asked.update(estimators)
+        rows = [
+            (m, f, 8, 2, 0.1 * (i + 2) if i != 3 else 0.1, 1.0, 0.0)
+            for i, m in enumerate(estimators)
+            for f in range(1, 6)
+        ]
+        return spark.createDataFrame(
+            rows,
+            "model string, fold int, train_size long, validation_size long, "
+            "mae double, rmse double, r2 double",
+        )
+
+    monkeypatch.setattr(modeling, "cross_validate_estimators", validated)
+    found = entry.queries()[name](spark, sf_dir).collect()
+    size = "numTrees" if name == "cv_forest" else "maxIter"
+    assert [e.getOrDefault(size) for e in asked.values()] == [300] * points
+    assert len(found) == 5 * points
+    assert {r.model for r in found if r.best} == {list(asked)[3]}
+
+
 def test_ablation_groups_must_cover():
     assert len(modeling.ablation_specs()) == 5
     with pytest.raises(ValueError, match="cover"):

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from diurna.operators import aggregates, sets
+from diurna.operators.single import with_row
 from diurna.plans import dataset, eventlog, explore, modeling, scoring, study, weekly
-from diurna.schemas import FEATURES, RIDGE_ALPHAS, TARGET, TRAIN_FRACTIONS
+from diurna.schemas import (
+    BOOSTING_GRID,
+    FEATURES,
+    FOREST_GRID,
+    RIDGE_ALPHAS,
+    TARGET,
+    TRAIN_FRACTIONS,
+)
 from diurna.session import written_table
 from diurna.sources.tables import table
 from workload import regression_sql as reg
@@ -276,25 +284,39 @@ def final_test(spark, sf_dir):
     return found.select("model", *longs("development_size", "test_size"), *rounded(*METRICS))
 
 
+def grid_results(development, estimators):
+    """Fold metrics of a whole grid with each point's summary and the best pick."""
+    results = modeling.cross_validate_estimators(development, estimators)
+    summary = aggregates.summarize_folds(results)
+    best = aggregates.best_model(summary).select(F.col("model").alias("best"))
+    summed = with_row(summary, best).withColumn("best", F.col("model") == F.col("best"))
+    return results.join(summed, "model").select(
+        "model",
+        *longs("fold", "train_size", "validation_size"),
+        *rounded(*METRICS, *SUMMARY),
+        "best",
+    )
+
+
 @query("cv_forest")
 def cv_forest(spark, sf_dir):
-    """Small forest grid; the full protocol grid is schemas.FOREST_GRID."""
-    development = study.development_rows(events(spark, sf_dir))
-    return metrics_of(
-        modeling.cross_validate_estimators(
-            development, modeling.forest_grid([4], [1, 10], trees=5)
-        )
+    """The whole forest grid of the protocol."""
+    g = FOREST_GRID
+    return grid_results(
+        study.development_rows(events(spark, sf_dir)),
+        modeling.forest_grid(g["max_depth"], g["min_samples_leaf"], g["trees"]),
     )
 
 
 @query("cv_gbt")
 def cv_gbt(spark, sf_dir):
-    """Small boosting grid; the full protocol grid is schemas.BOOSTING_GRID."""
-    development = study.development_rows(events(spark, sf_dir))
-    return metrics_of(
-        modeling.cross_validate_estimators(
-            development, modeling.boosting_grid([2], [0.1], [1], rounds=3)
-        )
+    """The whole boosting grid of the protocol."""
+    g = BOOSTING_GRID
+    return grid_results(
+        study.development_rows(events(spark, sf_dir)),
+        modeling.boosting_grid(
+            g["max_depth"], g["learning_rate"], g["min_child_weight"], g["rounds"]
+        ),
     )
 
 
