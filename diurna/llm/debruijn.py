@@ -35,6 +35,9 @@ from diurna.session import ship_by_value, written_table
 
 SPAN = 35
 ANCHOR_WORDS = 8
+# A block holds span - ANCHOR_WORDS + 1 windows at most. Its mask of 64 bits is made
+# as 2^windows - 1, which fits without overflow up to 62 windows.
+MAX_SPAN = ANCHOR_WORDS + 61
 
 
 def word_blocks(data: np.ndarray, edges: np.ndarray, span: int = SPAN):
@@ -213,8 +216,11 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     whole are copies like any other. ``kept`` is the remaining words joined by
     one space, kept_sha256 the hash of its UTF-8 bytes. A NULL text has no
     words. Columns of ``docs`` with the names of the new ones are replaced, and
-    those called key, packed or spans are left out.
+    those called key, packed or spans are left out. A span over ``MAX_SPAN``
+    raises a ValueError.
     """
+    if span > MAX_SPAN:
+        raise ValueError(f"span {span} is over {MAX_SPAN}")
     plain = docs.drop("kept", "n_words", "n_removed", "kept_sha256", "key", "packed", "spans")
     keyed = plain.withColumn("key", text.row_key(*plain.columns))
     blocks = document_blocks(keyed, span)

@@ -542,3 +542,15 @@ def test_query_equals_sql(spark, sf_dir, name):
 
     found = queries.QUERIES[name](spark, sf_dir)
     assert compare(found, connect(sf_dir), queries.ORACLES[name]) is None
+
+
+def test_word_spans_beyond_a_mask_are_refused(spark):
+    rng = random.Random(9)
+    passage = sentence(rng, 150)
+    rows = [(i, f"{sentence(rng, 20)} {passage} {sentence(rng, 20)}") for i in range(3)]
+    docs = documents(spark, rows)
+    with pytest.raises(ValueError, match="span"):
+        debruijn.remove_repeats(docs, debruijn.MAX_SPAN + 1)
+    found = debruijn.remove_repeats(docs, debruijn.MAX_SPAN).collect()
+    want = brute.without_repeats(rows, debruijn.MAX_SPAN, brute.words, b" ".join)
+    assert {(r.doc_id, r.n_removed) for r in found} == {(w[0], w[2]) for w in want}
