@@ -8,7 +8,22 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diurna.llm import debruijn, decontaminate, language, neardup, packing, pages, suffixdedup, text, topk, toxicity, urls
+from diurna.llm import (
+    debruijn,
+    decontaminate,
+    fim,
+    language,
+    merkle,
+    neardup,
+    packing,
+    pages,
+    suffixdedup,
+    text,
+    tokencount,
+    topk,
+    toxicity,
+    urls,
+)
 from diurna.session import tune
 from diurna.sources.tables import table
 
@@ -174,3 +189,143 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang_pred",
         "score",
     )
+
+
+def _merkle_sql(levels: int = 5) -> str:
+    """SQL of op11 for trees of up to 16 ** ``levels`` leaves and as many sources."""
+
+    def leaf(text_sql: str) -> str:
+        values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text_sql]
+        return "sha256(" + " || ".join(
+            f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values
+        ) + ")"
+
+    crc = (
+        "list_reduce(list_concat([4294967295::BIGINT], list_transform("
+        "string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda acc, x: "
+        "list_reduce(list_concat([xor(acc, x)], range(8)), "
+        "lambda a, i: xor(a >> 1, 3988292384 * (a & 1))))"
+    )
+    lower = "translate(\"text\", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"""leaves AS (
+        SELECT row_number() OVER () AS rid, doc_id,
+               CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree,
+               {leaf('"text"')} AS leaf,
+               CASE WHEN doc_id IS NOT NULL AND xor({crc}, 4294967295) % 5 = 0
+                    THEN {leaf(lower)} ELSE {leaf('"text"')} END AS shown
+        FROM documents)""",
+        """s0 AS (
+        SELECT rid, tree, row_number() OVER (
+                   PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i,
+               leaf AS h, count(*) OVER (PARTITION BY tree) AS n
+        FROM leaves)""",
+        "f0 AS (SELECT s0.rid, s0.tree, s0.i, shown AS cur, '' AS proof FROM s0 JOIN leaves USING (rid))",
+    ]
+
+    def climb(v: str, f: str) -> None:
+        for k in range(levels):
+            ctes.append(
+                f"""{v}r{k} AS MATERIALIZED (
+        SELECT tree, i // 16 AS g, list(h ORDER BY i) AS hs, any_value(n) AS n
+        FROM {v}{k} GROUP BY tree, i // 16)"""
+            )
+            ctes.append(
+                f"""{v}{k + 1} AS (
+        SELECT tree, g AS i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h,
+               count(*) OVER (PARTITION BY tree) AS n FROM {v}r{k})"""
+            )
+            ctes.append(
+                f"""{f}{k + 1} AS MATERIALIZED (
+        SELECT rid, f.tree, f.i // 16 AS i,
+               CASE WHEN n = 1 THEN cur ELSE sha256(array_to_string(hs[1:f.i % 16], '') || cur
+                    || array_to_string(hs[f.i % 16 + 2:], '')) END AS cur,
+               CASE WHEN n = 1 THEN proof ELSE proof || array_to_string(hs[1:f.i % 16], '')
+                    || array_to_string(hs[f.i % 16 + 2:], '') END AS proof
+        FROM {f}{k} f JOIN {v}r{k} r ON f.tree = r.tree AND f.i // 16 = r.g)"""
+            )
+
+    climb("s", "f")
+    ctes.append(
+        f"""t0 AS (
+        SELECT tree AS name, '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, h,
+               count(*) OVER () AS n FROM s{levels})"""
+    )
+    ctes.append(
+        f"""u0 AS (
+        SELECT rid, t0.tree, t0.i, cur, proof FROM f{levels} f JOIN t0 ON f.tree = t0.name)"""
+    )
+    climb("t", "u")
+    return f"""
+    WITH {", ".join(ctes)}
+    SELECT l.doc_id, l.leaf, t0.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256,
+           cur AS folded_root, cur = t.h AS verified
+    FROM u{levels} u JOIN leaves l USING (rid) JOIN t0 ON l.tree = t0.name, t{levels} t
+    """
+
+
+@query("op11_incremental_witnesses", _merkle_sql())
+def op11_incremental_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document (by crc32 of its id) is presented with its capitals lowered."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = F.translate("text", capitals, capitals.lower())
+    found = merkle.manifest(
+        docs, presented={"text": F.when(changed, lowered).otherwise(F.col("text"))}
+    )
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
+@query("op12_whole_tokens")
+def op12_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query(
+    "op13_counted_units",
+    r"""
+    WITH drawn AS (
+        SELECT doc_id, coalesce("text", '') AS t,
+               regexp_extract_all(coalesce("text", ''), '[^\n]*\n|[^\n]+') AS units,
+               sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS digest
+        FROM documents),
+    cut AS (
+        SELECT doc_id, t, units, len(units) AS n,
+               ('0x' || substr(digest, 1, 8))::BIGINT % (len(units) + 1) AS c1,
+               ('0x' || substr(digest, 9, 8))::BIGINT % (len(units) + 1) AS c2,
+               CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                    THEN 'plain'
+                    WHEN ('0x' || substr(digest, 25, 8))::BIGINT % 100 < 50 THEN 'spm'
+                    ELSE 'psm' END AS form
+        FROM drawn),
+    parts AS (
+        SELECT doc_id, t, n, form,
+               coalesce(array_to_string(units[1:least(c1, c2)], ''), '') AS pre,
+               coalesce(array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], ''), '') AS mid,
+               coalesce(array_to_string(units[greatest(c1, c2) + 1:], ''), '') AS suf
+        FROM cut)
+    SELECT doc_id, n::BIGINT AS n, form,
+           CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t
+                  WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                  ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM parts
+    """,
+)
+def op13_counted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fim.fill_in_middle(docs).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
