@@ -34,7 +34,8 @@ RUNTIME_SETTINGS = {
 def ship_by_value(module: str) -> None:
     """Send a module's task functions with the task itself.
 
-    Executors then need no installed copy of this package.
+    Executors then need no installed copy of this package. A module that a task
+    function names is sent with all it has imported, so this one is sent as well.
     """
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
@@ -92,3 +93,6 @@ def written_table(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+ship_by_value(__name__)
