@@ -119,6 +119,7 @@ def branching_windows(sources: DataFrame, texts: DataFrame, span: int = SPAN) ->
                 batch.column(1).to_pylist(),
                 text.unpacked(batch.column(2)),
             ):
+                data = data or b""
                 copies_of = dict(zip(blocks, copies))
                 _, _, block, _, count, windows = word_blocks(
                     np.frombuffer(data, np.uint8), np.array([0, len(data)]), span
@@ -215,13 +216,13 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     starts elsewhere, in the same or another row; rows that are repeated as a
     whole are copies like any other. ``kept`` is the remaining words joined by
     one space, kept_sha256 the hash of its UTF-8 bytes. A NULL text has no
-    words. Columns of ``docs`` with the names of the new ones are replaced, and
-    those called key, packed or spans are left out. A span over ``MAX_SPAN``
-    raises a ValueError.
+    words and stays NULL; its kept is ''. Columns of ``docs`` with the names of
+    the new ones are replaced. A span over ``MAX_SPAN`` raises a ValueError.
     """
     if span > MAX_SPAN:
         raise ValueError(f"span {span} is over {MAX_SPAN}")
-    plain = docs.drop("kept", "n_words", "n_removed", "kept_sha256", "key", "packed", "spans")
+    added = ("kept", "n_words", "n_removed", "kept_sha256")
+    plain, names = text.set_aside(docs.drop(*added), "text")
     keyed = plain.withColumn("key", text.row_key(*plain.columns))
     blocks = document_blocks(keyed, span)
     texts = text.packed(keyed.select("key", "text"))
@@ -241,7 +242,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             kept, sizes, removed, digests = [], [], [], []
             texts = text.unpacked(batch.column(width))
             for data, spans in zip(texts, batch.column(width + 1).to_pylist()):
-                words = data.split()
+                words = (data or b"").split()
                 left = words
                 if spans:
                     gone = covered(
@@ -256,20 +257,20 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(i) for i in range(width)],
-                    pa.array([t.decode() for t in texts], pa.string()),
+                    pa.array([None if t is None else t.decode() for t in texts], pa.string()),
                     pa.array(kept, pa.string()),
                     pa.array(sizes, pa.int64()),
                     pa.array(removed, pa.int64()),
                     pa.array(digests, pa.string()),
                 ],
-                [*others, "text", "kept", "n_words", "n_removed", "kept_sha256"],
+                [*others, "text", *added],
             )
 
     fields = ", ".join(f"`{n}` {plain.schema[n].dataType.simpleString()}" for n in others)
     schema = (fields + ", " if fields else "") + (
         "text string, kept string, n_words long, n_removed long, kept_sha256 string"
     )
-    return joined.mapInArrow(remove, schema)
+    return text.put_back(joined.mapInArrow(remove, schema), names, added)
 
 
 ship_by_value(__name__)

@@ -200,9 +200,8 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
     that is NULL or has no letter gets ``und`` and 0; equal code lengths go to
     the first name. Columns of ``docs`` called lang_pred or score are replaced.
     """
-    spark = docs.sparkSession
     kept = docs.drop("lang_pred", "score")
-    shared = spark.sparkContext.broadcast(trees)
+    shared = text.sent_object(docs.sparkSession, trees)
     lowered, lettered = "__lowered", "__lettered"
     given = kept.withColumns(
         {
@@ -214,7 +213,7 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
     width = len(columns)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
+        trees = shared()
         for batch in batches:
             data, offsets = text.text_buffer(batch.column(width))
             usable = np.array(batch.column(width + 1).to_pylist(), bool)

@@ -4,8 +4,10 @@ A page is parsed into elements and every element subtree is hashed. Spark counts
 per host on how many different pages each hash stands, and subtrees that recur
 on many pages of their host are deleted: that is what the site's template puts
 on every page. Furniture that differs from page to page (menus, footers, adverts,
-forms, ...) is known by its tag, role or class and goes as well. Inside what the
-page marks as its article, containers (div, section, ul, table, ...) are counted
+forms, ...) is known by its tag or role, or by a class that names nothing else, and
+goes as well, unless it holds most of the text. A class or id that only mentions
+furniture removes nothing; it lowers the bar for a subtree that recurs. Inside what
+the page marks as its article, containers (div, section, ul, table, ...) are counted
 and deleted like everywhere; paragraphs, headings, items and text-level markup
 are not, so a passage that several articles share stays.
 """
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from diurna.llm.text import put_back, set_aside
 from diurna.llm.urls import host_of
 from diurna.session import ship_by_value, written_table
 
@@ -30,6 +33,9 @@ from diurna.session import ship_by_value, written_table
 # and on this share of them.
 MIN_PAGES = 5
 MIN_SHARE = 0.3
+# The same for a subtree whose class or id mentions furniture.
+MENTIONED_PAGES = 3
+MENTIONED_SHARE = 0.1
 # A recurring container with more than half of an article's text and at least
 # this many characters is the body of an article published several times.
 BODY_CHARS = 500
@@ -46,7 +52,7 @@ _ATTRIBUTE = re.compile(
     r"|\"[^\"]*\"|'[^']*'"
 )
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe textarea title svg xmp noembed".split())
@@ -68,6 +74,11 @@ _FURNITURE_WORDS = frozenset(
     "subscribe subscription signup login share sharing social related recommended breadcrumb "
     "breadcrumbs pagination pager search form widget toolbar skip".split()
 )
+# What a class of furniture may say besides: fixed values.
+_NEUTRAL_WORDS = frozenset(
+    "area bar block bottom box button buttons container global icons inner item items left "
+    "link links list right section site thread top unit wrap wrapper".split()
+)
 _FURNITURE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alert".split()
 )
@@ -91,6 +102,11 @@ _SIBLINGS = {
 class Element:
     tag: str
     furniture: bool
+    # Furniture by class, or a form: not if it holds most of the text.
+    doubtful: bool
+    # A class or id mentions furniture.
+    mentioned: bool
+    hidden: bool = False
     # Strings and child elements in page order; None is a line break.
     content: list = field(default_factory=list)
 
@@ -108,24 +124,39 @@ def is_hidden(attributes: str) -> bool:
     return False
 
 
-def is_furniture(tag: str, attributes: str) -> bool:
-    if tag in _FURNITURE_TAGS:
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
-    for name, *values in _NAMED.findall(attributes):
-        value = "".join(values)
-        if name.lower() == "role":
-            if value.strip().lower() in _FURNITURE_ROLES:
-                return True
-        elif tag != "main" and any(w.lower() in _FURNITURE_WORDS for w in _PARTS.findall(value)):
-            return True
-    return is_hidden(attributes)
+def named_furniture(value: str) -> tuple[bool, bool]:
+    """(a token names furniture and nothing else, some part names furniture)."""
+    named = mentioned = False
+    for token in value.split():
+        parts = [w.lower() for w in _PARTS.findall(token)]
+        words = [w for w in parts if w in _FURNITURE_WORDS]
+        mentioned |= bool(words)
+        named |= bool(words) and all(
+            w in _FURNITURE_WORDS or w in _NEUTRAL_WORDS or w.isdigit() for w in parts
+        )
+    return named, mentioned
+
+
+def judged(tag: str, attributes: str) -> Element:
+    """A new element with what its tag and attributes say about it."""
+    sure, doubtful, mentioned = tag in _FURNITURE_TAGS, tag == "form", False
+    if attributes and tag not in ("html", "body"):
+        for name, *values in _NAMED.findall(attributes):
+            value = "".join(values)
+            if name.lower() == "role":
+                sure |= value.strip().lower() in _FURNITURE_ROLES
+            elif tag != "main":
+                named, some = named_furniture(value)
+                mentioned |= some
+                doubtful |= named
+        if is_hidden(attributes):
+            return Element(tag, True, False, mentioned, True)
+    return Element(tag, sure or doubtful, doubtful and (tag == "form" or not sure), mentioned)
 
 
 def parse(source: str) -> Element:
     """Element tree of a page; broken, cut or empty markup gives what can be read."""
-    root = Element("html", False)
+    root = Element("html", False, False, False)
     stack, at, size = [root], 0, len(source)
 
     def close_until(tags: set, fence: set) -> None:
@@ -172,13 +203,42 @@ def parse(source: str) -> Element:
             if tag not in _INLINE:
                 stack[-1].content.append(None)
             continue
-        element = Element(tag, is_furniture(tag, attributes))
+        element = judged(tag, attributes)
         stack[-1].content.append(element)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
             at = end.end() if end else size
         elif not attributes.rstrip().endswith("/") or tag in _ENDS_P:
             stack.append(element)
+    return cleared(root)
+
+
+def cleared(root: Element) -> Element:
+    """Doubtful furniture with more than half of the text around it is none.
+
+    From the outside in: the text around is that of the nearest element that counts.
+    """
+    order = list(_walk(root))
+    if not any(e.doubtful for e in order):
+        return root
+    # Characters below each element, as if no doubtful one were furniture.
+    sizes: dict[int, int] = {}
+    for element in reversed([root, *order]):
+        total = 0
+        for child in element.content:
+            if isinstance(child, str):
+                total += sum(map(len, child.split()))
+            elif child is not None and (child.doubtful or not child.furniture):
+                total += sizes[id(child)]
+        sizes[id(element)] = total
+    todo = [(root, sizes[id(root)])]
+    while todo:
+        element, around = todo.pop()
+        if element.doubtful and 2 * sizes[id(element)] > around:
+            element.furniture = False
+        if not element.furniture:
+            around = sizes[id(element)]
+            todo += [(c, around) for c in element.content if isinstance(c, Element)]
     return root
 
 
@@ -193,19 +253,27 @@ def _walk(element: Element) -> Iterator[Element]:
 
 
 def article_roots(root: Element) -> list[Element]:
-    """The page's article elements, else its main elements, in page order."""
-    for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            here = todo.pop()
-            if here.tag == tag:
-                found.append(here)
-                continue
-            todo += [
-                c for c in reversed(here.content) if isinstance(c, Element) and not c.furniture
-            ]
-        if found:
-            return found
+    """The page's article elements, else its main elements, in page order.
+
+    Those inside furniture count only if there are no others at all.
+    """
+    for inside in (False, True):
+        for tag in ("article", "main"):
+            found, todo = [], [root]
+            while todo:
+                here = todo.pop()
+                if here.hidden:
+                    continue
+                if here.tag == tag and (inside or not here.furniture):
+                    found.append(here)
+                    continue
+                todo += [
+                    c
+                    for c in reversed(here.content)
+                    if isinstance(c, Element) and (inside or not c.furniture)
+                ]
+            if found:
+                return found
     return []
 
 
@@ -253,11 +321,15 @@ def removable(root: Element, roots: list[Element]) -> list[Element]:
     return [e for e in elements if may_go(e)]
 
 
-def candidate_hashes(source: str) -> list[int]:
-    """Hashes of the subtrees of a page that may be template, each once."""
+def candidate_hashes(source: str) -> list[tuple[int, bool]]:
+    """(hash, mentions furniture) of the subtrees that may be template, each once."""
     root = parse(source)
     hashes = subtree_hashes(root)
-    return sorted({hashes[id(e)] for e in removable(root, article_roots(root))})
+    found: dict[int, bool] = {}
+    for element in removable(root, article_roots(root)):
+        own = hashes[id(element)]
+        found[own] = found.get(own, False) or element.mentioned
+    return sorted(found.items())
 
 
 def _weight(element: Element) -> int:
@@ -293,7 +365,7 @@ def _text(starts: list[Element], gone: set[int]) -> str:
                 blocks.append(" ")
             elif isinstance(item, str):
                 blocks.append(item)
-            elif not item.furniture and id(item) not in gone:
+            elif id(item) not in gone and (item is start or not item.furniture):
                 breaks = item.tag not in _INLINE
                 if breaks:
                     todo.append(None)
@@ -318,7 +390,11 @@ def main_text(source: str, template: set[int]) -> str:
 
 
 def template_subtrees(
-    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE
+    pages: DataFrame,
+    min_pages: int = MIN_PAGES,
+    min_share: float = MIN_SHARE,
+    mentioned_pages: int = MENTIONED_PAGES,
+    mentioned_share: float = MENTIONED_SHARE,
 ) -> DataFrame:
     """(host, print, template): the recurring subtree hashes of each page.
 
@@ -329,9 +405,12 @@ def template_subtrees(
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [candidate_hashes(source or "") for source in batch.column(2).to_pylist()]
+            hashes = [[h for h, _ in page] for page in found]
+            mentioned = [[h for h, named in page if named] for page in found]
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))],
-                ["host", "print", "subtrees"],
+                [*batch.columns[:2], pa.array(hashes, lists), pa.array(mentioned, lists)],
+                ["host", "print", "subtrees", "mentioned"],
             )
 
     given = pages.select(
@@ -339,23 +418,40 @@ def template_subtrees(
         F.xxhash64("html").alias("print"),
         "html",
     )
-    each = given.mapInArrow(hashes, "host string, print long, subtrees array<long>")
+    each = given.mapInArrow(
+        hashes, "host string, print long, subtrees array<long>, mentioned array<long>"
+    )
     # Copies of a page are one page before anything is listed.
     once = written_table(
-        each.groupBy("host", "print").agg(F.first("subtrees").alias("subtrees")), "page-subtrees"
+        each.groupBy("host", "print").agg(
+            F.first("subtrees").alias("subtrees"), F.first("mentioned").alias("mentioned")
+        ),
+        "page-subtrees",
     )
     sizes = once.groupBy("host").agg(F.count(F.lit(1)).alias("there"))
     listed = once.select(
         "host",
         F.xxhash64("host", "print").alias("page"),
+        "mentioned",
         F.explode("subtrees").alias("subtree"),
-    ).withColumn("key", F.xxhash64("host", "subtree"))
+    ).withColumns(
+        {
+            "key": F.xxhash64("host", "subtree"),
+            "mentioned": F.array_contains("mentioned", F.col("subtree")),
+        }
+    )
+    bar_pages = F.when(F.col("mentioned"), mentioned_pages).otherwise(min_pages)
+    bar_share = F.when(F.col("mentioned"), mentioned_share).otherwise(min_share)
     recurring = (
         listed.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("stands"), F.min("host").alias("host"))
-        .where(F.col("stands") >= min_pages)
+        .agg(
+            F.count(F.lit(1)).alias("stands"),
+            F.min("host").alias("host"),
+            F.bool_or("mentioned").alias("mentioned"),
+        )
+        .where(F.col("stands") >= bar_pages)
         .join(sizes, "host")
-        .where(F.col("stands") >= min_share * F.col("there"))
+        .where(F.col("stands") >= bar_share * F.col("there"))
         .select("key")
     )
     found = (
@@ -377,9 +473,9 @@ def extract(
     decoded; n_chars counts its code points. A NULL or empty html gives ''. A
     NULL url belongs to the host ''. Columns called text or n_chars are replaced.
     """
-    kept = pages.drop("text", "n_chars")
+    kept, names = set_aside(pages.drop("text", "n_chars"), "url", "html")
     columns = [c for c in kept.columns if c != "html"]
-    templates = template_subtrees(pages, min_pages, min_share)
+    templates = template_subtrees(kept, min_pages, min_share)
     keyed = kept.withColumns(
         {"__host": host_of(F.col("url")), "__print": F.xxhash64("html")}
     ).join(
@@ -411,7 +507,9 @@ def extract(
     schema = StructType(
         [*fields, StructField("text", StringType()), StructField("n_chars", LongType())]
     )
-    return keyed.select(*columns, "html", "template").mapInArrow(texts, schema)
+    found = keyed.select(*columns, "html", "template").mapInArrow(texts, schema)
+    del names["html"]
+    return put_back(found, names, ("text", "n_chars"))
 
 
 ship_by_value(__name__)

@@ -15,8 +15,12 @@ grouping (``suffix``), and a suffix's longest match is with a neighbour in that
 order: it tells how far the bytes from there on repeat elsewhere.
 
 An anchor with very many different blocks (the edge of a passage that very many
-texts share) would be one large task; its windows are counted one by one
-instead, by hash with map-side partial sums. Both ways are exact.
+texts share) would be one large task, so its blocks are split. Equal windows stand
+at equal distance before the anchor: the distances are halved, each half keeps the
+bytes its windows need, and those that all its windows share name the part. Equal
+stretches of a part are counted and become one; parts that are still large are
+split again, and the others sorted like any anchor's blocks. After nine halvings a
+stretch is one window.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ from diurna.session import ship_by_value, written_table
 
 SPAN = 400
 ANCHOR_BYTES = 32
-# More different blocks than this at one anchor: windows are counted instead.
-LARGE_GROUP = 10_000
+# A part with more different blocks than this is split before it is sorted.
+PART_BLOCKS = 2_000
 TASK_BLOCKS = 4_000
 SORT_BLOCKS = 1_000
 
@@ -116,6 +120,7 @@ def block_contents(sources: DataFrame, texts: DataFrame, span: int = SPAN) -> Da
         for batch in batches:
             rows = []
             for blocks, data in zip(batch.column(0).to_pylist(), text.unpacked(batch.column(1))):
+                data = data or b""
                 sought = {b["block"]: b for b in blocks}
                 _, anchor, block, start, count, lead = byte_blocks(
                     np.frombuffer(data, np.uint8), np.array([0, len(data)]), span
@@ -225,19 +230,30 @@ def aligned_symbols(leads: np.ndarray, contents: list[bytes], span: int):
 
 
 def _match_lengths(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Longest match of each suffix with another, in symbols; 0 ends a match."""
-    match = np.zeros(len(symbols) + 1, np.int64)
-    live = np.arange(1, len(order))
-    step = 0
-    while len(live):
-        a, b = order[live - 1] + step, order[live] + step
-        inside = np.maximum(a, b) < len(symbols)
-        live, a, b = live[inside], a[inside], b[inside]
-        live = live[(symbols[a] == symbols[b]) & (symbols[a] != 0)]
-        match[live] += 1
-        step += 1
-    longest = np.zeros(len(symbols), np.int64)
-    longest[order] = np.maximum(match[:-1], match[1:])
+    """Longest match of each suffix with another, in symbols; 0 ends a match.
+
+    One linear pass in text order: the match of the next suffix with its
+    neighbour is at most one symbol shorter.
+    """
+    size = len(symbols)
+    values = [*symbols.tolist(), 0]
+    rank = np.empty(size, np.int64)
+    rank[order] = np.arange(size)
+    before = np.full(size, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    match, here = [0] * (size + 1), 0
+    for i, (r, j) in enumerate(zip(rank.tolist(), before.tolist())):
+        if j < 0:
+            here = 0
+            continue
+        while values[i + here] and values[i + here] == values[j + here]:
+            here += 1
+        match[r] = here
+        if here:
+            here -= 1
+    both = np.array(match, np.int64)
+    longest = np.zeros(size, np.int64)
+    longest[order] = np.maximum(both[:-1], both[1:])
     return longest
 
 
@@ -301,9 +317,13 @@ def repeated_ranges(groups: list[tuple[np.ndarray, list[bytes], np.ndarray]], sp
     return out
 
 
-def sorted_groups(contents: DataFrame, blocks: int, span: int = SPAN) -> DataFrame:
-    """(block, ranges) of single blocks, by suffix order among their anchor's blocks."""
-    tasks = max(1, -(-blocks // TASK_BLOCKS))
+def sorted_groups(pieces: DataFrame, span: int = SPAN) -> DataFrame:
+    """(block, ranges) of single pieces, by suffix order among their group's pieces.
+
+    ``pieces``: grp, block, low (its first window's number in the block), copies,
+    lead, content. A group has at most ``PART_BLOCKS`` of them.
+    """
+    tasks = max(1, -(-pieces.count() // TASK_BLOCKS))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         names: list[int] = []
@@ -313,88 +333,139 @@ def sorted_groups(contents: DataFrame, blocks: int, span: int = SPAN) -> DataFra
 
         def settle() -> None:
             found = repeated_ranges([w[0] for w in waiting], span)
-            for (_, blocks, copies), spans in zip(waiting, found):
-                for block, n, own in zip(blocks, copies, spans):
+            for (_, blocks, lows, copies), spans in zip(waiting, found):
+                for block, low, n, own in zip(blocks, lows, copies, spans):
                     if n == 1 and own:
                         names.append(block)
-                        ranges.append([{"low": a, "high": b} for a, b in own])
+                        ranges.append([{"low": low + a, "high": low + b} for a, b in own])
 
-        for _, group in rows.sort_values("block").groupby("anchor", sort=True):
-            pieces = group["content"].tolist()
+        for _, group in rows.sort_values(["block", "low"]).groupby("grp", sort=True):
+            if len(group) < 2:
+                continue
+            contents = group["content"].tolist()
             leads = group["lead"].to_numpy(np.int64)
-            counts = np.array([len(c) - span + 1 for c in pieces])
-            waiting.append(((leads, pieces, counts), group["block"], group["copies"]))
-            size += len(pieces)
+            counts = np.array([len(c) - span + 1 for c in contents])
+            waiting.append(
+                ((leads, contents, counts), group["block"], group["low"], group["copies"])
+            )
+            size += len(contents)
             if size > SORT_BLOCKS:
                 settle()
                 waiting, size = [], 0
         if waiting:
             settle()
-        return pd.DataFrame({"block": pd.Series(names, dtype="int64"), "ranges": ranges})
+        return pd.DataFrame(
+            {"block": pd.Series(names, dtype="int64"), "ranges": pd.Series(ranges, dtype="object")}
+        )
 
-    task = F.pmod(F.xxhash64("anchor"), F.lit(tasks)).cast("int")
+    task = F.pmod(F.xxhash64("grp"), F.lit(tasks)).cast("int")
     return (
-        contents.withColumn("task", task)
+        pieces.withColumn("task", task)
         .groupBy("task")
         .applyInPandas(search, f"block long, ranges {RANGES}")
     )
 
 
-def counted_windows(contents: DataFrame, span: int = SPAN) -> DataFrame:
-    """(block, ranges) of single blocks, by counting every window's hash."""
+PIECE = "grp long, block long, low int, copies long, lead int, content binary"
+
+
+def halved(pieces: DataFrame, bit: int, span: int = SPAN) -> DataFrame:
+    """Each piece cut where bit ``bit`` of its windows' distance to the anchor changes.
 
-    def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The group of a cut piece tells the old group, the range of distances, and the
+    bytes around the anchor that every window of that range has.
+    """
+    most = span - min(ANCHOR_BYTES, span)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(3)]
-            for block, copies, content in zip(*columns):
-                data = np.frombuffer(content, np.uint8)
-                places = np.arange(len(data) - span + 1)
-                prefix = text.prefix_hash(text.byte_values(data), "byte")
-                hashes = text.span_hash(prefix, places, places + span, "byte")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(hashes.view(np.int64)),
-                        pa.array(np.full(len(places), block)),
-                        pa.array(places.astype(np.int32)),
-                        pa.array(np.full(len(places), copies)),
-                    ],
-                    ["window", "block", "place", "copies"],
-                )
+            rows = []
+            for grp, block, low, copies, lead, content in zip(
+                *[batch.column(i).to_pylist() for i in range(6)]
+            ):
+                last = lead - (len(content) - span)
+                far = lead
+                while far >= last:
+                    # Windows whose distance has these upper bits.
+                    near = max(last, far >> bit << bit)
+                    begin = lead - far
+                    own = content[begin : begin + far - near + span]
+                    upper = min(most, (far >> bit << bit) + (1 << bit) - 1)
+                    lower = far >> bit << bit
+                    shared = content[lead - lower : lead - upper + span]
+                    name = hashlib.blake2b(
+                        f"{grp} {lower} ".encode() + shared, digest_size=8
+                    ).digest()
+                    rows.append(
+                        (int.from_bytes(name, "big", signed=True), block, low + begin, copies,
+                         far, own)
+                    )
+                    far = near - 1
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
+                ["grp", "block", "low", "copies", "lead", "content"],
+            )
+
+    columns = ("grp", "block", "low", "copies", "lead", "content")
+    return pieces.select(*columns).mapInArrow(cut, PIECE)
 
-    windows = written_table(
-        contents.select("block", "copies", "content").mapInArrow(
-            list_windows, "window long, block long, place int, copies long"
-        ),
-        "windows",
-    )
-    repeated = (
-        windows.groupBy("window").agg(F.sum("copies").alias("starts")).where(F.col("starts") > 1)
-    )
-    low, high = F.col("place").alias("low"), (F.col("place") + 1).alias("high")
-    return (
-        windows.where(F.col("copies") == 1)
-        .join(repeated.select("window"), "window", "left_semi")
-        .groupBy("block")
-        .agg(F.collect_list(F.struct(low, high)).cast(RANGES).alias("ranges"))
-    )
+
+def _by_size(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pieces of groups that can be sorted, pieces of larger groups)."""
+    sizes = pieces.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    large = written_table(sizes.where(F.col("size") > PART_BLOCKS).select("grp"), "large")
+    return pieces.join(large, "grp", "left_anti"), pieces.join(large, "grp", "left_semi")
 
 
 def repeated_windows(blocks: DataFrame, texts: DataFrame, span: int = SPAN) -> DataFrame:
     """(block, ranges): which windows of each block start at another place as well."""
     found = blocks_at_repeated_anchors(blocks)
     branching = found.where(F.col("kinds") > 1)
-    contents = written_table(block_contents(branching, texts, span), "block-contents")
-    usual = contents.where(F.col("kinds") <= LARGE_GROUP)
-    whole = found.where(F.col("copies") > 1).select(
-        "block",
-        F.array(F.struct(F.lit(0).alias("low"), F.col("count").alias("high")))
-        .cast(RANGES)
-        .alias("ranges"),
-    )
-    return whole.unionByName(sorted_groups(usual, usual.count(), span)).unionByName(
-        counted_windows(contents.where(F.col("kinds") > LARGE_GROUP), span)
+    pieces = written_table(
+        block_contents(branching, texts, span).select(
+            F.col("anchor").alias("grp"),
+            "block",
+            F.lit(0).alias("low"),
+            "copies",
+            "lead",
+            "content",
+        ),
+        "block-contents",
     )
 
+    def whole(rows: DataFrame, low, high) -> DataFrame:
+        ranges = F.array(F.struct(low.alias("low"), high.alias("high"))).cast(RANGES)
+        return rows.select("block", ranges.alias("ranges"))
+
+    repeated = whole(found.where(F.col("copies") > 1), F.lit(0), F.col("count"))
+    for bit in reversed(range(span.bit_length())):
+        usual, large = _by_size(pieces)
+        repeated = repeated.unionByName(sorted_groups(usual, span))
+        if large.isEmpty():
+            break
+        parts = written_table(
+            halved(large, bit, span).withColumn("stretch", F.xxhash64("lead", "content")), "parts"
+        )
+        once = written_table(
+            parts.groupBy("grp", "stretch").agg(
+                F.sum("copies").alias("stands"),
+                F.min("block").alias("block"),
+                F.max("low").alias("low"),
+                F.first("lead").alias("lead"),
+                F.first("content").alias("content"),
+            ),
+            "stretches",
+        )
+        # A stretch that stands twice is repeated wherever it is not known yet.
+        twice = once.where(F.col("stands") > 1).select("grp", "stretch")
+        again = parts.where(F.col("copies") == 1).join(twice, ["grp", "stretch"], "left_semi")
+        end = F.col("low") + F.length("content") - span + 1
+        repeated = repeated.unionByName(whole(again, F.col("low"), end))
+        pieces = once.withColumnRenamed("stands", "copies").drop("stretch")
+    return repeated
+
 
 def kept_bytes(data: bytes, spans: list, span: int) -> tuple[bytes, int, int]:
     """(what is left, bytes removed, runs removed) of one text."""
@@ -415,14 +486,14 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     A byte goes if a string of ``span`` bytes that covers it also starts
     elsewhere, in the same or another row; matches never cross rows. ``kept`` is
-    binary, since a cut may fall inside a character. A NULL text is empty.
-    Columns of ``docs`` with the names of the new ones are replaced, and those
-    called key, packed or spans are left out.
+    binary, since a cut may fall inside a character. A NULL text is empty, and stays NULL.
+    Columns of ``docs`` with the names of the new ones are replaced.
     """
     added = ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    plain = docs.drop(*added, "key", "packed", "spans")
+    plain, names = text.set_aside(docs.drop(*added), "text")
     keyed = plain.withColumn("key", text.row_key(*plain.columns))
-    blocks = document_blocks(keyed, span)
+    # Read twice: finding the blocks costs far more than storing them.
+    blocks = written_table(document_blocks(keyed, span), "document-blocks")
     texts = text.packed(keyed.select("key", "text"))
     ranges = repeated_windows(blocks, texts, span)
     spans = (
@@ -440,6 +511,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             texts = text.unpacked(batch.column(width))
             rows = []
             for data, found in zip(texts, batch.column(width + 1).to_pylist()):
+                data = data or b""
                 left, gone, runs = data, 0, 0
                 if found:
                     left, gone, runs = kept_bytes(
@@ -450,7 +522,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(i) for i in range(width)],
-                    pa.array([t.decode() for t in texts], pa.string()),
+                    pa.array([None if t is None else t.decode() for t in texts], pa.string()),
                     pa.array(columns[0], pa.binary()),
                     *[pa.array(c, pa.int64()) for c in columns[1:4]],
                     pa.array(columns[4], pa.string()),
@@ -459,11 +531,12 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             )
 
     fields = "".join(f"`{n}` {plain.schema[n].dataType.simpleString()}, " for n in others)
-    return joined.mapInArrow(
+    removed = joined.mapInArrow(
         remove,
         fields + "text string, kept binary, n_bytes long, n_removed long, n_spans long, "
         "kept_sha256 string",
     )
+    return text.put_back(removed, names, added)
 
 
 ship_by_value(__name__)

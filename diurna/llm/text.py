@@ -7,13 +7,15 @@ Words are maximal runs of bytes other than space and the controls 9 to 13.
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -36,6 +38,15 @@ def kept_in_worker(key, make):
     return objects[key]
 
 
+def sent_object(spark: SparkSession, value):
+    """A function for tasks that gives ``value``, broadcast with its class's code.
+
+    A plain broadcast names the class only, and workers may have no copy of it.
+    """
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(shared.value)
+
+
 def learning_fold(id_column: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; NULL for a NULL id."""
     return F.crc32(id_column.cast("string").cast("binary")) % F.lit(folds)
@@ -180,7 +191,10 @@ def row_key(*columns: str) -> Column:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """``rows`` with text as compressed bytes, for a join that has to move texts."""
+    """``rows`` with text as compressed bytes, for a join that has to move texts.
+
+    A NULL text stays NULL.
+    """
     names = [c for c in rows.columns if c != "text"]
     width = len(names)
 
@@ -189,7 +203,10 @@ def packed(rows: DataFrame) -> DataFrame:
 
         press = zstandard.ZstdCompressor(3)
         for batch in batches:
-            data = [press.compress((t or "").encode()) for t in batch.column(width).to_pylist()]
+            data = [
+                None if t is None else press.compress(t.encode())
+                for t in batch.column(width).to_pylist()
+            ]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(width)], pa.array(data, pa.binary())],
                 [*names, "packed"],
@@ -200,11 +217,25 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.select(*names, "text").mapInArrow(pack, schema)
 
 
-def unpacked(column: pa.Array) -> list[bytes]:
+def unpacked(column: pa.Array) -> list[bytes | None]:
     import zstandard
 
     press = zstandard.ZstdDecompressor()
-    return [press.decompress(data) for data in column.to_pylist()]
+    return [None if data is None else press.decompress(data) for data in column.to_pylist()]
+
+
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``used`` renamed, and the new name of each.
+
+    An operator may then add columns of any name without meeting one of theirs.
+    """
+    names = {c: c if c in used else f"__own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def put_back(rows: DataFrame, names: dict[str, str], added: Sequence[str] = ()) -> DataFrame:
+    """The columns that were set aside under their own names, then ``added``."""
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items() if c not in added], *added)
 
 
 ship_by_value(__name__)

@@ -207,13 +207,14 @@ def train(
 def score(docs: DataFrame, model: Classifier, out: str = "score") -> DataFrame:
     """All columns of ``docs`` plus ``out``, 0 to 1; NULL text counts as empty."""
     kept = docs.drop(out)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = text.sent_object(docs.sparkSession, model)
     columns = kept.columns
     width = len(columns)
     given = kept.withColumn("__lowered", F.lower("text"))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value.weights, shared.value.intercept
+        model = shared()
+        weights, bias = model.weights, model.intercept
         for batch in batches:
             data, offsets = text.text_buffer(batch.column(width))
             margins = np.array([weights[b].sum() for b in buckets_by_row(data, offsets)])

@@ -321,6 +321,71 @@ def test_blocks_that_recur_inside_articles_go(spark):
 # --- 4 URL rules -------------------------------------------------------------
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="page has-sidebar"><article><p>real text</p></article></div>',
+        '<article class="post header-fixed"><p>real text</p></article>',
+        '<div class="content-with-sidebar"><p>real text</p></div>',
+        '<div id="search-results"><p>real text</p></div>',
+        '<section class="related-work"><p>real text</p></section>',
+        '<div class="form-text"><p>real text</p></div>',
+        '<form id="aspnet"><div>real text</div><input value="x"></form>',
+        '<div class="sidebar"><article>real text</article></div>',
+        '<div class="header"><p>real</p> text</div><div class="footer-links">c 2024</div>',
+        '<article>real<div class="cookie-notice">c</div><ul id="comment_list2"><li>c</li></ul>'
+        ' text</article>',
+        '<main>real<form>c</form><div class="adBox">c</div> text</main><article class="comment">c'
+        "</article>",
+    ],
+)
+def test_classes_remove_only_what_they_name(page):
+    assert pages.main_text(page, set()) == "real text"
+
+
+def test_counts_equal_plain_counting(spark):
+    """The template of every page, by a dictionary per host over all its pages."""
+    rng = random.Random(31)
+    blocks = ["<div>about us</div>", '<div class="has-promo">buy</div>', "<ul><li>a<li>b</ul>"]
+    rows = []
+    for i in range(60):
+        own = "".join(b for b in blocks if rng.random() < 0.35)
+        body = f"<p>{sentence(rng, 8)}</p>" + rng.choice(["", "<section>note</section>"])
+        body = body if i % 3 else f"<article>{body}{rng.choice(blocks)}</article>"
+        rows.append((i, f"http://h{i % 3 if i < 57 else 3}.org/{i}", own + body))
+    rows += [(100, rows[0][1], rows[0][2]), (101, None, None), (102, None, "")]
+    prints = {}
+    for _, url, source in rows:
+        host = (url or "").split("://")[-1].split("/")[0]
+        prints[host, source] = dict(pages.candidate_hashes(source or ""))
+    want = {}
+    for host in {h for h, _ in prints}:
+        own = {p: found for (h, p), found in prints.items() if h == host}
+        for source, found in own.items():
+            gone = set()
+            for subtree in found:
+                stands = sum(subtree in other for other in own.values())
+                named = any(other.get(subtree) for other in own.values())
+                least, share = (3, 0.1) if named else (5, 0.3)
+                if stands >= least and stands >= share * len(own):
+                    gone.add(subtree)
+            if gone:
+                want[host, source] = gone
+    given = spark.createDataFrame(rows, "page_id long, url string, html string")
+    keyed = given.select(F.xxhash64("html").alias("print"), "html").distinct()
+    found = pages.template_subtrees(given).join(keyed, "print")
+    assert {(r.host, r.html): set(r.template) for r in found.collect()} == want
+    assert want and any(len(v) > 1 for v in want.values())
+
+
+def test_page_columns_keep_their_names(spark):
+    names = ("template", "host", "print", "subtrees", "text", "__own_0", "n_chars", "a.b")
+    given = spark.createDataFrame([(1, None, "<p>x")], "page_id long, url string, html string")
+    found = pages.extract(given.withColumns({n: F.lit("theirs") for n in names}))
+    row = found.first()
+    assert [row[n] for n in names] == ["theirs"] * 4 + ["x", "theirs", 1, "theirs"]
+
+
 def test_globs_match_like_patterns():
     import re
 
@@ -433,7 +498,7 @@ def test_word_repeats_equal_brute_force(spark, seed, span):
 
 @pytest.mark.parametrize("seed, span, large", [(1, 400, 512), (2, 60, 512), (3, 60, 2), (4, 3, 8)])
 def test_byte_repeats_equal_brute_force(spark, monkeypatch, seed, span, large):
-    monkeypatch.setattr(suffixdedup, "LARGE_GROUP", large)
+    monkeypatch.setattr(suffixdedup, "PART_BLOCKS", large)
     rows = [(i, (t or "")[:2500] if t is not None else None) for i, t in corpus(random.Random(seed))]
     want = brute.without_repeats(rows, span, lambda t: (t or "").encode(), bytes)
     found = suffixdedup.remove_repeats(documents(spark, rows), span).collect()

@@ -49,7 +49,9 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
         i for i, _ in brute.leaks(rows, [(1, item)])
     }
 
-    assert spark.createDataFrame([], DOCS).columns == docs.columns
+    for name in ("language", "near_duplicates", "repeated_spans", "decontamination"):
+        left = stages[name](spark, docs.limit(0), sf_dir)
+        assert left.columns == docs.columns and left.count() == 0
 
 
 def test_run_and_empty_input(spark, tmp_path, sf_dir):
