@@ -12,19 +12,6 @@ from pyspark.sql import functions as F
 MIN_LANGUAGE_SCORE = 0.5
 
 
-def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with all columns but ``used`` renamed, and the new names.
-
-    An operator may then add columns of any name without meeting one of theirs.
-    """
-    names = {c: c if c in used else f"__own_{i}" for i, c in enumerate(docs.columns)}
-    return docs.withColumnsRenamed({c: n for c, n in names.items() if c != n}), names
-
-
-def put_back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
-    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those no language clearly explains.
 
@@ -33,10 +20,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     prepared(spark)
     fold = text.learning_fold(F.col("doc_id"), 4)
     trees = language.train(docs.where(fold != 2))
-    given, names = set_aside(docs, "text")
+    given, names = text.set_aside(docs, "text")
     judged = language.identify(given, trees)
     kept = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return put_back(judged.where(kept), names)
+    return text.put_back(judged.where(kept), names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,13 +44,13 @@ def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A text that loses nothing stays as it is, white space included.
     """
     prepared(spark)
-    given, names = set_aside(docs, "text", "n_chars")
+    given, names = text.set_aside(docs, "text", "n_chars")
     cut = debruijn.remove_repeats(given)
     changed = F.col("n_removed") > 0
     rest = F.when(changed, F.col("kept")).otherwise(F.col("text"))
     length = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
     left = cut.where((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return put_back(left.withColumns({"text": rest, "n_chars": length}), names)
+    return text.put_back(left.withColumns({"text": rest, "n_chars": length}), names)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
