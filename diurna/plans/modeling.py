@@ -7,10 +7,15 @@ sums per fold; the training part of a fold is the total minus the fold. The
 small solves run inside a task on k rows, and the coefficients (k folds x the
 models of the protocol, a size the data does not influence) are broadcast back
 for the scoring pass, where the absolute error needs the rows themselves.
+
+Tree ensembles have no such sums. A grid fits every point and fold in a task of its
+own, on a sample of bounded size, and scores all rows; ``cross_validate_estimators``
+fits any MLlib estimator on all rows instead.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import partial
@@ -19,6 +24,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.feature import VectorAssembler
@@ -26,7 +32,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from diurna.operators import aggregates, sampling
+from diurna.operators import aggregates, sampling, trees
 from diurna.operators.single import with_row
 from diurna.schemas import (
     CV_FOLDS,
@@ -37,7 +43,7 @@ from diurna.schemas import (
     TARGET,
     TRAIN_FRACTIONS,
 )
-from diurna.session import ship_by_value
+from diurna.session import scratch_path, ship_by_value
 
 ship_by_value(__name__)
 
@@ -368,6 +374,23 @@ def forest_grid(depths, leaves, trees: int = 300) -> dict[str, Estimator]:
     }
 
 
+def forest_points(depths, leaves, size: int = 300) -> list[trees.ForestPoint]:
+    return [
+        trees.ForestPoint(f"RF_depth_{d}_leaf_{leaf}", d, leaf, size)
+        for d in depths
+        for leaf in leaves
+    ]
+
+
+def boosting_points(depths, rates, children, rounds: int = 300) -> list[trees.BoostedPoint]:
+    return [
+        trees.BoostedPoint(f"GBT_depth_{d}_lr_{r:g}_child_{c}", d, r, c, rounds)
+        for d in depths
+        for r in rates
+        for c in children
+    ]
+
+
 def boosting_grid(depths, rates, children, rounds: int = 300) -> dict[str, Estimator]:
     return {
         f"GBT_depth_{d}_lr_{r:g}_child_{c}": boosting(d, r, c, rounds)
@@ -414,3 +437,134 @@ def cross_validate_estimators(
         "model string, fold int, train_size long, validation_size long, "
         "mae double, rmse double, r2 double",
     )
+
+
+# A grid's ensembles are fitted on about this many labelled rows, drawn by hash; the
+# protocol's own study has 1,120 development rows, so there it is all of them.
+GRID_FIT_ROWS = 2_000
+RESULTS = (
+    "model string, fold int, train_size long, validation_size long, "
+    "mae double, rmse double, r2 double"
+)
+
+
+def _grid_sample(rows: DataFrame, size: int, fit_rows: int) -> pd.DataFrame:
+    """About ``fit_rows`` rows, the same for any partitioning."""
+    if size <= fit_rows:
+        return rows.toPandas()
+    share = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(share * size < fit_rows).toPandas()
+
+
+def _fitted(spark, points, folds: Sequence[int], sample, seed: int) -> dict:
+    """{(point, fold): ensemble} of every point and fold, each from its own task."""
+    jobs = [(i, fold) for i in range(len(points)) for fold in folds]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, x, y = sample.value
+        for batch in batches:
+            for job in batch.column(0).to_pylist():
+                i, held_out = jobs[job]
+                train = fold != held_out
+                if not train.any():
+                    continue
+                parts = points[i].fit(x[train], y[train], seed + held_out).parts()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([job]), pa.array([pickle.dumps(parts)])], ["job", "parts"]
+                )
+
+    found = spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(fit, "job long, parts binary")
+    return {jobs[r.job]: trees.Ensemble.of(pickle.loads(r.parts)) for r in found.collect()}
+
+
+def _scored(rows: DataFrame, fitted: dict, columns: Sequence[str], centre: float) -> DataFrame:
+    """Per point and fold: sums of errors and of the target over all validation rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(
+        {key: ensemble.parts() for key, ensemble in fitted.items()}
+    )
+    width = len(columns)
+    names = ("rows", "absolute", "squared", "target", "target2")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = {key: trees.Ensemble.of(parts) for key, parts in shared.value.items()}
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            held_out = batch.column(0).to_numpy()
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            x = np.stack(
+                [batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(width)], axis=1
+            ).astype(float)
+            for (i, fold), model in models.items():
+                own = held_out == fold
+                if own.any():
+                    e, t = y[own] - model.predict(x[own]), y[own] - centre
+                    part = np.array([own.sum(), np.abs(e).sum(), e @ e, t.sum(), t @ t])
+                    sums[i, fold] = sums.get((i, fold), 0.0) + part
+        if sums:
+            keys = list(zip(*sums))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k, pa.int32()) for k in keys]
+                + [pa.array(c) for c in np.stack(list(sums.values()), axis=1)],
+                ["point", "fold", *names],
+            )
+
+    schema = "point int, fold int, " + ", ".join(f"{n} double" for n in names)
+    return rows.mapInArrow(score, schema).groupBy("point", "fold").agg(
+        *[F.sum(n).alias(n) for n in names]
+    )
+
+
+def cross_validate_grid(
+    folded: DataFrame,
+    points: Sequence[trees.ForestPoint | trees.BoostedPoint],
+    columns: Sequence[str] = FEATURES,
+    target: str = TARGET,
+    fit_rows: int = GRID_FIT_ROWS,
+    seed: int = CV_SEED,
+    results: str | None = None,
+) -> DataFrame:
+    """Per-fold metrics of every point of a grid of tree ensembles.
+
+    Points go in groups that fill the cluster twice: each point and fold is fitted
+    in a task of its own, on the training part of one sample of about ``fit_rows``
+    rows (a size the data does not influence, and with it that of the ensembles),
+    and one pass over all of ``folded`` scores the group. ``results`` names a folder
+    that keeps each group's metrics; a rerun starts at the first point not in it.
+    """
+    spark = folded.sparkSession
+    rows = folded.select("fold", target, *columns)
+    sizes = {r.fold: r["count"] for r in rows.groupBy("fold").count().collect()}
+    total = sum(sizes.values())
+    drawn = _grid_sample(rows, total, fit_rows)
+    y = drawn[target].to_numpy(float)
+    sample = spark.sparkContext.broadcast(
+        (drawn["fold"].to_numpy(), drawn[list(columns)].to_numpy(float), y)
+    )
+    centre = float(y.mean()) if len(y) else 0.0
+    results = results or scratch_path(spark, "grid")
+    known = spark.createDataFrame([], RESULTS)
+    known.write.mode("append").parquet(results)
+    done = {r.model for r in spark.read.parquet(results).select("model").distinct().collect()}
+    todo = [p for p in points if p.name not in done]
+    folds = sorted(sizes)
+    step = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, len(folds))))
+    for at in range(0, len(todo), step):
+        group = todo[at : at + step]
+        found = _scored(rows, _fitted(spark, group, folds, sample, seed), columns, centre)
+        lines = []
+        for r in found.collect():  # one row per point and fold
+            spread = r.target2 - r.target**2 / r.rows
+            lines.append(
+                (
+                    group[r.point].name,
+                    r.fold,
+                    total - sizes[r.fold],
+                    sizes[r.fold],
+                    r.absolute / r.rows,
+                    float(np.sqrt(r.squared / r.rows)),
+                    1 - r.squared / spread if spread > 0 else None,
+                )
+            )
+        spark.createDataFrame(lines, RESULTS).coalesce(1).write.mode("append").parquet(results)
+    names = [p.name for p in points]
+    return spark.read.schema(RESULTS).parquet(results).where(F.col("model").isin(names))

@@ -184,7 +184,9 @@ def test_calendar_context(spark):
         "bedtime_school_minute int, bedtime_non_school_minute int, school_mode string")
     rows = {
         r.day_index: r
-        for r in calendar.daily_contexts(people, 7, eventlog.day_start_rule()).collect()
+        for r in calendar.daily_contexts(
+            people, F.lit(0), F.lit(6), eventlog.day_start_rule()
+        ).collect()
     }
     assert len(rows) == 7
     assert rows[4].bedtime_minute == 1350 and rows[4].previous_bedtime_minute == 1300  # Friday

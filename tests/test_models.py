@@ -100,27 +100,23 @@ def test_tree_queries_run_their_whole_grid(spark, sf_dir, monkeypatch, name, poi
     """The grid that is handed on, and the best pick of made-up metrics."""
     import __spark_entry__ as entry
 
-    asked = {}
+    asked = []
 
-    def validated(development, estimators):
-        asked.update(estimators)
+    def validated(development, grid):
+        asked.extend(grid)
         rows = [
-            (m, f, 8, 2, 0.1 * (i + 2) if i != 3 else 0.1, 1.0, 0.0)
-            for i, m in enumerate(estimators)
+            (p.name, f, 8, 2, 0.1 * (i + 2) if i != 3 else 0.1, 1.0, 0.0)
+            for i, p in enumerate(grid)
             for f in range(1, 6)
         ]
-        return spark.createDataFrame(
-            rows,
-            "model string, fold int, train_size long, validation_size long, "
-            "mae double, rmse double, r2 double",
-        )
+        return spark.createDataFrame(rows, modeling.RESULTS)
 
-    monkeypatch.setattr(modeling, "cross_validate_estimators", validated)
+    monkeypatch.setattr(modeling, "cross_validate_grid", validated)
     found = entry.queries()[name](spark, sf_dir).collect()
-    size = "numTrees" if name == "cv_forest" else "maxIter"
-    assert [e.getOrDefault(size) for e in asked.values()] == [300] * points
+    size = "trees" if name == "cv_forest" else "rounds"
+    assert [getattr(p, size) for p in asked] == [300] * points
     assert len(found) == 5 * points
-    assert {r.model for r in found if r.best} == {list(asked)[3]}
+    assert {r.model for r in found if r.best} == {asked[3].name}
 
 
 def test_ablation_groups_must_cover():
@@ -205,7 +201,8 @@ MODEL = scoring.LinearModel(1.0, tuple(0.01 * i for i in range(11)))
         ({"mean_daily_use_minutes": -10.0}, "range:mean_daily_use_minutes"),
         ({"mean_daily_app_openings": 0.0}, "range:mean_daily_app_openings"),
         ({"school_use_ratio": 1.5}, "range:school_use_ratio"),
-        ({"games_share": 0.5}, "share_sum"),
+        ({"games_share": 0.5}, None),
+        ({"games_share": 0.51}, "share_sum"),
     ],
 )
 def test_input_checks(spark, changes, reason):

@@ -284,9 +284,20 @@ def final_test(spark, sf_dir):
     return found.select("model", *longs("development_size", "test_size"), *rounded(*METRICS))
 
 
-def grid_results(development, estimators):
+FOREST_POINTS = modeling.forest_points(
+    FOREST_GRID["max_depth"], FOREST_GRID["min_samples_leaf"], FOREST_GRID["trees"]
+)
+BOOSTING_POINTS = modeling.boosting_points(
+    BOOSTING_GRID["max_depth"],
+    BOOSTING_GRID["learning_rate"],
+    BOOSTING_GRID["min_child_weight"],
+    BOOSTING_GRID["rounds"],
+)
+
+
+def grid_results(development, points):
     """Fold metrics of a whole grid with each point's summary and the best pick."""
-    results = modeling.cross_validate_estimators(development, estimators)
+    results = modeling.cross_validate_grid(development, points)
     summary = aggregates.summarize_folds(results)
     best = aggregates.best_model(summary).select(F.col("model").alias("best"))
     summed = with_row(summary, best).withColumn("best", F.col("model") == F.col("best"))
@@ -301,22 +312,42 @@ def grid_results(development, estimators):
 @query("cv_forest")
 def cv_forest(spark, sf_dir):
     """The whole forest grid of the protocol."""
-    g = FOREST_GRID
-    return grid_results(
-        study.development_rows(events(spark, sf_dir)),
-        modeling.forest_grid(g["max_depth"], g["min_samples_leaf"], g["trees"]),
-    )
+    return grid_results(study.development_rows(events(spark, sf_dir)), FOREST_POINTS)
 
 
 @query("cv_gbt")
 def cv_gbt(spark, sf_dir):
     """The whole boosting grid of the protocol."""
-    g = BOOSTING_GRID
-    return grid_results(
-        study.development_rows(events(spark, sf_dir)),
-        modeling.boosting_grid(
-            g["max_depth"], g["learning_rate"], g["min_child_weight"], g["rounds"]
-        ),
+    return grid_results(study.development_rows(events(spark, sf_dir)), BOOSTING_POINTS)
+
+
+@query(
+    "cv_grids",
+    with_tables(
+        f"""
+        SELECT model, fold, total - here AS train_size, here AS validation_size,
+               TRUE AS below_dummy_rmse
+        FROM (SELECT fold, count(*) AS here, sum(count(*)) OVER ()::BIGINT AS total
+              FROM dev GROUP BY fold),
+             (SELECT unnest([{", ".join(f"'{p.name}'" for p in [*FOREST_POINTS, *BOOSTING_POINTS])}])
+              AS model)
+        """,
+        *DATASET_CTES,
+    ),
+)
+def cv_grids(spark, sf_dir):
+    """Both grids; SQL knows the sizes, and that a fit beats the mean over all folds."""
+    development = study.development_rows(events(spark, sf_dir))
+    results = modeling.cross_validate_grid(development, [*FOREST_POINTS, *BOOSTING_POINTS])
+    dummy = modeling.cross_validate(development, [modeling.dummy_spec()]).agg(
+        F.avg("rmse").alias("dummy")
+    )
+    means = results.groupBy("model").agg(F.avg("rmse").alias("mean"))
+    judged = with_row(means, dummy).select(
+        "model", (F.col("mean") < F.col("dummy")).alias("below_dummy_rmse")
+    )
+    return results.join(judged, "model").select(
+        "model", *longs("fold", "train_size", "validation_size"), "below_dummy_rmse"
     )
 
 
