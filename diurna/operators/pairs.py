@@ -5,8 +5,8 @@ whose ``score`` differs most. Listing the pairs of a band is quadratic. Instead
 rows are reduced to the extreme scores of narrow cells. Cells close enough
 that any two of their rows qualify are compared by their extremes alone, and
 give a lower bound. Only cells at the edge of the band need single rows, and of
-those only rows that can still reach the bound; they are matched by a running
-extreme along ``x``.
+those only rows that can still reach the bound: of one ``x`` the extremes, which are
+matched by running extremes along ``x``, carried from slice to slice of a cell.
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from diurna.operators.scans import carried_scan
 from diurna.operators.single import with_row
 from diurna.session import written_table
 
 CELLS_PER_WIDTH = 16
+# Slices of an edge cell, each a chunk of the scan.
+SLICES = 1024
 
 
 def _pair(id_x: Column, id_y: Column, diff: Column) -> Column:
@@ -113,42 +116,36 @@ def best_contrast_pair(
         return (
             near.where(reach.isNotNull() & (F.col("bound").isNull() | (reach >= F.col("bound"))))
             .withColumn("offset", F.explode(offsets))
-            .groupBy(
-                "g", left_cell.alias("left_cell"), "offset", key.alias("key"), "score"
+            .groupBy("g", left_cell.alias("left_cell"), "offset", key.alias("key"))
+            .agg(
+                _low(F.col("score"), F.col("id")).alias("own_low"),
+                _high(F.col("score"), F.col("id")).alias("own_high"),
             )
-            .agg(F.min("id").alias("id"))
             .withColumn("is_left", F.lit(is_left))
         )
 
     # Left rows look for right rows with x <= own x + width.
     left = edge_rows("right", True, F.col("x") + F.lit(width))
     right = edge_rows("left", False, F.col("x"))
-    line = Window.partitionBy("g", "left_cell", "offset").orderBy("key").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
     right_only = ~F.col("is_left")
-    matched = (
-        left.unionByName(right)
-        .select(
-            "is_left",
-            "score",
-            "id",
-            F.min(
-                F.when(right_only, F.struct("score", "id"))
-            ).over(line).alias("low"),
-            F.min(
-                F.when(right_only, F.struct((-F.col("score")).alias("neg"), F.col("id")))
-            ).over(line).alias("high"),
-        )
-        .where(F.col("is_left") & F.col("low").isNotNull())
-    )
+    matched = carried_scan(
+        left.unionByName(right),
+        ["g", "left_cell", "offset"],
+        F.floor(F.col("key") / F.lit(step / SLICES)),
+        ["key"],
+        {
+            "low": ("min", F.when(right_only, F.col("own_low"))),
+            "high": ("min", F.when(right_only, F.col("own_high"))),
+        },
+        peers=True,
+    ).where(F.col("is_left") & F.col("low").isNotNull())
+
+    def contrast(low: str, high: str) -> Column:
+        difference = F.abs(-F.col(f"{high}.neg") - F.col(f"{low}.score"))
+        return _pair(F.col(f"{low}.id"), F.col(f"{high}.id"), difference)
+
     edge_pairs = matched.select(
-        F.explode(
-            F.array(
-                _pair(F.col("id"), F.col("low.id"), F.abs(F.col("score") - F.col("low.score"))),
-                _pair(F.col("id"), F.col("high.id"), F.abs(-F.col("high.neg") - F.col("score"))),
-            )
-        ).alias("pair")
+        F.explode(F.array(contrast("low", "own_high"), contrast("own_low", "high"))).alias("pair")
     )
     best = sure_pairs.unionByName(edge_pairs).agg(F.min("pair").alias("pair"))
     return best.where(F.col("pair").isNotNull()).select(

@@ -40,12 +40,13 @@ def carried_scan(
 ) -> DataFrame:
     """Running aggregates within ``keys`` in ``order``, all in one scan.
 
-    ``measures`` maps output names to ('sum' | 'max', value). ``chunk`` must
-    not decrease along ``order``. ``inclusive`` adds the row itself; ``peers``
-    adds all rows equal in ``order``. Empty frames give 0 for sums and NULL
-    for maxima.
+    ``measures`` maps output names to ('sum' | 'max' | 'min', value); extremes may
+    be of any ordered type, structs as well. ``chunk`` must not decrease along
+    ``order``. ``inclusive`` adds the row itself; ``peers`` adds all rows equal in
+    ``order``. Empty frames give 0 for sums and NULL for extremes.
     """
-    hows = {name: {"sum": F.sum, "max": F.max}[how] for name, (how, _) in measures.items()}
+    aggregates = {"sum": F.sum, "max": F.max, "min": F.min}
+    hows = {name: aggregates[how] for name, (how, _) in measures.items()}
     work = df.withColumns(
         {"__chunk": chunk, **{f"__v_{name}": value for name, (_, value) in measures.items()}}
     )
@@ -73,8 +74,9 @@ def carried_scan(
 
     def merged(name: str) -> Column:
         before, here = F.col(f"__c_{name}"), F.col(f"__l_{name}")
-        if measures[name][0] == "max":
-            return F.greatest(before, here)
+        if measures[name][0] != "sum":
+            # Both leave NULL out.
+            return {"max": F.greatest, "min": F.least}[measures[name][0]](before, here)
         return F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))
 
     joined = join_on_same(local, carried, [*keys, "__chunk"])

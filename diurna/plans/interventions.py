@@ -6,10 +6,13 @@ completed one: these jobs decide and record, they do not judge.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diurna.functions import arrays, clock
+from diurna.operators import joins
 from diurna.plans import recommend
 from diurna.schemas import (
     BEDTIME_COOLDOWN_MINUTES,
@@ -96,18 +99,43 @@ def bedtime_decisions(bedtime_events: DataFrame) -> DataFrame:
 # --- cooldown replay --------------------------------------------------------
 
 
-def replay_fires(
-    candidates: DataFrame, cooldown: int = BEDTIME_COOLDOWN_MINUTES
-) -> DataFrame:
-    """Which candidates fire when every firing starts a new cooldown.
+def reached(starts: DataFrame, links: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """(every node on the way from ``starts`` along ``links``, rounds it took).
 
-    ``candidates``: child_id, event_id, current_time of events that pass every
-    other rule. Sequential by nature, but not row by row: candidates are cut
-    into islands wherever a whole cooldown passes without one (an island's
-    first candidate always fires), and each round settles the next firing of
-    all islands at once with a map-side combined minimum. Rounds end when no
-    island has a candidate left; one night's window needs two at most. A round
-    reads only the candidates that earlier rounds left open.
+    ``starts`` holds keys and at, ``links`` keys, at and next; ways do not meet.
+    The links double in length each round: what is reached in 2^k steps or fewer
+    jumps 2^k further, so a way of n nodes takes about log2(n) rounds.
+    """
+    found, jumps, rounds = [starts], written_table(links, "jumps"), 0
+    node = [*keys, "at"]
+    while True:
+        rounds += 1
+        whole = found[0]
+        for part in found[1:]:
+            whole = whole.unionByName(part)
+        fresh = written_table(
+            whole.join(jumps, node).select(*keys, F.col("next").alias("at")), "reached"
+        )
+        if fresh.isEmpty():
+            return whole, rounds
+        found.append(fresh)
+        further = jumps.select(*keys, F.col("at").alias("next"), F.col("next").alias("__far"))
+        jumps = written_table(
+            jumps.join(further, [*keys, "next"]).select(*node, F.col("__far").alias("next")),
+            "jumps",
+        )
+
+
+def replay_links(
+    candidates: DataFrame, cooldown: int = BEDTIME_COOLDOWN_MINUTES
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates that may fire, sure first ones, links from each to the next to fire).
+
+    Times are microseconds, as ``at``. Of a child's candidates at one time only that
+    with the smallest event may fire. Candidates are cut into islands wherever a whole
+    cooldown passes without one: an island's first always fires, and nothing outside
+    decides what fires inside. Should a candidate fire, the next to do so is the first
+    of its island at least a cooldown later.
     """
     # Islands: minutes with candidates are at most 1,440 per child and day.
     minutes = candidates.groupBy(
@@ -121,34 +149,47 @@ def replay_fires(
         "island", F.last("__new", ignorenulls=True).over(by_time)
     ).select("child_id", "minute", "island")
     # A gap inside a minute is below any cooldown of a minute or more.
-    placed = written_table(
-        candidates.select(
-            "child_id",
-            "event_id",
-            "current_time",
-            F.date_trunc("minute", F.col("current_time")).alias("minute"),
-        )
+    micros = F.unix_micros(F.col("current_time").cast("timestamp"))
+    nodes = written_table(
+        candidates.withColumn("minute", F.date_trunc("minute", F.col("current_time")))
         .join(starts, ["child_id", "minute"])
-        .select("child_id", "island", "event_id", "current_time"),
+        .groupBy("child_id", "island", "current_time")
+        .agg(F.min("event_id").alias("event_id"))
+        .withColumn("at", micros),
         "candidates",
     )
-    earliest = F.min(F.struct("current_time", "event_id")).alias("fire")
     key = ["child_id", "island"]
-    fresh = written_table(placed.groupBy(*key).agg(earliest).select(*key, "fire.*"), "fires")
-    fires = fresh
-    while True:
-        last = fresh.select(*key, F.col("current_time").alias("__last"))
-        # Settled candidates leave, so a round reads only what is still open.
-        placed = written_table(
-            placed.join(last, key)
-            .where(elapsed_minutes(F.col("current_time"), F.col("__last")) >= cooldown)
-            .drop("__last"),
-            "candidates",
-        )
-        if placed.isEmpty():
-            return fires.select("child_id", "event_id", "current_time")
-        fresh = written_table(placed.groupBy(*key).agg(earliest).select(*key, "fire.*"), "fires")
-        fires = fires.unionByName(fresh)
+    # On the mirrored time line the next candidate is the latest one before.
+    mirrored = nodes.select(*key, "at", F.timestamp_micros(-F.col("at")).alias("mirrored"))
+    later = F.timestamp_micros(-(F.col("at") + cooldown * MICROS))
+    linked = joins.as_of(
+        mirrored.select(*key, "at", later.alias("from")),
+        mirrored.withColumnRenamed("at", "next"),
+        key,
+        "from",
+        "mirrored",
+        "found",
+        ["next"],
+    )
+    first = nodes.where(F.col("current_time") == F.col("island")).select(*key, "at")
+    return nodes, first, linked.where(F.col("next").isNotNull()).select(*key, "at", "next")
+
+
+def replay_fires(
+    candidates: DataFrame, cooldown: int = BEDTIME_COOLDOWN_MINUTES
+) -> DataFrame:
+    """Which candidates fire when every firing starts a new cooldown.
+
+    ``candidates``: child_id, event_id, current_time of events that pass every other
+    rule. Sequential by nature, but not walked: every candidate is linked to the one
+    that would fire next, and the links are followed with doubling length.
+    """
+    nodes, first, links = replay_links(candidates, cooldown)
+    key = ["child_id", "island"]
+    fires, _ = reached(first, links, key)
+    return nodes.join(fires, [*key, "at"], "left_semi").select(
+        "child_id", "event_id", "current_time"
+    )
 
 
 def bedtime_replay(

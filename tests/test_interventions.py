@@ -186,6 +186,23 @@ def test_replay_equals_a_sequential_walk(spark, cooldown, density):
     assert got == brute_replay(rows, cooldown)
 
 
+@pytest.mark.parametrize(("cooldown", "most"), [(10, 15), (60, 13), (1430, 8)])
+def test_replay_rounds_are_logarithmic(spark, cooldown, most):
+    """Sixty days with a candidate every five minutes: one island, 17,280 candidates."""
+    days = 60
+    df = spark.range(days * 288).select(
+        F.lit(1).cast("long").alias("child_id"),
+        F.col("id").alias("event_id"),
+        F.timestamp_micros(F.col("id") * 300_000_000).cast("timestamp_ntz").alias("current_time"),
+    )
+    nodes, first, links = interventions.replay_links(df, cooldown)
+    assert (nodes.count(), first.count()) == (days * 288, 1)
+    fires, rounds = interventions.reached(first, links, ["child_id", "island"])
+    fired = days * 1440 // cooldown + (days * 1440 % cooldown > 0)
+    assert fires.count() == fired
+    assert rounds <= most and 2 ** (rounds - 2) < fired
+
+
 def test_replay_without_candidates(spark):
     df = spark.createDataFrame([], "child_id long, event_id long, current_time timestamp_ntz")
     assert interventions.replay_fires(df).count() == 0
