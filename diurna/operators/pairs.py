@@ -128,8 +128,9 @@ def best_contrast_pair(
     left = edge_rows("right", True, F.col("x") + F.lit(width))
     right = edge_rows("left", False, F.col("x"))
     right_only = ~F.col("is_left")
+    # Stored: few rows are left, and the scan reads them twice.
     matched = carried_scan(
-        left.unionByName(right),
+        written_table(left.unionByName(right), "edge-rows"),
         ["g", "left_cell", "offset"],
         F.floor(F.col("key") / F.lit(step / SLICES)),
         ["key"],

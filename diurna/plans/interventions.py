@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diurna.functions import arrays, clock
-from diurna.operators import joins
 from diurna.plans import recommend
 from diurna.schemas import (
     BEDTIME_COOLDOWN_MINUTES,
@@ -159,20 +158,25 @@ def replay_links(
         "candidates",
     )
     key = ["child_id", "island"]
-    # On the mirrored time line the next candidate is the latest one before.
-    mirrored = nodes.select(*key, "at", F.timestamp_micros(-F.col("at")).alias("mirrored"))
-    later = F.timestamp_micros(-(F.col("at") + cooldown * MICROS))
-    linked = joins.as_of(
-        mirrored.select(*key, "at", later.alias("from")),
-        mirrored.withColumnRenamed("at", "next"),
-        key,
-        "from",
-        "mirrored",
-        "found",
-        ["next"],
+    # Gaps inside an island are below the cooldown, so the next candidate to fire is
+    # less than two cooldowns away: it stands in the same stretch of four, or in the
+    # first half of the next, whose candidates are shown to both.
+    key, step = ["child_id", "island"], cooldown * MICROS
+    own = F.floor(F.col("at") / (4 * step))
+    shown = F.when(F.pmod("at", F.lit(4 * step)) < 2 * step, F.array(own, own - 1))
+    stretches = nodes.select(
+        *key, "at", own.alias("own"), F.explode(F.coalesce(shown, F.array(own))).alias("stretch")
     )
+    # From the latest candidate back, those at least a cooldown later come first.
+    later = (
+        Window.partitionBy(*key, "stretch")
+        .orderBy(-F.col("at"))
+        .rangeBetween(Window.unboundedPreceding, -step)
+    )
+    linked = stretches.withColumn("next", F.last("at").over(later))
     first = nodes.where(F.col("current_time") == F.col("island")).select(*key, "at")
-    return nodes, first, linked.where(F.col("next").isNotNull()).select(*key, "at", "next")
+    usable = (F.col("stretch") == F.col("own")) & F.col("next").isNotNull()
+    return nodes, first, linked.where(usable).select(*key, "at", "next")
 
 
 def replay_fires(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -112,10 +114,24 @@ def test_fraction_subsamples(skewed):
             assert sizes[(k, f, 0.25)] == int(n * 0.25)
 
 
-@pytest.mark.parametrize("small", [100_000, 50])
+def test_bits_are_ordered_like_values(spark):
+    rng = random.Random(8)
+    values = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1.0, 2.0, 3.5, 1.7976931348623157e308]
+    values += [2.0**k for k in range(-1074, 1024, 37)] + [float("inf")]
+    values += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(300)]
+    values += [math.nextafter(2.0**k, d) for k in range(-1000, 1000, 97) for d in (0, math.inf)]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = quantiles.with_ordered_bits(df, "v", "bits").collect()
+    for r in rows:
+        bits = struct.unpack("<q", struct.pack("<d", abs(r.v)))[0]
+        assert r.bits == (-bits if r.v < 0 else bits)
+
+
+@pytest.mark.parametrize("small", [100_000, 50, 1])
 def test_exact_quantiles(spark, monkeypatch, small):
-    """Both with the whole range as bracket and with a sketched bracket."""
-    monkeypatch.setattr(quantiles, "SMALL", small)
+    """Buckets sorted after the first digit, after some, and after all of them."""
+    monkeypatch.setattr(quantiles, "SORTED_ROWS", small)
     rng = np.random.default_rng(2)
     values = np.concatenate([rng.normal(size=3000), np.full(2000, 0.5), rng.exponential(size=3000)])
     flat = np.concatenate([np.full(7999, 3.0), [9.0]])
