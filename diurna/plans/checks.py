@@ -85,12 +85,23 @@ def daily_totals(df: DataFrame) -> DataFrame:
     )
 
 
+def with_every_day(daily: DataFrame, per_day: DataFrame) -> DataFrame:
+    """Days and what sessions say of them; a day on one side only keeps NULLs.
+
+    The rules count an unknown as broken, so a day without sessions and a session
+    without its day both fail.
+    """
+    return daily.join(per_day, DAY, "full")
+
+
 def conservation(daily: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Sessions of a day add up to its totals."""
+    """Sessions of a day add up to its totals, and every day has both."""
     rebuilt = sessions.groupBy(*DAY).agg(
         F.sum("session_duration_minutes").alias("__time"), F.count(F.lit(1)).alias("__count")
     )
-    joined = daily.select(*DAY, "daily_use_minutes", "daily_session_count").join(rebuilt, DAY)
+    joined = with_every_day(
+        daily.select(*DAY, "daily_use_minutes", "daily_session_count"), rebuilt
+    )
     return suite(
         [
             run_rules(
@@ -143,7 +154,7 @@ def windows(df: DataFrame) -> DataFrame:
 def scheduled_sessions(daily: DataFrame, sessions: DataFrame) -> DataFrame:
     start, end = F.col("session_start_minute"), F.col("session_end_minute")
     rebuilt = sessions.groupBy(*DAY).agg(F.sum("session_duration_minutes").alias("__time"))
-    joined = daily.select(*DAY, "daily_use_minutes").join(rebuilt, DAY)
+    joined = with_every_day(daily.select(*DAY, "daily_use_minutes"), rebuilt)
     return suite(
         [
             run_rules(
@@ -167,7 +178,7 @@ def overlaps(daily: DataFrame, sessions: DataFrame) -> DataFrame:
         F.sum("school_use_minutes").alias("school_use_minutes"),
         F.sum("post_bedtime_use_minutes").alias("post_bedtime_use_minutes"),
     )
-    joined = daily.select(*DAY, "has_school_today", "daily_use_minutes").join(per_day, DAY)
+    joined = with_every_day(daily.select(*DAY, "has_school_today", "daily_use_minutes"), per_day)
     use = F.col("daily_use_minutes")
     return suite(
         [

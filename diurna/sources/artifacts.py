@@ -119,6 +119,26 @@ def load_linear(spark: SparkSession, path: str) -> LinearModel:
     )
 
 
+def _largest_gap(pairs: DataFrame) -> float:
+    """Largest |saved - own|; ValueError above 1e-12 (relative + absolute), or NULL or NaN."""
+    gap = F.abs(F.col("saved") - F.col("own"))
+    fine = gap <= F.lit(1e-12) + F.lit(1e-12) * F.abs("own")
+    found = (
+        pairs.select(gap.alias("gap"), (F.coalesce(fine, F.lit(False)) & ~F.isnan(gap)).alias("fine"))
+        .agg(F.max("gap").alias("gap"), F.count_if(~F.col("fine")).alias("off"))
+        .first()
+    )
+    if found["off"]:
+        raise ValueError(f"reloaded model differs by {found['gap']}")
+    return found["gap"] or 0.0
+
+
+def _complete_contract(spark: SparkSession, path: str) -> None:
+    contract = load_contract(spark, path, COMPLETE)
+    if contract["features"] != list(FEATURES):
+        raise ValueError("saved feature list differs from the whitelist")
+
+
 def verify_saved(
     spark: SparkSession, model: LinearModel, path: str, reference: DataFrame, rows: int = 20
 ) -> float:
@@ -126,18 +146,28 @@ def verify_saved(
 
     Returns the largest difference; ValueError above 1e-12 (relative + absolute).
     """
-    contract = load_contract(spark, path, COMPLETE)
-    if contract["features"] != list(FEATURES):
-        raise ValueError("saved feature list differs from the whitelist")
+    _complete_contract(spark, path)
     loaded = load_linear(spark, path)
-    gap = F.abs(loaded.prediction() - model.prediction())
-    allowed = F.lit(1e-12) + F.lit(1e-12) * F.abs(model.prediction())
-    found = (
-        reference.limit(rows)
-        .select(gap.alias("gap"), (gap > allowed).alias("off"))
-        .agg(F.max("gap").alias("gap"), F.count_if("off").alias("off"))
-        .first()
+    return _largest_gap(
+        reference.limit(rows).select(
+            loaded.prediction().alias("saved"), model.prediction().alias("own")
+        )
     )
-    if found["off"]:
-        raise ValueError(f"reloaded model differs by {found['gap']}")
-    return found["gap"] or 0.0
+
+
+def verify_saved_estimator(
+    spark: SparkSession, model: Model, path: str, reference: DataFrame, rows: int = 20
+) -> float:
+    """The same for any fitted pyspark.ml model; ``reference`` has its input columns."""
+    _complete_contract(spark, path)
+    _, loaded = load_estimator(spark, path)
+    if type(loaded) is not type(model):
+        raise ValueError(f"saved model is a {type(loaded).__name__}")
+    own, saved = (
+        m.stages[-1] if isinstance(m, PipelineModel) else m for m in (model, loaded)
+    )
+    named = [own.getPredictionCol(), saved.getPredictionCol()]
+    ours = model.transform(reference.limit(rows)).withColumnRenamed(named[0], "own")
+    # A pipeline adds its inner columns again.
+    ours = ours.select(*reference.columns, "own")
+    return _largest_gap(loaded.transform(ours).withColumnRenamed(named[1], "saved"))

@@ -113,6 +113,7 @@ def estimator_artifact(spark, sf_dir):
     fitted = LinearRegression(featuresCol="x", labelCol="y", solver="normal").fit(rows)
     path = scratch_path(spark, "estimator-artifact")
     artifacts.save_estimator(spark, fitted, path, "LinearRegressionModel")
+    artifacts.verify_saved_estimator(spark, fitted, path, rows)
     _, loaded = artifacts.load_estimator(spark, path)
     ours = fitted.transform(rows).withColumnRenamed("prediction", "ours").select(*IDS, "x", "ours")
     gap = F.round(F.abs(F.col("prediction") - F.col("ours")), 12).alias("gap")
