@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from diurna.operators.scans import first_by_hash, hashed_rank, join_on_same
+from diurna.functions import hashing
+from diurna.operators.scans import carried_scan, first_by_hash, hashed_rank, join_on_same
 from diurna.session import written_table
 
 
@@ -59,13 +60,18 @@ def stratified_folds(
     Ranks continue from stratum to stratum (offset = rows of earlier strata),
     which is what balances the fold totals.
     """
-    earlier = Window.orderBy(*strata).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per stratum: the only window here without a partition key. Stored,
-    # so that the planner knows its size when it joins the rows by stratum.
+    # Strata in order, cut into ranges: a prefix sum over the ranges' totals gives each
+    # range its start. Stored first, as range bounds are drawn anew on every run.
+    ordered = written_table(
+        stratum_sizes(df, strata)
+        .repartitionByRange(*strata)
+        .select(*strata, "stratum_size", F.spark_partition_id().alias("__range")),
+        "strata",
+    )
     offsets = written_table(
-        stratum_sizes(df, strata).select(
-            *strata, F.coalesce(F.sum("stratum_size").over(earlier), F.lit(0)).alias("__offset")
-        ),
+        carried_scan(
+            ordered, [], F.col("__range"), strata, {"__offset": ("sum", F.col("stratum_size"))}
+        ).select(*strata, "__offset"),
         "offsets",
     )
     ranked = hashed_rank(df, strata, ids, seed, "__rank")
@@ -76,6 +82,163 @@ def stratified_folds(
     )
 
 
+def draws_of(fractions: Sequence[float], k: int) -> list[tuple[int, float]]:
+    """(validation fold, fraction) of every training subset, by the bit it has."""
+    draws = [(fold, float(f)) for fold in range(1, k + 1) for f in fractions]
+    if len(draws) > 63:
+        raise ValueError(f"{len(draws)} subsets do not fit the bits of a long")
+    return draws
+
+
+def _draw_keys(
+    draws: Sequence[tuple[int, float]], ids: Sequence[str], seed: int
+) -> dict[int, Column]:
+    """Shuffle key per bit; the full fraction needs none."""
+    return {
+        bit: hashing.hash_key(seed, F.lit(fold), F.lit(round(part * 100)), *[F.col(c) for c in ids])
+        for bit, (fold, part) in enumerate(draws)
+        if part < 1.0
+    }
+
+
+def _edge(share: str) -> str:
+    """SQL: a share of all shuffle keys as the first 15 hex digits of a key."""
+    digits = f"lower(hex(CAST(floor(greatest({share}, 0D) * {1 << 60}L) AS BIGINT)))"
+    return f"CASE WHEN {share} >= 1 THEN 'g' ELSE lpad({digits}, 15, '0') END"
+
+
+# How far around the expected cut keys are looked at, in standard deviations; a
+# stratum whose cut is not there (ids that repeat) is looked at again, at last whole.
+CUT_WIDTHS = (8.0, 64.0, float("inf"))
+
+
+def subset_cuts(
+    folded: DataFrame,
+    strata: Sequence[str],
+    ids: Sequence[str],
+    fractions: Sequence[float],
+    k: int,
+    seed: int,
+) -> DataFrame:
+    """Stored table: strata, ``cuts`` (bit -> largest shuffle key that is drawn).
+
+    A key is uniform, so the cut of n keys lies within a few standard deviations
+    of the fraction. One wide aggregate counts the keys below that stretch for all
+    subsets at once, and only the keys inside it, about sqrt(n), are listed and
+    ranked. No row is copied per subset.
+    """
+    draws = draws_of(fractions, k)
+    keys = _draw_keys(draws, ids, seed)
+    fold = F.col("fold")
+    sizes = stratum_sizes(folded, [*strata, "fold"])
+    outside = [F.sum(F.when(fold != v, F.col("stratum_size"))) for v in range(1, k + 1)]
+    waiting = written_table(
+        sizes.groupBy(*strata).agg(
+            F.array(*[F.coalesce(n, F.lit(0).cast("long")) for n in outside]).alias("__n")
+        ),
+        "subset-sizes",
+    )
+    found: DataFrame | None = None
+    for width in CUT_WIDTHS:
+        quota, low, high = [], [], []
+        for v, part in draws:
+            n = f"__n[{v - 1}]"
+            share = f"coalesce(try_divide(floor({n} * {part}D), {n}), 0D)"
+            spread = f"double('{width}') * sqrt({share} * (1 - {share}) * {n} + 1)"
+            slack = f"coalesce(try_divide({spread}, {n}), 0D)"
+            quota.append(f"floor({n} * {part}D)")
+            low.append(_edge(f"({share} - {slack})"))
+            high.append(_edge(f"({share} + {slack})"))
+        edges = written_table(
+            waiting.select(
+                *strata,
+                F.expr(f"array({', '.join(quota)})").alias("__quota"),
+                F.expr(f"array({', '.join(low)})").alias("__low"),
+                F.expr(f"array({', '.join(high)})").alias("__high"),
+            ),
+            "subset-edges",
+        )
+        keyed = folded.select(
+            *strata, "fold", *[key.alias(f"__k{bit}") for bit, key in keys.items()]
+        )
+        rows = join_on_same(keyed, edges, strata)
+        counts, near = [], []
+        for bit, (v, _) in enumerate(draws):
+            if bit not in keys:
+                counts.append("0L")
+                continue
+            counts.append(f"count_if(fold <> {v} AND __k{bit} < __low[{bit}])")
+            close = f"fold <> {v} AND __k{bit} >= __low[{bit}] AND __k{bit} < __high[{bit}]"
+            near.append(f"CASE WHEN {close} THEN struct({bit} AS bit, __k{bit} AS key) END")
+        below = rows.groupBy(*strata).agg(
+            F.first("__quota").alias("__quota"),
+            F.expr(f"array({', '.join(counts)})").alias("__below"),
+        )
+        # The outer form: the planner would compute the array twice to filter on its size.
+        inside = (
+            rows.select(*strata, F.expr(f"explode_outer(array_compact(array({', '.join(near)})))").alias("e"))
+            .where("e IS NOT NULL")
+            .groupBy(*strata, F.col("e.bit").alias("bit"), F.col("e.key").alias("key"))
+            .agg(F.count(F.lit(1)).alias("rows"))
+        )
+        upto = F.sum("rows").over(Window.partitionBy(*strata, "bit").orderBy("key"))
+        ranked = join_on_same(inside.withColumn("upto", upto), written_table(below, "below"), strata)
+        reached = F.col("upto") + F.col("__below")[F.col("bit")]
+        goal = F.col("__quota")[F.col("bit")]
+        cuts = (
+            ranked.where((reached >= goal) & (reached - F.col("rows") < goal))
+            .groupBy(*strata)
+            .agg(F.map_from_entries(F.collect_list(F.struct("bit", "key"))).alias("cuts"))
+        )
+        none = F.create_map().cast("map<int,string>")
+        wanted = " + ".join(f"CAST(__quota[{bit}] > 0 AS INT)" for bit in keys)
+        judged = written_table(
+            join_on_same(edges.select(*strata, "__quota"), cuts, strata, "left").select(
+                *strata,
+                F.coalesce("cuts", none).alias("cuts"),
+                F.expr(wanted).alias("__wanted"),
+            ),
+            "subset-cuts",
+        )
+        whole = F.size("cuts") == F.col("__wanted")
+        settled = judged.where(whole).select(*strata, "cuts")
+        found = settled if found is None else found.unionByName(settled)
+        missed = judged.where(~whole).select(*strata)
+        if missed.isEmpty():
+            break
+        waiting = join_on_same(waiting, missed, strata, "left_semi")
+    return found
+
+
+def with_subsets(
+    folded: DataFrame,
+    strata: Sequence[str],
+    ids: Sequence[str],
+    fractions: Sequence[float],
+    k: int,
+    seed: int,
+    out: str = "subsets",
+) -> DataFrame:
+    """Add ``out``: a bit for every training subset (see ``draws_of``) a row is in.
+
+    Each stratum of a fold's training part gives floor(n * fraction) rows, drawn
+    independently per fold and fraction. Rows that repeat an id are drawn together.
+    Reads ``folded`` a few times: pass a stored table.
+    """
+    draws = draws_of(fractions, k)
+    keys = _draw_keys(draws, ids, seed)
+    placed = folded
+    if keys:
+        cuts = subset_cuts(folded, strata, ids, fractions, k, seed)
+        placed = join_on_same(folded, cuts.withColumnRenamed("cuts", "__cuts"), strata)
+        placed = placed.withColumns({f"__k{bit}": key for bit, key in keys.items()})
+    bits = ["0L"]
+    for bit, (v, _) in enumerate(draws):
+        within = f" AND __k{bit} <= try_element_at(__cuts, {bit})" if bit in keys else ""
+        bits.append(f"CASE WHEN fold <> {v}{within} THEN {1 << bit}L ELSE 0L END")
+    return placed.select(*folded.columns, F.expr(" + ".join(bits)).alias(out))
+
+
 def fraction_subsamples(
     folded: DataFrame,
     strata: Sequence[str],
@@ -85,40 +248,21 @@ def fraction_subsamples(
     seed: int,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Training subsets: one row per (validation fold, fraction, chosen row).
+    """Training subsets as rows: one per (validation fold, fraction, chosen row).
 
-    Each stratum of a fold's training part gives floor(n * fraction) rows,
-    drawn independently per fold and fraction. Columns: strata, ids,
-    ``validation_fold``, ``train_fraction`` and the columns in ``carry``, which
-    saves a caller who needs the rows' values a join back. The full fraction
-    needs no draw.
+    Columns: strata, ids, ``validation_fold``, ``train_fraction`` and the columns in
+    ``carry``. The draws are those of ``with_subsets``; a consumer that only adds up
+    rows should read its bits instead.
     """
     kept = list(dict.fromkeys([*strata, *ids, *carry]))
-    copies = folded.select(
-        *dict.fromkeys([*kept, "fold"]),
-        F.explode(F.sequence(F.lit(1), F.lit(k))).alias("validation_fold"),
-    ).where("fold <> validation_fold")
-    whole = [f for f in fractions if f >= 1.0]
-    drawn = [f for f in fractions if f < 1.0]
-    keep = [*kept, "validation_fold", "train_fraction"]
-    parts = []
-    if drawn:
-        tagged = copies.withColumn(
-            "train_fraction", F.explode(F.array(*[F.lit(float(f)) for f in drawn]))
-        )
-        percent = F.round(F.col("train_fraction") * 100).cast("int")
-        chosen = first_by_hash(
-            tagged,
-            ["validation_fold", *strata, "train_fraction"],
-            ids,
-            seed,
-            F.floor(F.col("stratum_size") * F.col("train_fraction")),
-            "__chosen",
-            salt=[F.col("validation_fold"), percent],
-        )
-        parts.append(chosen.where("__chosen").select(*keep))
-    parts += [copies.withColumn("train_fraction", F.lit(float(f))).select(*keep) for f in whole]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    marked = with_subsets(folded, strata, ids, fractions, k, seed, "__subsets")
+    chosen = ", ".join(
+        f"CASE WHEN __subsets & {1 << bit}L <> 0 "
+        f"THEN struct({v} AS validation_fold, {part}D AS train_fraction) END"
+        for bit, (v, part) in enumerate(draws_of(fractions, k))
+    )
+    return (
+        marked.select(*kept, F.expr(f"explode_outer(array_compact(array({chosen})))").alias("__s"))
+        .where("__s IS NOT NULL")
+        .select(*kept, "__s.validation_fold", "__s.train_fraction")
+    )

@@ -147,6 +147,27 @@ def proportional_allocation(
     )
 
 
+# A slice of a stratum's shuffled order holds about this many rows at most.
+SLICE_ROWS = 65_536
+
+
+def _sliced(df: DataFrame, strata: Sequence[str], key: Column) -> DataFrame:
+    """Add ``__key``, its leading digits ``__slice`` and ``stratum_size``.
+
+    The number of digits follows from the stratum's counted size: small strata are
+    one slice each, a stratum with a third of all rows is cut into as many as it
+    needs. Equal lengths within a stratum, so the texts are ordered like the keys.
+    """
+    sizes = written_table(
+        df.groupBy(*strata).agg(F.count(F.lit(1)).alias("stratum_size")), "stratum-sizes"
+    )
+    # 1e-9: exact powers of 16 must not be rounded up.
+    depth = F.ceil(F.log(16.0, F.col("stratum_size") / F.lit(float(SLICE_ROWS))) - F.lit(1e-9))
+    digits = F.greatest(depth, F.lit(0).cast("long")).cast("int")
+    placed = join_on_same(df.withColumn("__key", key), sizes, strata)
+    return placed.withColumn("__slice", F.substring(F.col("__key"), F.lit(1), digits))
+
+
 def hashed_rank(
     df: DataFrame,
     strata: Sequence[str],
@@ -154,20 +175,15 @@ def hashed_rank(
     seed: int | str,
     out: str = "stratum_rank",
     salt: Sequence[Column] = (),
-    prefix_digits: int = 3,
 ) -> DataFrame:
     """Exact 1-based shuffle rank of every row within its stratum.
 
-    Rows are ordered by md5(seed:salt:ids). The leading hex digits of the hash
-    are the chunks: 16**prefix_digits evenly filled slices per stratum, so even
-    a stratum with a third of all rows is ranked by many tasks.
+    Rows are ordered by md5(seed:salt:ids). The leading hex digits of the hash are
+    the chunks, as many as the stratum's size asks for. Reads ``df`` twice.
     """
-    keyed = df.withColumn(
-        "__key", hashing.hash_key(seed, *salt, *[F.col(c) for c in ids])
-    )
-    return running_index(
-        keyed, strata, hashing.hex_prefix(F.col("__key"), prefix_digits), ["__key", *ids], out
-    ).drop("__key")
+    keyed = _sliced(df, strata, hashing.hash_key(seed, *salt, *[F.col(c) for c in ids]))
+    ranked = running_index(keyed, strata, F.col("__slice"), ["__key", *ids], out)
+    return ranked.drop("__key", "__slice", "stratum_size")
 
 
 def first_by_hash(
@@ -178,28 +194,23 @@ def first_by_hash(
     quota: Column,
     out: str,
     salt: Sequence[Column] = (),
-    prefix_digits: int = 3,
 ) -> DataFrame:
     """Add ``out``: is the row among the first ``quota`` of its shuffled stratum?
 
     ``quota`` is an expression over ``stratum_size``. Selecting needs no full
-    ranking: a histogram of hash prefixes (combined map-side) tells in which
-    slice the quota is reached. Rows of the other slices are decided where
-    they are; only that one slice of a stratum is ranked. The cuts (one row
-    per stratum) are stored, so the planner knows their size when it joins.
+    ranking: a histogram of slices (combined map-side) tells in which one the quota
+    is reached. Rows of the other slices are decided where they are; only that one
+    slice of a stratum is ranked. The cuts (one row per stratum) are stored, so the
+    planner knows their size when it joins.
     """
-    keyed = df.withColumn("__key", hashing.hash_key(seed, *salt, *[F.col(c) for c in ids]))
-    keyed = keyed.withColumn("__slice", hashing.hex_prefix(F.col("__key"), prefix_digits))
-    slices = keyed.groupBy(*strata, "__slice").agg(F.count(F.lit(1)).alias("__rows"))
+    keyed = _sliced(df, strata, hashing.hash_key(seed, *salt, *[F.col(c) for c in ids]))
+    slices = keyed.groupBy(*strata, "stratum_size", "__slice").agg(
+        F.count(F.lit(1)).alias("__rows")
+    )
     stratum = Window.partitionBy(*strata)
     upto = stratum.orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cuts = written_table(
-        slices.withColumns(
-            {
-                "stratum_size": F.sum("__rows").over(stratum),
-                "__upto": F.sum("__rows").over(upto),
-            }
-        )
+        slices.withColumn("__upto", F.sum("__rows").over(upto))
         .withColumn("__quota", F.least(quota, F.col("stratum_size")))
         .where(
             (F.col("__upto") >= F.col("__quota"))
@@ -212,7 +223,7 @@ def first_by_hash(
         ),
         "cuts",
     )
-    placed = join_on_same(keyed, cuts, strata, "left")
+    placed = join_on_same(keyed.drop("stratum_size"), cuts, strata, "left")
     at_cut = F.coalesce(F.col("__slice") == F.col("__cut"), F.lit(False))
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy("__key", *ids))
     decided = placed.where(~at_cut).withColumn(

@@ -124,6 +124,63 @@ def gram(df: DataFrame, columns: Sequence[str], target: str, by: Sequence[str])
     )
 
 
+def subset_grams(
+    df: DataFrame, columns: Sequence[str], target: str, subsets: str, draws: Sequence[tuple[int, float]]
+) -> DataFrame:
+    """``gram`` of every training subset in one pass, without copies of rows.
+
+    ``subsets`` holds a bit for each subset a row is in (``sampling.with_subsets``). A
+    task adds up one small matrix per subset over its rows and hands those on.
+    """
+    variables = [*columns, target]
+    size = len(variables)
+    means = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(variables)])
+    centred = with_row(df, means).select(
+        F.col(subsets).alias("mask"),
+        *[f"m_{i}" for i in range(size)],
+        *[(F.col(c) - F.col(f"m_{i}")).cast("double").alias(f"v_{i}") for i, c in enumerate(variables)],
+    )
+    upper = [(i, j) for _, i, j in _names(range(size))]
+    names = ["n", *[f"s_{i}" for i in range(size)], *[n for n, _, _ in _names(range(size))]]
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(draws), size + 1, size + 1))
+        middle = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            if middle is None:
+                middle = batch[[f"m_{i}" for i in range(size)]].iloc[0].to_numpy(float)
+            mask = batch["mask"].to_numpy(np.int64)
+            # A missing value adds nothing to the sums it would be in.
+            values = np.nan_to_num(batch[[f"v_{i}" for i in range(size)]].to_numpy(float))
+            rows = np.hstack([np.ones((len(batch), 1)), values])
+            for bit in range(len(draws)):
+                mine = rows[(mask >> bit) & 1 == 1]
+                sums[bit] += mine.T @ mine
+        if middle is None:
+            return
+        table = [
+            [fold, part, *middle, s[0, 0], *s[0, 1:], *[s[i + 1, j + 1] for i, j in upper]]
+            for (fold, part), s in zip(draws, sums, strict=True)
+            if s[0, 0] > 0
+        ]
+        head = ["validation_fold", "train_fraction", *[f"m_{i}" for i in range(size)]]
+        yield pd.DataFrame(table, columns=[*head, *names])
+
+    schema = "validation_fold int, train_fraction double, " + ", ".join(
+        f"{c} double" for c in [*[f"m_{i}" for i in range(size)], *names]
+    )
+    return (
+        centred.mapInPandas(add_up, schema)
+        .groupBy("validation_fold", "train_fraction")
+        .agg(
+            *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(size)],
+            *[F.sum(c).alias(c) for c in names],
+        )
+    )
+
+
 def _additive(columns: Sequence[str]) -> list[str]:
     size = len(columns) + 1
     return ["n", *[f"s_{i}" for i in range(size)], *[n for n, _, _ in _names(range(size))]]
@@ -291,10 +348,9 @@ def learning_curve(
     seed: int = CV_SEED,
 ) -> DataFrame:
     """Least squares on growing stratified parts of each fold's training rows."""
-    rows = sampling.fraction_subsamples(
-        folded, strata, ids, fractions, k, seed, carry=[*columns, target]
-    )
-    statistics = gram(rows, columns, target, ["validation_fold", "train_fraction"])
+    marked = sampling.with_subsets(folded, strata, ids, fractions, k, seed, "__subsets")
+    draws = sampling.draws_of(fractions, k)
+    statistics = subset_grams(marked, columns, target, "__subsets", draws)
     models = fit(
         statistics,
         columns,

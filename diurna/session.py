@@ -54,6 +54,8 @@ def build_session(master: str | None = None, app_name: str = "diurna", **conf: s
         builder = builder.master(master)
     settings = {
         "spark.sql.ansi.enabled": "true",
+        # The call site of every column expression costs more than building it.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **RUNTIME_SETTINGS,
         **conf,
     }

@@ -114,6 +114,78 @@ def test_fraction_subsamples(skewed):
             assert sizes[(k, f, 0.25)] == int(n * 0.25)
 
 
+def brute_subsets(rows, fractions, k, seed):
+    """{(fold, fraction): ids} of rows (id, stratum, fold)."""
+    drawn = {}
+    for v in range(1, k + 1):
+        for part in fractions:
+            chosen = set()
+            for stratum in {s for _, s, _ in rows}:
+                mine = [i for i, s, f in rows if s == stratum and f != v]
+                mine.sort(
+                    key=lambda i: hashlib.md5(f"{seed}:{v}:{round(part * 100)}:{i}".encode()).hexdigest()
+                )
+                chosen |= set(mine[: int(len(mine) * part)])
+            drawn[v, part] = chosen
+    return drawn
+
+
+@pytest.mark.parametrize("widths", [(8.0, 64.0, float("inf")), (0.0, 0.01, float("inf"))])
+def test_subsets_equal_brute_force(spark, monkeypatch, widths):
+    """Also where the first guesses miss the cut."""
+    monkeypatch.setattr(sampling, "CUT_WIDTHS", widths)
+    rng = random.Random(4)
+    strata = [None] * 3 + [7] * 900 + [i % 40 for i in range(300)] + [99]
+    rows = [(i, s, rng.randint(1, 3)) for i, s in enumerate(strata)]
+    folded = spark.createDataFrame(rows, "id long, s long, fold int")
+    parts = [0.1, 0.5, 1.0]
+    marked = sampling.with_subsets(folded, ["s"], ["id"], parts, 3, 11).collect()
+    want = brute_subsets(rows, parts, 3, 11)
+    assert len(marked) == len(rows)
+    for bit, draw in enumerate(sampling.draws_of(parts, 3)):
+        assert {r.id for r in marked if r.subsets >> bit & 1} == want[draw]
+    listed = sampling.fraction_subsamples(folded, ["s"], ["id"], parts, 3, 11).collect()
+    got = Counter((r.validation_fold, r.train_fraction) for r in listed)
+    assert got == {d: len(ids) for d, ids in want.items() if ids}
+
+
+def test_subsets_with_repeated_ids_and_without_rows(spark):
+    """Rows of one id stay together; an empty table gives an empty table."""
+    rows = [(1, 0, 1)] * 50 + [(i, 0, 2) for i in range(100, 110)]
+    folded = spark.createDataFrame(rows, "id long, s long, fold int")
+    marked = sampling.with_subsets(folded, ["s"], ["id"], [0.5], 2, 1).collect()
+    assert len(marked) == 60
+    assert len({r.subsets for r in marked if r.id == 1}) == 1
+    none = sampling.with_subsets(folded.limit(0), ["s"], ["id"], [0.5, 1.0], 2, 1)
+    assert none.count() == 0
+    with pytest.raises(ValueError, match="do not fit"):
+        sampling.draws_of([0.5] * 16, 4)
+
+
+def test_one_huge_stratum_among_many_small_ones(spark, monkeypatch):
+    """Slices follow the stratum's size; ranks and folds stay exact."""
+    monkeypatch.setattr(scans, "SLICE_ROWS", 64)
+    big, small = 20_000, 100_000
+    df = spark.range(big + small).select(
+        "id", F.when(F.col("id") < big, -1).otherwise(F.col("id")).alias("s")
+    )
+    folded = sampling.stratified_folds(df, ["s"], ["id"], 5, 3)
+    sizes = folded.groupBy("fold").count().collect()
+    assert [r["count"] for r in sizes] == [(big + small) // 5] * 5
+    of_big = folded.where("s = -1").groupBy("fold").count().collect()
+    assert [r["count"] for r in of_big] == [big // 5] * 5
+    # The small strata follow each other: consecutive strata, consecutive folds.
+    small_folds = {r.s: r.fold for r in folded.where("s > 0").collect()}
+    assert all(small_folds[s] == (s % 5) + 1 for s in range(big, big + 500))
+    sliced = scans._sliced(df, ["s"], F.md5(F.col("id").cast("string")))
+    per = sliced.groupBy("s", "__slice").count().groupBy("s").agg(
+        F.count(F.lit(1)).alias("slices"), F.max("count").alias("most")
+    )
+    assert per.where("s <> -1 AND slices <> 1").count() == 0
+    hot = per.where("s = -1").first()
+    assert hot.slices > 64 and hot.most <= 3 * 64
+
+
 def test_bits_are_ordered_like_values(spark):
     rng = random.Random(8)
     values = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1.0, 2.0, 3.5, 1.7976931348623157e308]

@@ -15,6 +15,7 @@ from diurna.schemas import (
     TRAIN_FRACTIONS,
     USE_TIME_PREDICTOR,
 )
+from diurna.session import written_table
 from diurna.sources.tables import table
 from workload.behaviour_sql import with_tables
 from workload.registry import events, longs, query, rounded
@@ -275,8 +276,9 @@ def stratified_kfold(spark, sf_dir):
     """,
 )
 def fraction_subsample(spark, sf_dir):
+    folded = written_table(order_folds(spark, sf_dir), "folded")
     chosen = sampling.fraction_subsamples(
-        order_folds(spark, sf_dir), ["o_orderpriority"], ["o_orderkey"], TRAIN_FRACTIONS, 5, 42
+        folded, ["o_orderpriority"], ["o_orderkey"], TRAIN_FRACTIONS, 5, 42
     )
     return chosen.select(
         *longs("o_orderkey", "validation_fold"), "o_orderpriority", "train_fraction"
