@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,8 +25,8 @@ def finish(query: StreamingQuery) -> None:
         raise error
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Process all available input and return the result as a table.
+def drained(stream: DataFrame, label: str, mode: str = "append") -> tuple[DataFrame, list[dict]]:
+    """Process all available input; the result as a table, and the progress reports.
 
     Append goes to a parquet sink. Complete results are written by
     foreachBatch, the last one counts.
@@ -37,9 +39,24 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
         .trigger(availableNow=True)
     )
     if mode == "append":
-        finish(writer.format("parquet").option("path", path).start())
+        query = writer.format("parquet").option("path", path).start()
     else:
-        finish(
-            writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
-        )
-    return spark.read.schema(stream.schema).parquet(path)
+        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+    finish(query)
+    reports = [json.loads(p.json) for p in query.recentProgress]
+    return spark.read.schema(stream.schema).parquet(path), reports
+
+
+def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    """Process all available input and return the result as a table."""
+    return drained(stream, label, mode)[0]
+
+
+def late_rows(reports: list[dict]) -> int:
+    """Rows that came after their window was closed and were left out."""
+    return sum(op["numRowsDroppedByWatermark"] for r in reports for op in r["stateOperators"])
+
+
+def state_rows(reports: list[dict]) -> list[int]:
+    """Rows kept in state after each batch."""
+    return [sum(op["numRowsTotal"] for op in r["stateOperators"]) for r in reports]

@@ -30,13 +30,18 @@ def with_event_time(events: DataFrame) -> DataFrame:
 def weekly_totals(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Openings, minutes and category shares per child and 7-day window.
 
-    Works on a stream (rows later than the watermark are dropped) and on a
-    table. Sums only: a median cannot be kept up to date incrementally.
+    Works on a stream and on a table, over the events that are episodes. In append
+    mode a week comes out, and leaves the state, once the watermark has passed its
+    end; rows that come later are left out and counted (``runs.late_rows``). Sums
+    only: a median cannot be kept up to date incrementally.
     """
     start = (F.hour("ts") * 60 + F.minute("ts")).cast("double")
     minutes = F.least(start + F.col("value"), F.lit(1440.0)) - start
     category = eventlog.event_category(F.col("event_type"))
-    source = events.withWatermark("event_time", lateness) if events.isStreaming else events
+    length = numeric.nan_to_null(F.col("value"))
+    source = events.where("user_id IS NOT NULL AND ts IS NOT NULL").where(length > 0)
+    if events.isStreaming:
+        source = source.withWatermark("event_time", lateness)
     window = F.window("event_time", "7 days", startTime=MONDAY_OFFSET)
     measures = [F.count(F.lit(1)).alias("openings"), F.sum(minutes).alias("minutes")]
     measures += [

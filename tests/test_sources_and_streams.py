@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,12 +9,14 @@ from pyspark.sql import functions as F
 
 from diurna import session
 from diurna.operators import quality
+from diurna.operators.sessions import sessionize
 from diurna.plans import checks, eventlog, weekly
 from diurna.schemas import POPULATION
 from diurna.sources import files
 from diurna.sources.tables import table
 from diurna.streaming import runs, triggers
 from diurna.streaming import weekly as live
+from diurna.streaming.sessions import live_sessions
 
 # Ten profiles (age, mode, school start/end/shift, bedtimes, delay).
 PILOT = [
@@ -151,6 +155,62 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
     assert sorted(map(tuple, closed)) == sorted(map(tuple, batch.collect()))
 
 
+def streamed(spark, tmp_path, batches, schema, name):
+    """A folder of one file per batch, read one file a trigger in this order."""
+    folder = tmp_path / name
+    folder.mkdir()
+    for i, rows in enumerate(batches):
+        part = tmp_path / f"{name}-{i}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(part))
+        next(part.glob("*.parquet")).rename(folder / f"part-{i}.parquet")
+        os.utime(folder / f"part-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return str(folder)
+
+
+def test_weeks_leave_the_state_and_late_rows_are_counted(spark, tmp_path):
+    monday = datetime(2024, 1, 1)
+
+    def week(n, users):
+        return [(100 * n + u, monday + timedelta(days=7 * n, hours=u), u, "click", 4.0, "") for u in range(users)]
+
+    late = [(900, monday, 1, "click", 1.0, ""), (901, monday, None, "click", 1.0, "")]
+    batches = [week(0, 20), week(2, 3), week(2, 1), late]
+    folder = tmp_path / "weeks"
+    folder.mkdir()
+    inner = streamed(spark, folder, batches, EVENT, "events.parquet")
+    stream = live.weekly_totals(live.read_events(spark, os.path.dirname(inner), 1))
+    closed, reports = runs.drained(stream, "weeks")
+    assert closed.count() == 20 and {str(r.week_start)[:10] for r in closed.collect()} == {"2024-01-01"}
+    kept = runs.state_rows(reports)
+    assert max(kept) >= 20 and kept[-1] == 3
+    assert runs.late_rows(reports) == 1
+
+
+def test_live_sessions_equal_the_daily_table(spark, tmp_path):
+    """Out of order within the lateness; sessions end at midnight as in the table."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        at = datetime(2024, 1, 1) + timedelta(minutes=rng.randint(0, 4 * 1440 - 1), seconds=rng.randint(0, 59))
+        rows.append((i, at, rng.randint(1, 3), "click", rng.choice([0.5, 7.25, 45.0]), ""))
+    rows += [(700, datetime(2024, 1, 2, 23, 50), 9, "view", 30.0, ""), (701, datetime(2024, 1, 3, 0, 5), 9, "view", 1.0, "")]
+    rows.sort(key=lambda r: r[1])
+    flush = [(800, datetime(2024, 1, 20), 5, "click", 1.0, ""), (801, datetime(2024, 1, 20, 1), 5, "click", 1.0, "")]
+    batches = [rows[0:250:2], rows[1:250:2], rows[250:], [flush[0]], [flush[1]]]
+    folder = tmp_path / "log"
+    folder.mkdir()
+    inner = streamed(spark, folder, batches, EVENT, "events.parquet")
+    log = eventlog.episodes(live.read_events(spark, os.path.dirname(inner), 1))
+    got, reports = runs.drained(live_sessions(log, lateness="3 days"), "sessions")
+    table_ = sessionize(eventlog.episodes(spark.createDataFrame(rows, EVENT)))
+    names = ["child_id", "day_index", "session_start_minute", "session_end_minute", "openings"]
+    want = sorted(map(tuple, table_.select(*names).collect()))
+    assert sorted(map(tuple, got.select(*names).collect())) == want
+    assert sum(r[0] == 10 for r in want) == 2
+    # The two last events are open sessions, 31 minutes and more apart.
+    assert runs.late_rows(reports) == 0 and runs.state_rows(reports)[-1] == 2
+
+
 def test_trigger_state_lasts_across_files(spark, tmp_path):
     runs.use_rocksdb(spark)
     night = datetime(2024, 1, 1, 21, 0)

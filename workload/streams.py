@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from diurna.plans import eventlog
 from diurna.schemas import APP_CATEGORIES, INTERVENTION_RECORD
 from diurna.session import scratch_path
 from diurna.sources.files import read_records
@@ -27,13 +28,17 @@ from workload.registry import longs, query, rounded
             for c in APP_CATEGORIES
         )
         + """
-        FROM (SELECT *, e - s AS m, floor(day_index / 7) AS week FROM ep) GROUP BY child_id, week
+        FROM (SELECT *, e - s AS m, floor(day_index / 7) AS week FROM ep)
+        WHERE DATE '2024-01-01' + CAST((week + 1) * 7 AS INTEGER) <=
+              (SELECT max(ts) FROM events JOIN ep USING (event_id)) - INTERVAL 2 DAY
+        GROUP BY child_id, week
         """
     ),
 )
 def stream_weekly_totals(spark, sf_dir):
+    """The weeks that are over, two days of lateness included."""
     stream = weekly.weekly_totals(weekly.read_events(spark, sf_dir))
-    totals = runs.drain(stream, "weekly-totals", "complete")
+    totals = runs.drain(stream, "weekly-totals")
     return totals.select(
         *longs("child_id", "openings"),
         F.date_format("week_start", "yyyy-MM-dd").alias("week_start"),
@@ -43,37 +48,22 @@ def stream_weekly_totals(spark, sf_dir):
 
 @query(
     "stream_sessions",
-    """
-    WITH seq AS (
-      SELECT user_id + 1 AS child_id, event_id, epoch_us(ts) AS a,
-             epoch_us(ts) + (CAST(round(greatest(value, 0) * 60) AS BIGINT) + 1800) * 1000000 AS b
-      FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL
-    ),
-    cut AS (
-      SELECT *, CASE WHEN a <= max(b) OVER w THEN 0 ELSE 1 END AS fresh FROM seq
-      WINDOW w AS (PARTITION BY child_id ORDER BY a, event_id
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    with_tables(
+        """
+        SELECT child_id, day_index, round(ss, 6) AS session_start_minute,
+               round(se, 6) AS session_end_minute, openings
+        FROM sess0
+        WHERE day_index * 1440 + se + 30 <= (SELECT max(day_index * 1440 + s) FROM ep) - 1440
+        """
     ),
-    grp AS (
-      SELECT *, sum(fresh) OVER (PARTITION BY child_id ORDER BY a, event_id
-                                 ROWS UNBOUNDED PRECEDING) AS k FROM cut
-    )
-    SELECT child_id, strftime(make_timestamp(min(a)), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
-           strftime(make_timestamp(max(b) - 1800000000), '%Y-%m-%d %H:%M:%S.%f') AS session_end,
-           count(*) AS openings
-    FROM grp GROUP BY child_id, k
-    """,
 )
 def stream_sessions(spark, sf_dir):
-    log = weekly.read_events(spark, sf_dir).where(
-        "user_id IS NOT NULL AND value IS NOT NULL"
-    )
-    live = runs.drain(sessions.live_sessions(log), "live-sessions", "complete")
-    text = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    """The sessions that are closed, a day of lateness included."""
+    log = eventlog.episodes(weekly.read_events(spark, sf_dir))
+    live = runs.drain(sessions.live_sessions(log), "live-sessions")
     return live.select(
-        *longs("child_id", "openings"),
-        F.date_format("session_start", text).alias("session_start"),
-        F.date_format("session_end", text).alias("session_end"),
+        *longs("child_id", "day_index", "openings"),
+        *rounded("session_start_minute", "session_end_minute"),
     )
 
 
