@@ -211,21 +211,41 @@ def test_live_sessions_equal_the_daily_table(spark, tmp_path):
     assert runs.late_rows(reports) == 0 and runs.state_rows(reports)[-1] == 2
 
 
-def test_trigger_state_lasts_across_files(spark, tmp_path):
+BEDTIME = (
+    "child_id long, event_id long, current_time timestamp_ntz, bedtime_hour int, "
+    "bedtime_minute int, device_in_use boolean"
+)
+
+
+def test_triggers_in_any_order_equal_the_replay(spark, tmp_path):
+    """Nights of two children, shuffled within the lateness over several triggers."""
     runs.use_rocksdb(spark)
+    rng = random.Random(2)
     night = datetime(2024, 1, 1, 21, 0)
-    minutes = [[0, 10], [59, 60], [61]]
-    (tmp_path / "in").mkdir()
-    schema = (
-        "child_id long, event_id long, current_time timestamp_ntz, bedtime_hour int, "
-        "bedtime_minute int, device_in_use boolean"
-    )
-    for i, group in enumerate(minutes):
-        rows = [(7, 100 * i + m, night + timedelta(minutes=m), 22, 5, True) for m in group]
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
-        next((tmp_path / f"p{i}").glob("*.parquet")).rename(tmp_path / "in" / f"f{i}.parquet")
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {r.event_id: r.reason for r in runs.drain(triggers.bedtime_triggers(source), "t").collect()}
-    # 21:00 is too early for 22:05; 21:10 fires, the rest is within the hour.
-    cooled = "bedtime_cooldown_active"
-    assert got == {10: "bedtime_transition", 159: cooled, 160: cooled, 261: cooled}
+    minutes = [0, 5, 10, 59, 60, 64, 69, 1440 + 8, 1440 + 30, 2 * 1440 + 5, 2 * 1440 + 65, 2 * 1440 + 65]
+    rows = [
+        (child, 100 * child + i, night + timedelta(minutes=m), 22, 5, True)
+        for child in (7, 8)
+        for i, m in enumerate(minutes)
+    ]
+    rng.shuffle(rows)
+    flush = [(9, 900 + d, night + timedelta(days=20 + d, minutes=15), 22, 5, True) for d in (0, 1)]
+    late = [(7, 999, night + timedelta(minutes=10), 22, 5, True)]
+    batches = [rows[:5], rows[5:14], rows[14:], flush[:1], flush[1:], late]
+    folder = streamed(spark, tmp_path, batches, BEDTIME, "in")
+    source = spark.readStream.schema(BEDTIME).option("maxFilesPerTrigger", 1).parquet(folder)
+    table_, reports = runs.drained(triggers.bedtime_triggers(source, lateness="5 days"), "t")
+    got = {r.event_id: r.reason for r in table_.collect()}
+    want = {}
+    for child in (7, 8):
+        last = None
+        # Bedtime is 22:05: 21:00 is too early, at 22:09 it is tomorrow's.
+        inside = [(m, 100 * child + i) for i, m in enumerate(minutes) if 5 <= m % 1440 <= 65]
+        for m, event in sorted(inside):
+            fires = last is None or m - last >= 60
+            last = m if fires else last
+            want[event] = "bedtime_transition" if fires else "bedtime_cooldown_active"
+    assert got == want
+    at = {r.event_id: r.event_time for r in table_.collect()}
+    assert at[702] == night + timedelta(minutes=10)
+    assert runs.late_rows(reports) == 1

@@ -75,6 +75,7 @@ def stream_sessions(spark, sf_dir):
                CASE WHEN request_id IN (SELECT eid FROM fire) THEN 'bedtime_transition'
                     ELSE 'bedtime_cooldown_active' END AS reason
         FROM open_events WHERE reason = 'bedtime_transition'
+          AND ts < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM cnd)
         """,
         REQUEST_SQL,
         BEDTIME_SQL,
@@ -83,6 +84,7 @@ def stream_sessions(spark, sf_dir):
     ),
 )
 def stream_triggers(spark, sf_dir):
+    """Decisions on the candidates that the watermark, a day late, has passed."""
     runs.use_rocksdb(spark)
     log = weekly.read_events(spark, sf_dir)
     rows = ivn.bedtime_rows(ivn.request_rows(log))
