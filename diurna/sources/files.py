@@ -33,6 +33,10 @@ def _children(spark: SparkSession, folder: str, suffix: str) -> list[str]:
     return sorted(n for n in names if n.endswith(suffix))
 
 
+def has_files(spark: SparkSession, folder: str) -> bool:
+    return bool(_children(spark, folder, ""))
+
+
 def discover_csv(spark: SparkSession, folder: str, required: Sequence[str]) -> str:
     """First CSV (by path) whose header has all required columns.
 
@@ -55,4 +59,6 @@ def append_records(records: DataFrame, path: str) -> None:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(INTERVENTION_RECORD).json(path)
+    """History records, from plain files or from folders of batches and months."""
+    columns = [f.name for f in INTERVENTION_RECORD.fields]
+    return spark.read.schema(INTERVENTION_RECORD).json(path).select(*columns)

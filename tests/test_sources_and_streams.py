@@ -12,9 +12,9 @@ from diurna.operators import quality
 from diurna.operators.sessions import sessionize
 from diurna.plans import checks, eventlog, weekly
 from diurna.schemas import POPULATION
-from diurna.sources import files
+from diurna.sources import catalog, files
 from diurna.sources.tables import table
-from diurna.streaming import runs, triggers
+from diurna.streaming import history, runs, triggers
 from diurna.streaming import weekly as live
 from diurna.streaming.sessions import live_sessions
 
@@ -249,3 +249,39 @@ def test_triggers_in_any_order_equal_the_replay(spark, tmp_path):
     at = {r.event_id: r.event_time for r in table_.collect()}
     assert at[702] == night + timedelta(minutes=10)
     assert runs.late_rows(reports) == 1
+
+
+RESPONSE = (
+    "child_id long, event_time timestamp, source string, context string, "
+    "activities_offered array<string>, response string, selected_activity_id string"
+)
+
+
+def test_history_batches_can_be_run_again(spark, tmp_path):
+    """Duplicates across batches, however old, and reruns add no line; refusals are kept."""
+    known = [r.activity_id for r in catalog.catalog(spark).limit(2).collect()]
+
+    def response(child, day, source="child_initiated"):
+        return (child, datetime(2024, 1, day, 10), source, "voluntary", known, "selected", known[0])
+
+    first = [response(1, 1), response(1, 1), response(2, 2), response(0, 2)]
+    second = [response(2, 2), response(3, 1), response(4, 28), response(5, 3, "nobody")]
+    path, rejected = str(tmp_path / "history"), str(tmp_path / "rejected")
+
+    def lines():
+        return sorted((r.child_id, r.timestamp) for r in files.read_records(spark, path).collect())
+
+    frames = [spark.createDataFrame(rows, RESPONSE) for rows in (first, second)]
+    history.commit(frames[0], 0, path, rejected)
+    assert lines() == [(1, "2024-01-01T10:00:00"), (2, "2024-01-02T10:00:00")]
+    for _ in range(2):
+        history.commit(frames[1], 1, path, rejected)
+        assert [c for c, _ in lines()] == [1, 2, 3, 4]
+    history.commit(frames[0], 0, path, rejected)
+    history.commit(frames[0].limit(0), 2, path, rejected)
+    assert [c for c, _ in lines()] == [1, 2, 3, 4]
+    refused = spark.read.json(rejected).collect()
+    assert sorted((r.child_id, r.reject_reason) for r in refused) == [
+        (0, "child_id_not_positive"),
+        (5, "unknown_source"),
+    ]

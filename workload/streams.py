@@ -112,9 +112,9 @@ def stream_history(spark, sf_dir):
         .withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
         .drop("delivery")
     )
-    path = scratch_path(spark, "history")
+    path, rejected = scratch_path(spark, "history"), scratch_path(spark, "history-rejected")
     checkpoint = scratch_path(spark, "history-checkpoint")
-    runs.finish(history.ingest(ivn.response_rows(stream), path, checkpoint, "100000 days"))
+    runs.finish(history.ingest(ivn.response_rows(stream), path, rejected, checkpoint))
     kept = read_records(spark, path)
     columns = [f.name for f in INTERVENTION_RECORD.fields]
     return kept.withColumn("activities_offered", F.concat_ws(",", "activities_offered")).select(
