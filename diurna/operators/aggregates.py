@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from diurna.operators import quantiles
 from diurna.operators.single import with_row
+from diurna.session import written_table
 
 
 def unpivot_row(row: DataFrame, cells: dict[str, dict[str, Column]], key: str) -> DataFrame:
@@ -156,43 +157,99 @@ def extreme_days(daily: DataFrame) -> DataFrame:
 # --- correlations -----------------------------------------------------------
 
 
-def _pair(a: str, b: str) -> str:
-    return f"{a}__{b}"
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """column_a, column_b, correlation over the rows in which both columns are present.
 
+    Rows are summed once per pattern of missing values, and the few pattern rows are
+    added up per pair, so a pair costs one product instead of masked moments of its own.
+    Values are taken from the column's mean, which keeps the sums small. A column that is
+    constant over a pair's rows, or a pair without rows, gives NULL.
+    """
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    place = {c: i for i, c in enumerate(columns)}
+    stored = written_table(
+        df.select(*[F.col(c).cast("double").alias(f"v{i}") for c, i in place.items()]), "values"
+    )
 
-def _corr(a: str, b: str) -> Column:
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    def finite(i: int) -> Column:
+        return F.when(F.abs(F.col(f"v{i}")) < F.lit(float("inf")), F.col(f"v{i}"))
 
+    means = stored.agg(*[F.avg(finite(i)).alias(f"m{i}") for i in place.values()])
+    centred = with_row(stored, means).select(
+        *[(F.col(f"v{i}") - F.col(f"m{i}")).alias(f"v{i}") for i in place.values()]
+    )
+    products = {tuple(sorted((place[a], place[b]))) for a, b in pairs}
+    products |= {(i, i) for i in place.values()}
+    patterns = (
+        centred.groupBy(*[F.col(f"v{i}").isNull().alias(f"n{i}") for i in place.values()])
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.sum(f"v{i}").alias(f"s{i}") for i in place.values()],
+            *[F.min(f"v{i}").alias(f"lo{i}") for i in place.values()],
+            *[F.max(f"v{i}").alias(f"hi{i}") for i in place.values()],
+            *[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}_{j}") for i, j in products],
+        )
+    )
+    # A row without values, so that an empty table has its pairs too.
+    patterns = patterns.unionByName(
+        df.sparkSession.range(1).select(F.lit(0).cast("long").alias("n")), allowMissingColumns=True
+    )
 
-def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairs in one aggregate pass; constant columns give NULL."""
-    pairs = list(combinations(columns, 2))
-    row = df.agg(
-        *[_corr(a, b).alias(_pair(a, b)) for a, b in pairs],
-        *[_corr(c, c).alias(_pair(c, c)) for c in columns],
+    def cell(a: str, b: str) -> Column:
+        i, j = sorted((place[a], place[b]))
+        product = F.col(f"p{i}_{j}")
+
+        def present(name: str) -> Column:
+            return F.when(product.isNotNull(), F.col(name))
+
+        x, y = place[a], place[b]
+        return F.struct(
+            F.lit(a).alias("column_a"),
+            F.lit(b).alias("column_b"),
+            present("n").alias("n"),
+            product.alias("xy"),
+            *[
+                present(f"{part}{k}{f'_{k}' if part == 'p' else ''}").alias(f"{side}_{part}")
+                for side, k in (("x", x), ("y", y))
+                for part in ("s", "lo", "hi", "p")
+            ],
+        )
+
+    cells = patterns.select(F.explode(F.array(*[cell(a, b) for a, b in pairs])).alias("c"))
+    summed = cells.select("c.*").groupBy("column_a", "column_b").agg(
+        *[F.sum(c).alias(c) for c in ("n", "xy", "x_s", "y_s", "x_p", "y_p")],
+        *[F.min(c).alias(c) for c in ("x_lo", "y_lo")],
+        *[F.max(c).alias(c) for c in ("x_hi", "y_hi")],
     )
-    entries = []
-    for a, b in pairs:
-        entries += [(a, b, _pair(a, b)), (b, a, _pair(a, b))]
-    entries += [(c, c, _pair(c, c)) for c in columns]
-    stacked = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(p).alias("correlation")
-            )
-            for a, b, p in entries
-        ]
+
+    def moment(xy: str, x: str, y: str) -> Column:
+        n = F.col("n")
+        return F.col(xy) / n - (F.col(x) / n) * (F.col(y) / n)
+
+    def deviation(side: str) -> Column:
+        variance = moment(f"{side}_p", f"{side}_s", f"{side}_s")
+        return F.sqrt(F.greatest(variance, F.lit(0.0)))
+
+    spread = deviation("x") * deviation("y")
+    varies = (F.col("x_hi") > F.col("x_lo")) & (F.col("y_hi") > F.col("y_lo"))
+    found = F.when(varies, F.try_divide(moment("xy", "x_s", "y_s"), spread))
+    return summed.select("column_a", "column_b", found.alias("correlation"))
+
+
+def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All pairs, both ways and each column with itself; constant columns give NULL."""
+    pairs = [*combinations(columns, 2), *[(c, c) for c in columns]]
+    found = pair_correlations(df, pairs)
+    turned = found.where("column_a <> column_b").select(
+        F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "correlation"
     )
-    return row.select(F.explode(stacked).alias("e")).select("e.*")
+    return found.unionAll(turned)
 
 
 def corr_with(df: DataFrame, columns: Sequence[str], anchor: str) -> DataFrame:
     """Correlation of each column with the anchor, strongest first."""
-    row = df.agg(*[_corr(c, anchor).alias(c) for c in columns])
-    cells = {c: {"correlation": F.col(c)} for c in columns}
-    return unpivot_row(row, cells, "feature").orderBy(
+    found = pair_correlations(df, [(c, anchor) for c in columns])
+    return found.select(F.col("column_a").alias("feature"), "correlation").orderBy(
         F.abs("correlation").desc_nulls_last(), "feature"
     )
 

@@ -76,6 +76,20 @@ def episodes(events: DataFrame) -> DataFrame:
     )
 
 
+def whole_uses(events: DataFrame) -> DataFrame:
+    """The same events with their whole length, past midnight where they last so long."""
+    length = numeric.nan_to_null(F.col("value"))
+    return events.where(
+        F.col("user_id").isNotNull() & F.col("ts").isNotNull() & (length > 0)
+    ).select(
+        "event_id",
+        (F.col("user_id") + 1).alias("child_id"),
+        day_of(F.col("ts")).alias("day_index"),
+        (F.hour("ts") * 60 + F.minute("ts")).cast("double").alias("episode_start_minute"),
+        length.alias("use_minutes"),
+    )
+
+
 _LATENT_FACTORS = {"S": 37, "B": 53, "F": 71, "U": 89}
 
 

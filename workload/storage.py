@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from diurna.operators import intervals, scans, sessions
+from diurna.operators import intervals, scans, sessions, spans
 from diurna.plans import dataset, eventlog, modeling, study, weekly
 from diurna.schemas import FEATURES, TARGET, WINDOW_WEIGHTS
 from diurna.session import scratch_path, written_table
@@ -164,6 +164,56 @@ def overlap_by_label(spark, sf_dir):
     )
 
 
+@query(
+    "overlap_window_table",
+    with_tables(
+        """
+        SELECT event_id, count(*)::BIGINT AS spans, """
+        + ", ".join(
+            f"round(sum({label}_minutes), 6) AS {label}_minutes" for label in LABELS
+        )
+        + " FROM (SELECT s.event_id, a, b, "
+        + ", ".join(
+            f"coalesce(sum(CASE WHEN name = '{label}' THEN least(b, d) - greatest(a, c) END), 0) "
+            f"AS {label}_minutes"
+            for label in LABELS
+        )
+        + """
+        FROM whole s LEFT JOIN laid w ON s.child_id = w.child_id AND a < d AND c < b
+        GROUP BY s.event_id, s.child_id, a, b) GROUP BY event_id
+        """,
+        """
+        whole AS (
+          SELECT event_id, child_id, day_index * 1440.0::DOUBLE + s AS a,
+                 day_index * 1440.0::DOUBLE + s + value AS b
+          FROM ep JOIN (SELECT event_id, value FROM events) USING (event_id)),
+        laid AS (
+          SELECT child_id, name, day_index * 1440.0::DOUBLE + ws AS c,
+                 day_index * 1440.0::DOUBLE + we AS d FROM win)
+        """,
+    ),
+)
+def overlap_window_table(spark, sf_dir):
+    """Minutes of each use, not cut at midnight, in the windows of a given table."""
+    ev = events(spark, sf_dir)
+    begin = spans.on_running_axis(F.col("day_index"), F.col("episode_start_minute"))
+    uses = eventlog.whole_uses(ev).select(
+        "event_id", "child_id", begin.alias("start"), (begin + F.col("use_minutes")).alias("end")
+    )
+    by_day = intervals.day_windows(eventlog.daily_contexts(ev).withColumn("S", eventlog.latent("S")))
+    windows = by_day.withColumns(
+        {c: spans.on_running_axis(F.col("day_index"), F.col(c)) for c in ("window_start", "window_end")}
+    )
+    found = spans.label_minutes(uses, windows, LABELS)
+    total = found.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("spans"),
+        *[F.sum(f"{label}_minutes").alias(f"{label}_minutes") for label in LABELS],
+    )
+    return total.select(
+        *longs("event_id", "spans"), *rounded(*[f"{label}_minutes" for label in LABELS])
+    )
+
+
 @query(
     "overlap_severity_corr",
     with_tables(
