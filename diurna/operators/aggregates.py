@@ -167,59 +167,53 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
     """
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
     place = {c: i for i, c in enumerate(columns)}
+    wanted = [(place[a], place[b]) for a, b in pairs]
+    products = sorted({(min(p), max(p)) for p in wanted} | {(i, i) for i in place.values()})
     stored = written_table(
         df.select(*[F.col(c).cast("double").alias(f"v{i}") for c, i in place.items()]), "values"
     )
-
-    def finite(i: int) -> Column:
-        return F.when(F.abs(F.col(f"v{i}")) < F.lit(float("inf")), F.col(f"v{i}"))
-
-    means = stored.agg(*[F.avg(finite(i)).alias(f"m{i}") for i in place.values()])
-    centred = with_row(stored, means).select(
-        *[(F.col(f"v{i}") - F.col(f"m{i}")).alias(f"v{i}") for i in place.values()]
+    means = stored.selectExpr(
+        *[f"avg(v{i}) FILTER (WHERE abs(v{i}) < double('inf')) AS m{i}" for i in place.values()]
     )
-    products = {tuple(sorted((place[a], place[b]))) for a, b in pairs}
-    products |= {(i, i) for i in place.values()}
-    patterns = (
-        centred.groupBy(*[F.col(f"v{i}").isNull().alias(f"n{i}") for i in place.values()])
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(f"v{i}").alias(f"s{i}") for i in place.values()],
-            *[F.min(f"v{i}").alias(f"lo{i}") for i in place.values()],
-            *[F.max(f"v{i}").alias(f"hi{i}") for i in place.values()],
-            *[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}_{j}") for i, j in products],
-        )
+    centred = with_row(stored, means).selectExpr(*[f"v{i} - m{i} AS v{i}" for i in place.values()])
+    patterns = centred.groupBy(*[F.col(f"v{i}").isNull() for i in place.values()]).agg(
+        F.expr("count(1) AS n"),
+        *[F.expr(f"{how}(v{i}) AS {how}{i}") for i in place.values() for how in ("sum", "min", "max")],
+        *[F.expr(f"sum(v{i} * v{j}) AS p{i}_{j}") for i, j in products],
+    )
+    listed = {how: [f"{how}{i}" for i in place.values()] for how in ("sum", "min", "max")}
+    listed["p"] = [f"p{i}_{j}" for i, j in products]
+    rows = patterns.selectExpr(
+        "n", *[f"array({', '.join(items)}) AS {name}" for name, items in listed.items()]
     )
     # A row without values, so that an empty table has its pairs too.
-    patterns = patterns.unionByName(
-        df.sparkSession.range(1).select(F.lit(0).cast("long").alias("n")), allowMissingColumns=True
+    lacking = [f"CAST(NULL AS array<double>) AS {name}" for name in listed]
+    rows = rows.unionAll(df.sparkSession.range(1).selectExpr("0L AS n", *lacking))
+
+    at = {p: i for i, p in enumerate(products)}
+    literal = ", ".join(
+        f"named_struct('x', {x}, 'y', {y}, 'xy', {at[min(x, y), max(x, y)]}, "
+        f"'xx', {at[x, x]}, 'yy', {at[y, y]})"
+        for x, y in wanted
     )
-
-    def cell(a: str, b: str) -> Column:
-        i, j = sorted((place[a], place[b]))
-        product = F.col(f"p{i}_{j}")
-
-        def present(name: str) -> Column:
-            return F.when(product.isNotNull(), F.col(name))
-
-        x, y = place[a], place[b]
-        return F.struct(
-            F.lit(a).alias("column_a"),
-            F.lit(b).alias("column_b"),
-            present("n").alias("n"),
-            product.alias("xy"),
-            *[
-                present(f"{part}{k}{f'_{k}' if part == 'p' else ''}").alias(f"{side}_{part}")
-                for side, k in (("x", x), ("y", y))
-                for part in ("s", "lo", "hi", "p")
-            ],
-        )
-
-    cells = patterns.select(F.explode(F.array(*[cell(a, b) for a, b in pairs])).alias("c"))
-    summed = cells.select("c.*").groupBy("column_a", "column_b").agg(
-        *[F.sum(c).alias(c) for c in ("n", "xy", "x_s", "y_s", "x_p", "y_p")],
-        *[F.min(c).alias(c) for c in ("x_lo", "y_lo")],
-        *[F.max(c).alias(c) for c in ("x_hi", "y_hi")],
+    # What a pattern adds to a pair: nothing where it lacks one of the two columns.
+    met = rows.selectExpr("*", f"explode(array({literal})) AS c").selectExpr(
+        "*", "p[c.xy] AS xy"
+    )
+    held = [
+        f"IF(xy IS NULL, NULL, {value}) AS {name}"
+        for name, value in {
+            "n": "n",
+            **{f"{k}_{how}": f"{how}[c.{k}]" for k in "xy" for how in ("sum", "min", "max")},
+            "x2": "p[c.xx]",
+            "y2": "p[c.yy]",
+        }.items()
+    ]
+    cells = met.selectExpr("c.x AS x", "c.y AS y", "xy", *held)
+    summed = cells.groupBy("x", "y").agg(
+        *[F.sum(c).alias(c) for c in ("n", "xy", "x_sum", "y_sum", "x2", "y2")],
+        *[F.min(c).alias(c) for c in ("x_min", "y_min")],
+        *[F.max(c).alias(c) for c in ("x_max", "y_max")],
     )
 
     def moment(xy: str, x: str, y: str) -> Column:
@@ -227,13 +221,18 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
         return F.col(xy) / n - (F.col(x) / n) * (F.col(y) / n)
 
     def deviation(side: str) -> Column:
-        variance = moment(f"{side}_p", f"{side}_s", f"{side}_s")
+        variance = moment(f"{side}2", f"{side}_sum", f"{side}_sum")
         return F.sqrt(F.greatest(variance, F.lit(0.0)))
 
     spread = deviation("x") * deviation("y")
-    varies = (F.col("x_hi") > F.col("x_lo")) & (F.col("y_hi") > F.col("y_lo"))
-    found = F.when(varies, F.try_divide(moment("xy", "x_s", "y_s"), spread))
-    return summed.select("column_a", "column_b", found.alias("correlation"))
+    varies = (F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min"))
+    found = F.when(varies, F.try_divide(moment("xy", "x_sum", "y_sum"), spread))
+    names = F.array(*[F.lit(c) for c in columns])
+    return summed.select(
+        names[F.col("x")].alias("column_a"),
+        names[F.col("y")].alias("column_b"),
+        found.alias("correlation"),
+    )
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
