@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -33,6 +34,11 @@ def drained(stream: DataFrame, label: str, mode: str = "append") -> tuple[DataFr
     """
     spark = stream.sparkSession
     path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
+    reports = _run(stream, path, checkpoint, mode)
+    return spark.read.schema(stream.schema).parquet(path), reports
+
+
+def _run(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> list[dict]:
     writer = (
         stream.writeStream.option("checkpointLocation", checkpoint)
         .outputMode(mode)
@@ -43,7 +49,28 @@ def drained(stream: DataFrame, label: str, mode: str = "append") -> tuple[DataFr
     else:
         query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     finish(query)
-    reports = [json.loads(p.json) for p in query.recentProgress]
+    return [json.loads(p.json) for p in query.recentProgress]
+
+
+def drained_to_end(
+    log: DataFrame, end: DataFrame, job: Callable[[DataFrame], DataFrame], label: str
+) -> tuple[DataFrame, list[dict]]:
+    """Process all of ``log`` by ``job``, open windows too; with the progress reports.
+
+    In append mode a window comes out once the watermark has passed it, so those of a
+    log's last days would stay in the state. When the log has been read to its end, the
+    row ``end`` (like a row of the log, later than any) is read in a second run on the
+    same checkpoint: it moves the watermark past all that is open, and as nothing
+    comes after it, makes nothing late. Only its own window is left in the state.
+    """
+    spark = log.sparkSession
+    ends = scratch_path(spark, f"{label}-end")
+    end.limit(0).write.parquet(ends)
+    stream = job(log.unionByName(spark.readStream.schema(log.schema).parquet(ends)))
+    path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
+    reports = _run(stream, path, checkpoint)
+    end.write.mode("append").parquet(ends)
+    reports += _run(stream, path, checkpoint)
     return spark.read.schema(stream.schema).parquet(path), reports
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ def with_event_time(events: DataFrame) -> DataFrame:
     return events.withColumn("event_time", F.col("ts").cast("timestamp"))
 
 
+def end_of_log(spark: SparkSession) -> DataFrame:
+    """A row like an event's, after all others, for ``runs.drained_to_end``."""
+    row = (None, datetime(9999, 1, 1), -1, None, 1.0, None)
+    return with_event_time(spark.createDataFrame([row], EVENTS))
+
+
 def weekly_totals(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Openings, minutes and category shares per child and 7-day window.
 

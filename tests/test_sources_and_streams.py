@@ -217,6 +217,39 @@ BEDTIME = (
 )
 
 
+def test_end_of_log_closes_what_is_open(spark, tmp_path):
+    """Week by week, a file a trigger: nothing is late, and the last days come out too."""
+    rng = random.Random(8)
+    batches, every = [], []
+    for week in range(3):
+        rows = []
+        for i in range(80):
+            at = datetime(2024, 1, 1) + timedelta(days=7 * week, minutes=rng.randint(0, 7 * 1440 - 1))
+            rows.append((1000 * week + i, at, rng.randint(0, 2), "click", rng.choice([0.5, 45.0]), ""))
+        batches.append(rows)
+        every += rows
+    folder = tmp_path / "log"
+    folder.mkdir()
+    inner = streamed(spark, folder, batches, EVENT, "events.parquet")
+    log = live.read_events(spark, os.path.dirname(inner), 1)
+    table_ = live.with_event_time(spark.createDataFrame(every, EVENT))
+    end = live.end_of_log(spark)
+
+    weeks, reports = runs.drained_to_end(log, end, live.weekly_totals, "weeks")
+    want = sorted(map(tuple, live.weekly_totals(table_).collect()))
+    assert sorted(map(tuple, weeks.collect())) == want and len(want) == 9
+    assert runs.late_rows(reports) == 0 and runs.state_rows(reports)[-1] == 1
+
+    def open_sessions(rows):
+        return live_sessions(eventlog.episodes(rows), lateness="8 days")
+
+    got, reports = runs.drained_to_end(log, end, open_sessions, "sessions")
+    names = ["child_id", "day_index", "session_start_minute", "session_end_minute", "openings"]
+    daily = sessionize(eventlog.episodes(table_)).select(*names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, daily.collect()))
+    assert runs.late_rows(reports) == 0 and runs.state_rows(reports)[-1] == 1
+
+
 def test_triggers_in_any_order_equal_the_replay(spark, tmp_path):
     """Nights of two children, shuffled within the lateness over several triggers."""
     runs.use_rocksdb(spark)

@@ -28,17 +28,14 @@ from workload.registry import longs, query, rounded
             for c in APP_CATEGORIES
         )
         + """
-        FROM (SELECT *, e - s AS m, floor(day_index / 7) AS week FROM ep)
-        WHERE DATE '2024-01-01' + CAST((week + 1) * 7 AS INTEGER) <=
-              (SELECT max(ts) FROM events JOIN ep USING (event_id)) - INTERVAL 2 DAY
-        GROUP BY child_id, week
+        FROM (SELECT *, e - s AS m, floor(day_index / 7) AS week FROM ep) GROUP BY child_id, week
         """
     ),
 )
 def stream_weekly_totals(spark, sf_dir):
-    """The weeks that are over, two days of lateness included."""
-    stream = weekly.weekly_totals(weekly.read_events(spark, sf_dir))
-    totals = runs.drain(stream, "weekly-totals")
+    """All weeks: those that end while the log is read, and at its end the open ones."""
+    log, end = weekly.read_events(spark, sf_dir), weekly.end_of_log(spark)
+    totals, _ = runs.drained_to_end(log, end, weekly.weekly_totals, "weekly-totals")
     return totals.select(
         *longs("child_id", "openings"),
         F.date_format("week_start", "yyyy-MM-dd").alias("week_start"),
@@ -53,14 +50,15 @@ def stream_weekly_totals(spark, sf_dir):
         SELECT child_id, day_index, round(ss, 6) AS session_start_minute,
                round(se, 6) AS session_end_minute, openings
         FROM sess0
-        WHERE day_index * 1440 + se + 30 <= (SELECT max(day_index * 1440 + s) FROM ep) - 1440
         """
     ),
 )
 def stream_sessions(spark, sf_dir):
-    """The sessions that are closed, a day of lateness included."""
-    log = eventlog.episodes(weekly.read_events(spark, sf_dir))
-    live = runs.drain(sessions.live_sessions(log), "live-sessions")
+    """All sessions: those that close while the log is read, and at its end the open ones."""
+    log, end = weekly.read_events(spark, sf_dir), weekly.end_of_log(spark)
+    live, _ = runs.drained_to_end(
+        log, end, lambda rows: sessions.live_sessions(eventlog.episodes(rows)), "live-sessions"
+    )
     return live.select(
         *longs("child_id", "day_index", "openings"),
         *rounded("session_start_minute", "session_end_minute"),
