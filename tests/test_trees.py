@@ -134,3 +134,44 @@ def test_a_rerun_resumes(folded, tmp_path, monkeypatch):
 def test_grid_of_no_rows(folded):
     assert modeling.cross_validate_grid(folded.limit(0), POINTS, ["a", "b"], "y").count() == 0
     assert folded.where(F.col("a").isNull()).count() == 0
+
+
+def test_scores_of_deep_trees_equal_the_walk(spark):
+    """Trees of any depth, single leaves and many blocks, against node by node."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (300, 3))
+    y = np.where(x[:, 0] > 0, x[:, 1], rng.normal(0, 1, 300))
+    for model in (
+        trees.ForestPoint("deep", None, 1, 12).fit(x, y, 1),
+        trees.ForestPoint("leaves", 0, 1, 5).fit(x, y, 1),
+        trees.BoostedPoint("boosted", 2, 0.1, 1.0, 9).fit(x, y, 1),
+        trees.ForestPoint("no features", None, 1, 4).fit(x[:, :0], y, 1),
+    ):
+        rows = rng.normal(0, 1, (trees.SCORE_ROWS + 50, len(model.edges)))
+        codes = trees.coded(rows, model.edges)
+        want = model.start + model.rate * model.nodes.values(codes, model.nodes.roots).sum(axis=1)
+        assert model.predict(rows) == pytest.approx(want, rel=1e-12)
+
+
+def test_rows_of_one_file_are_scored_in_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(int(i % 2 + 1), *map(float, v)) for i, v in enumerate(rng.normal(0, 1, (400, 3)))]
+    spark.createDataFrame(rows, "fold int, y double, a double, b double").coalesce(1).write.parquet(
+        str(tmp_path / "one")
+    )
+    df = spark.read.parquet(str(tmp_path / "one"))
+    x, y = np.array([r[2:] for r in rows]), np.array([r[1] for r in rows])
+    model = trees.BoostedPoint("b", 2, 0.1, 1.0, 9).fit(x, y, 0)
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("scoring", "scoring")
+    got = modeling._scored(df, {(0, 1): model, (0, 2): model}, ["a", "b"], 0.0, 7).collect()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    stages = [
+        tracker.getStageInfo(s)
+        for j in tracker.getJobIdsForGroup("scoring")
+        for s in tracker.getJobInfo(j).stageIds
+    ]
+    assert 7 in {s.numTasks for s in stages if s}
+    error = np.abs(y - model.predict(x))
+    fold = np.array([r[0] for r in rows])
+    assert {r.fold: r.absolute for r in got} == pytest.approx({f: error[fold == f].sum() for f in (1, 2)})
