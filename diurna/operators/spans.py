@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diurna.operators import scans
-from diurna.operators.single import row_of
 from diurna.schemas import MINUTES_PER_DAY
 from diurna.session import written_table
 
@@ -51,12 +50,44 @@ def _with_grid(side: DataFrame, keys: Sequence[str], start: str, end: str) -> Da
     return written_table(side.where(real).withColumns(numbered), "spans")
 
 
-def _placed(side: DataFrame, other: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per grid and bucket in which a span can meet one of the other side."""
-    homes = row_of(other.agg(F.collect_set("__home").alias("homes")))["homes"]
-    on_grids = side.withColumn(
-        "__grid", F.explode(F.sequence(F.col("__home"), F.lit(GRIDS - 1)))
-    ).where((F.col("__grid") == F.col("__home")) | F.array_contains(homes, F.col("__grid")))
+def _lengths(side: DataFrame, start: str, end: str) -> dict[int, tuple[int, float]]:
+    """{grid: (spans, their minutes)}, at most one entry a grid."""
+    found = side.groupBy("__home").agg(
+        F.count(F.lit(1)).alias("spans"), F.sum(F.col(end) - F.col(start)).alias("minutes")
+    )
+    return {r["__home"]: (r["spans"], r["minutes"]) for r in found.collect()}
+
+
+def _placed_rows(
+    own: dict[int, tuple[int, float]], other: dict[int, tuple[int, float]], finest: int
+) -> float:
+    """About how many rows a side becomes if no grid is finer than ``finest``."""
+    met, rows = {max(h, finest) for h in other}, 0.0
+    for home, (count, minutes) in own.items():
+        home = max(home, finest)
+        for grid in {home} | {g for g in met if g > home}:
+            rows += count + minutes / (FINEST_GRID * GRID_FACTOR**grid)
+    return rows
+
+
+def _finest_grid(
+    left: dict[int, tuple[int, float]], right: dict[int, tuple[int, float]]
+) -> int:
+    """The finest grid worth having: a span has a row on each grid from its own upwards,
+    so with spans of all lengths fewer grids mean fewer rows, while a fine grid means
+    fewer rows that meet in vain. The finest within a quarter of the least rows."""
+    rows = [
+        _placed_rows(left, right, g) + _placed_rows(right, left, g) for g in range(GRIDS)
+    ]
+    return next(g for g in range(GRIDS) if rows[g] <= 1.25 * min(rows))
+
+
+def _placed(side: DataFrame, homes: Sequence[int], start: str, end: str) -> DataFrame:
+    """One row per grid and bucket in which a span can meet one of the other side,
+    whose spans are at home on the grids ``homes``."""
+    grids = F.array(F.col("__home"), *[F.lit(h) for h in homes])
+    above = F.array_distinct(F.filter(grids, lambda g: g >= F.col("__home")))
+    on_grids = side.withColumn("__grid", F.explode(above))
     width = _width(F.col("__grid"))
     first = F.floor(F.col(start) / width)
     last = F.greatest(first, F.ceil(F.col(end) / width) - 1)
@@ -85,12 +116,32 @@ def overlapping(
     a = _with_grid(left, keys, *left_span)
     b = _with_grid(right, keys, *right_span)
     cell = [*keys, "__grid", "__bucket"]
-    placed_a = _placed(a, b, *left_span).withColumnRenamed("__home", "__home_a")
-    placed_b = _placed(b, a, *right_span).withColumnRenamed("__home", "__home_b")
-
+    lengths_a, lengths_b = _lengths(a, *left_span), _lengths(b, *right_span)
+    finest = _finest_grid(lengths_a, lengths_b)
+    homes_a, homes_b = (
+        sorted({max(h, finest) for h in lengths}) for lengths in (lengths_a, lengths_b)
+    )
+    home = F.greatest(F.col("__home"), F.lit(finest))
+    a, b = a.withColumn("__home", home), b.withColumn("__home", home)
+    placed_a = _placed(a, homes_b, *left_span).withColumnRenamed("__home", "__home_a")
+    placed_b = _placed(b, homes_a, *right_span).withColumnRenamed("__home", "__home_b")
+
+    # A bucket holds a span once, so only keys of many rows can have full buckets.
+    busy = written_table(
+        a.select(*keys, F.lit(True).alias("__first"))
+        .unionAll(b.select(*keys, F.lit(False).alias("__first")))
+        .groupBy(*keys)
+        .agg(
+            F.count_if("__first").alias("__rows_a"), F.count_if(~F.col("__first")).alias("__rows_b")
+        )
+        .where((F.greatest("__rows_a", "__rows_b") > hot_rows) & (F.least("__rows_a", "__rows_b") > 0))
+        .select(*keys),
+        "busy-keys",
+    )
     counts = (
         placed_a.select(*cell, F.lit(True).alias("__first"))
         .unionAll(placed_b.select(*cell, F.lit(False).alias("__first")))
+        .join(busy, list(keys), "left_semi")
         .groupBy(*cell)
         .agg(
             F.count_if("__first").alias("__rows_a"), F.count_if(~F.col("__first")).alias("__rows_b")

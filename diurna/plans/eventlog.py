@@ -173,6 +173,20 @@ def daily_contexts(events: DataFrame) -> DataFrame:
     )
 
 
+def daily_windows(events: DataFrame) -> DataFrame:
+    """The labelled windows of every child and day of the log, as rows.
+
+    A day's windows follow from the child and the weekday, so they are built for one
+    week and laid on all days of it.
+    """
+    span = row_of(calendar_span(events))
+    week = calendar.daily_contexts(population(events), F.lit(0), F.lit(6), day_start_rule())
+    windows = intervals.day_windows(week.withColumn("S", latent("S")))
+    first = span["first_day"] + F.pmod(F.col("day_index") - span["first_day"], F.lit(7))
+    days = F.when(first <= span["last_day"], F.sequence(first, span["last_day"], F.lit(7)))
+    return windows.withColumn("day_index", F.explode(days))
+
+
 def with_context(df: DataFrame) -> DataFrame:
     """Profile and day context in place for rows with child_id, day_index."""
     profiled = with_profile(df).withColumn(

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from diurna.operators import intervals, spans
+from diurna.plans import eventlog
 
 LEFT = "child_id long, a double, b double, l long"
 RIGHT = "child_id long, c double, d double, r long"
@@ -162,3 +164,41 @@ def test_window_table_equals_windows_of_the_row(spark, sf_dir):
         gap = F.abs(F.col(f"x_{n}") - F.col(f"{n}_minutes")) < 1e-9
         same = same & F.coalesce(gap, F.lit(False))
     assert pairs.where(~same).count() == 0 and pairs.count() == bare.count()
+
+
+def test_spans_of_all_lengths_share_a_grid():
+    """Few rows a span if lengths are mixed; a fine grid where all spans are short."""
+    mixed = {0: (700, 14_000.0), 1: (250, 35_000.0), 2: (50, 15_000.0)}
+    assert spans._finest_grid(mixed, mixed) == 2
+    assert spans._placed_rows(mixed, mixed, 2) < 0.5 * spans._placed_rows(mixed, mixed, 0)
+    short = {0: (1000, 5_000.0)}
+    assert spans._finest_grid(short, short) == 0
+    assert spans._finest_grid({}, short) == 0 and spans._finest_grid({}, {}) == 0
+
+
+@pytest.mark.parametrize("finest", [0, 1, 4, spans.GRIDS - 1])
+def test_pairs_on_any_grid(spark, monkeypatch, finest):
+    monkeypatch.setattr(spans, "_finest_grid", lambda *_: finest)
+    rng = random.Random(13)
+    left, right = random_spans(rng, 120, 9), random_spans(rng, 90, 12)
+    assert joined(spark, left, right, 7) == brute(left, right)
+
+
+def test_windows_of_a_week_are_those_of_every_day(spark):
+    """A log from before day 0 to the middle of a later week."""
+    rows = [
+        (1, datetime(2023, 12, 21, 5), 7, "click", 1.0, ""),
+        (2, datetime(2024, 1, 17, 9), 12, "click", 1.0, ""),
+        (3, datetime(2024, 1, 9, 9), 33, "view", 1.0, ""),
+        (4, None, 34, "view", 1.0, ""),
+    ]
+    events = spark.createDataFrame(
+        rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    )
+    want = intervals.day_windows(
+        eventlog.daily_contexts(events).withColumn("S", eventlog.latent("S"))
+    )
+    got = eventlog.daily_windows(events)
+    assert got.columns == want.columns and want.count() > 4 * 28 * 4
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert eventlog.daily_windows(events.where("event_id = 4")).count() == 0

@@ -200,8 +200,7 @@ def overlap_window_table(spark, sf_dir):
     uses = eventlog.whole_uses(ev).select(
         "event_id", "child_id", begin.alias("start"), (begin + F.col("use_minutes")).alias("end")
     )
-    by_day = intervals.day_windows(eventlog.daily_contexts(ev).withColumn("S", eventlog.latent("S")))
-    windows = by_day.withColumns(
+    windows = eventlog.daily_windows(ev).withColumns(
         {c: spans.on_running_axis(F.col("day_index"), F.col(c)) for c in ("window_start", "window_end")}
     )
     found = spans.label_minutes(uses, windows, LABELS)
