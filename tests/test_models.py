@@ -327,3 +327,9 @@ def test_sensitivity_accepts_any_scorer(spark):
     scored = profiles.withColumn("prediction", F.col("age_scaled") * 2)
     top = explore.sensitivity(scored).first()
     assert top.feature == "age_scaled" and top.delta == pytest.approx(3.0)
+
+
+def test_bands_count_rows_without_a_prediction(spark):
+    rows = [(100.0 + i % 3, 2.0 if i % 4 else None) for i in range(20)]
+    df = spark.createDataFrame(rows, "mean_daily_use_minutes double, prediction double")
+    assert [r.n for r in explore.band_summary(df).collect()] == [20]
